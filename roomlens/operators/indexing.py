@@ -30,6 +30,8 @@ def index_within_groups(df: DataFrame, group_cols: list[str], order_col: str,
                         out_col: str = "index", num_partitions: int | None = None,
                         checkpoint: bool = True) -> DataFrame:
     spark = df.sparkSession
+    from roomlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, order_col]
     sorted_df = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -44,6 +46,9 @@ def index_within_groups(df: DataFrame, group_cols: list[str], order_col: str,
         "_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_offset"))
     positioned = (sorted_df.join(F.broadcast(offsets), "_pid")
                   .withColumn("_global", F.col("_offset") + F.col("_local")))
+    if not group_cols:
+        return (positioned.withColumn(out_col, F.col("_global").cast("long"))
+                .drop("_pid", "_local", "_offset", "_global"))
     # First position of each group: partial aggregate per map task, so a hot
     # group contributes one row per task before the shuffle.
     starts = positioned.groupBy(*group_cols).agg(F.min("_global").alias("_start"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roomlens.operators.topk import top_k as _top_k
 from roomlens.sources.tables import read_table
 
 EX = "http://example.org/"
@@ -329,16 +330,6 @@ def _substrings(facts: DataFrame, min_len: int) -> DataFrame:
             .distinct())
 
 
-def _top_k(df: DataFrame, key: str, order: list[str], k: int, salt_buckets: int = 64) -> DataFrame:
-    """k smallest rows per key by `order`, in two stages: a salted stage
-    (key, hash % buckets) then the final stage over <= buckets*k rows/key."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(key, "_salt").orderBy(*order)
-    stage1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
-    w2 = Window.partitionBy(key).orderBy(*order)
-    return stage1.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k).drop("_r")
-
-
 def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
                  text_col: str = "text", limit: int = 6) -> DataFrame:
     """K-7 for every text: (id, n_lines, context).
