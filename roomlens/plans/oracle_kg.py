@@ -89,8 +89,23 @@ def kg_sql() -> dict[str, str]:
       m as (select lower(label) as l, max(id) as target from nodes where kind = 'metric'
             and lower(label) in ('temperature', 'humidity', 'pressure', 'gas resistance') group by 1)
       select n.id as source, m.target, 'tracks' as type from nodes n, m where n.kind = 'location'"""
-    q["kg_context"] = f"""{W},
-      lab as (select s, o as label from triples where p = {L}),
+    q["kg_context"] = f"""{W}, {context_ctes('documents', 'doc_id', 'text')}
+      select d.doc_id, coalesce(ctx.n_lines, 0) as n_lines, coalesce(ctx.context, '') as context
+      from documents d left join ctx on ctx.doc_id = d.doc_id"""
+    return q
+
+
+def seed_triples_cte() -> str:
+    seed = ",\n    ".join(f"({_q(s)}, {_q(p)}, {_q(o)}, {_q(k)})" for s, p, o, k in seed_rows())
+    return f"triples as (select * from (values\n    {seed}) t(s, p, o, o_type))"
+
+
+def context_ctes(texts: str, id_col: str, text_col: str, limit: int = 6) -> str:
+    """K-7 by brute force: every distinct word against every label with
+    `contains`, then the line budget with plain windows.  Defines `ctx`."""
+    T, L = _q(RDF_TYPE), _q(RDFS_LABEL)
+    ex = lambda x: _q(EX + x)
+    return f"""lab as (select s, o as label from triples where p = {L}),
       ty as (select s, max(case when o = {ex('Metric')} then 1 else 0 end) as is_metric,
                     max(case when o = {ex('Policy')} then 1 else 0 end) as is_policy
              from triples where p = {T} group by s),
@@ -102,8 +117,8 @@ def kg_sql() -> dict[str, str]:
                             then string_split(lab.s, '/')[-1] || ' --recommendedRange--> '
                                  || coalesce(bd.lo, '-inf') || ' to ' || coalesce(bd.hi, 'inf') end as line2
                 from lab left join ty on ty.s = lab.s left join bd on bd.s = lab.s),
-      dw as (select distinct doc_id, lower(w) as word
-             from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) as w from documents)
+      dw as (select distinct {id_col} as doc_id, lower(w) as word
+             from (select {id_col}, unnest(regexp_split_to_array({text_col}, '\\s+')) as w from {texts})
              where length(w) >= 3),
       vocab as (select distinct word from dw),
       wf as (select v.word, f.* from vocab v join facts f on contains(lower(f.label), v.word)),
@@ -113,16 +128,13 @@ def kg_sql() -> dict[str, str]:
                         case when line2 is null then 1 else 2 end as nl from hits),
       lab_b as (select *, coalesce(sum(nl) over (partition by doc_id order by rk
                         rows between unbounded preceding and 1 preceding), 0) as before from ranked),
-      lab_kept as (select * from lab_b where before < 6),
+      lab_kept as (select * from lab_b where before < {limit}),
       used as (select doc_id, sum(nl) as used from lab_kept group by doc_id),
       pol as (select *, row_number() over (partition by doc_id order by s, label) as pk from hits where is_policy = 1),
       pol_kept as (select pol.* from pol left join used on used.doc_id = pol.doc_id
-                   where pk = 1 or coalesce(used.used, 0) + pk - 1 < 6),
+                   where pk = 1 or coalesce(used.used, 0) + pk - 1 < {limit}),
       lines as (select doc_id, 0 as g, rk as r, 0 as sub, line1 as line from lab_kept
                 union all select doc_id, 0, rk, 1, line2 from lab_kept where line2 is not null
                 union all select doc_id, 1, pk, 0, 'Policy: ' || label from pol_kept),
-      per as (select doc_id, string_agg(line, chr(10) order by g, r, sub) as context, count(*) as n_lines
-              from lines group by doc_id)
-      select d.doc_id, coalesce(per.n_lines, 0) as n_lines, coalesce(per.context, '') as context
-      from documents d left join per on per.doc_id = d.doc_id"""
-    return q
+      ctx as (select doc_id, string_agg(line, chr(10) order by g, r, sub) as context, count(*) as n_lines
+              from lines group by doc_id)"""
