@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomlens.plans import (eval_queries, kg_queries, oracle_eval, oracle_kg, oracle_sql, oracle_text,
-                            room_queries, text_queries)
+from roomlens.plans import (eval_queries, file_queries, kg_queries, oracle_eval, oracle_files, oracle_kg,
+                            oracle_sql, oracle_text, room_queries, text_queries)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, QueryFn]:
     out.update(kg_queries.QUERIES)
     out.update(eval_queries.QUERIES)
     out.update(text_queries.QUERIES)
+    out.update(file_queries.QUERIES)
     return out
 
 
@@ -27,4 +28,5 @@ def oracle() -> dict[str, str]:
     out.update(oracle_kg.kg_sql())
     out.update(oracle_eval.eval_sql())
     out.update(oracle_text.text_sql())
+    out.update(oracle_files.files_sql())
     return {k: v for k, v in out.items() if k in queries()}
