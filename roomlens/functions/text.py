@@ -10,7 +10,7 @@ are Unicode, so the normaliser uses ``(?U)`` (SURVEY 2.12 trap 4).  Python's
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Question-word -> metric column, tested in this order (X-1).
@@ -74,22 +74,32 @@ def parse_request(q: Column) -> Column:
 
 
 # ---------------------------------------------------------------- SQL cleaning
-def clean_sql(raw: Column) -> Column:
-    """X-5: pull one statement out of model text, rules applied in order."""
-    t = F.regexp_replace(strip_ws(raw), r"^`+|`+$", "")          # caller: strip().strip("`")
-    t = strip_ws(t)
-    parts = F.split(t, "```", -1)
-    t = (F.when(F.size(parts) >= 3, strip_ws(F.get(parts, 1)))
-         .when(t.contains("```"), strip_ws(F.replace(t, F.lit("```"), F.lit(""))))
-         .otherwise(t))
-    first_line = F.regexp_extract(t, r"^([^\r\n]*)", 1)
-    t = F.when(first_line.rlike(r"(?i)^\s*sql\s*$"),
-               strip_ws(F.regexp_replace(t, r"^[^\r\n]*(\r\n|\r|\n)?", ""))).otherwise(t)
-    t = F.regexp_replace(t, r"(?i)^\s*(sql|query)\s*:\s*", "")
-    t = F.when(~t.rlike(r"(?i)^\s*(select|with)\b") & t.rlike(r"(?i)\bselect\b"),
-               F.regexp_extract(t, r"(?is)^.*?(\bselect\b.*)$", 1)).otherwise(t)
-    t = F.substring_index(t, ";", 1)
-    return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(strip_ws(t))
+def clean_sql(df: DataFrame, raw_col: str, out_col: str = "sql") -> DataFrame:
+    """X-5: pull one statement out of model text, rules applied in order.
+
+    One projection per rule: each rule reads the previous text two or three
+    times, so nesting them as one expression would repeat every earlier
+    regex per reference (a tree that grows multiplicatively and overflows
+    generated code).  Separate projections are not collapsed by Catalyst
+    when that would duplicate non-trivial expressions, so each regex runs
+    once per row."""
+    t = F.col("_t")
+    steps = [
+        strip_ws(F.regexp_replace(strip_ws(F.col(raw_col)), r"^`+|`+$", "")),   # caller: strip().strip("`")
+        F.when(F.size(F.split(t, "```", -1)) >= 3, strip_ws(F.get(F.split(t, "```", -1), 1)))
+         .when(t.contains("```"), strip_ws(F.replace(t, F.lit("```"), F.lit("")))).otherwise(t),
+        F.when(F.regexp_extract(t, r"^([^\r\n]*)", 1).rlike(r"(?i)^\s*sql\s*$"),
+               strip_ws(F.regexp_replace(t, r"^[^\r\n]*(\r\n|\r|\n)?", ""))).otherwise(t),
+        F.regexp_replace(t, r"(?i)^\s*(sql|query)\s*:\s*", ""),
+        F.when(~t.rlike(r"(?i)^\s*(select|with)\b") & t.rlike(r"(?i)\bselect\b"),
+               F.regexp_extract(t, r"(?is)^.*?(\bselect\b.*)$", 1)).otherwise(t),
+        strip_ws(F.substring_index(t, ";", 1)),
+    ]
+    for e in steps:
+        df = df.withColumn("_t", e)
+    raw = F.col(raw_col)
+    return (df.withColumn(out_col, F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(t))
+            .drop("_t"))
 
 
 def guard_reason(sql: Column) -> Column:
@@ -118,14 +128,17 @@ def normalize_text(t: Column) -> Column:
     return F.regexp_replace(strip_ws(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), r"(?U)\s+", " ")
 
 
-def parse_prediction(t: Column) -> Column:
-    """X-7: empty -> UNKNOWN; any unsafe marker -> UNSAFE; 'safe' -> SAFE."""
-    n = normalize_text(F.coalesce(t, F.lit("")))
+def parse_prediction(df: DataFrame, text_col: str, out_col: str = "pred_label") -> DataFrame:
+    """X-7: empty -> UNKNOWN; any unsafe marker -> UNSAFE; 'safe' -> SAFE.
+    The normalised text is its own projection (it is tested six times)."""
+    df = df.withColumn("_norm", normalize_text(F.coalesce(F.col(text_col), F.lit(""))))
+    n = F.col("_norm")
     unsafe = None
     for m in UNSAFE_MARKERS:
         unsafe = n.contains(m) if unsafe is None else (unsafe | n.contains(m))
-    return (F.when(n == "", "UNKNOWN").when(unsafe, "UNSAFE")
-            .when(n.contains("safe"), "SAFE").otherwise("UNKNOWN"))
+    label = (F.when(n == "", "UNKNOWN").when(unsafe, "UNSAFE")
+             .when(n.contains("safe"), "SAFE").otherwise("UNKNOWN"))
+    return df.withColumn(out_col, label).drop("_norm")
 
 
 # ------------------------------------------------------------ record helpers

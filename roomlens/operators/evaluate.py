@@ -164,7 +164,7 @@ def merge_grades(recs: DataFrame, grades: DataFrame) -> tuple[DataFrame, DataFra
 # ------------------------------------------------------------- predictions
 def parse_predictions(pred: DataFrame) -> DataFrame:
     """X-6/X-7 + is_correct."""
-    p = pred.withColumn("pred_label", tx.parse_prediction(F.col("model_text")))
+    p = tx.parse_prediction(pred, "model_text", "pred_label")
     return p.withColumn("is_correct", F.col("pred_label") == F.col("true_label"))
 
 

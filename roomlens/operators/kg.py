@@ -32,6 +32,8 @@ RDFS_LABEL = RDFS + "label"
 PREFIXES = {"ex:": EX, "rdf:": RDF, "rdfs:": RDFS, "xsd:": XSD}
 
 TRIPLE_SCHEMA = "s string, p string, o string, o_type string"
+# The characters Python's str.split() treats as whitespace.
+PY_WHITESPACE = "[\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 # The reference room graph, one (subject, predicate, object,
 # object kind) per triple, in file order.
@@ -115,58 +117,55 @@ def _iri(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(EX + prefix), key.cast("string"))
 
 
-def _t(s: Column, p: str, o: Column, kind: str) -> Column:
-    return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_type"))
-
-
-def _explode(df: DataFrame, *structs: Column) -> DataFrame:
-    return (df.select(F.explode(F.array(*structs)).alias("t"))
-            .where(F.col("t.o").isNotNull()).select("t.*"))
+def _branch(df: DataFrame, s: Column, p: str, o: Column, kind: str) -> DataFrame:
+    """One predicate's triples.  `p` (and `o` for type triples) are literals,
+    so a pattern filter on them folds to true/false per branch and Catalyst
+    drops the branches that cannot match before any scan is planned."""
+    return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_type")) \
+        .where(F.col("o").isNotNull())
 
 
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations (nation), displays (supplier), metrics (part name),
-    policies (part type), datasets (customer); each table scanned once."""
+    policies (part type), datasets (customer), as a union of per-predicate
+    branches over column-pruned scans."""
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     loc = _iri("nation_", F.col("n_nationkey"))
-    locations = _explode(nation, _t(loc, RDF_TYPE, F.lit(EX + "Location"), "iri"),
-                         _t(loc, RDFS_LABEL, F.col("n_name"), "string"))
-
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     d = _iri("supplier_", F.col("s_suppkey"))
-    displays = _explode(sup, _t(d, RDF_TYPE, F.lit(EX + "PervasiveDisplay"), "iri"),
-                        _t(d, RDFS_LABEL, F.col("s_name"), "string"),
-                        _t(d, EX + "atLocation", _iri("nation_", F.col("s_nationkey")), "iri"))
-
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_retailprice")
+    names = part.select("p_name").distinct()
     mets = part.groupBy("p_name").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
     m = _iri("metric_", F.regexp_replace("p_name", " ", "_"))
     kind = F.length("p_name") % 3
-    metrics = _explode(mets, _t(m, RDF_TYPE, F.lit(EX + "Metric"), "iri"),
-                       _t(m, RDFS_LABEL, F.col("p_name"), "string"),
-                       _t(m, EX + "recommendedMin",
-                          F.when(kind != 2, F.format_string("%.2f", "lo")), "float"),
-                       _t(m, EX + "recommendedMax",
-                          F.when(kind == 0, F.format_string("%.2f", "hi")), "float"))
-
-    pol = _iri("policy_", F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "_"))
     ptypes = part.select("p_type").distinct()
-    policies = _explode(ptypes, _t(pol, RDF_TYPE, F.lit(EX + "Policy"), "iri"),
-                        _t(pol, RDFS_LABEL, F.concat(F.lit("Check "), F.lower("p_type"),
-                                                     F.lit(" when ring or nation load is high")),
-                           "string"))
-    applies = (part.select("p_type", (F.col("p_partkey") % 25).alias("nk")).distinct()
-               .select(pol.alias("s"), F.lit(EX + "appliesTo").alias("p"),
-                       _iri("nation_", F.col("nk")).alias("o"), F.lit("iri").alias("o_type")))
-
+    pol = _iri("policy_", F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "_"))
+    applies = part.select("p_type", (F.col("p_partkey") % 25).alias("nk")).distinct()
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
     ds = _iri("dataset_", F.col("c_custkey"))
-    datasets = _explode(cust, _t(ds, RDF_TYPE, F.lit(EX + "Dataset"), "iri"),
-                        _t(ds, RDFS_LABEL, F.col("c_name"), "string"),
-                        _t(ds, EX + "coversLocation", _iri("nation_", F.col("c_nationkey")), "iri"),
-                        _t(ds, EX + "sourceFile", F.concat("c_name", F.lit(".csv")), "string"))
-    return (locations.unionByName(displays).unionByName(metrics).unionByName(policies)
-            .unionByName(applies).unionByName(datasets))
+    branches = [
+        _branch(nation, loc, RDF_TYPE, F.lit(EX + "Location"), "iri"),
+        _branch(nation, loc, RDFS_LABEL, F.col("n_name"), "string"),
+        _branch(sup, d, RDF_TYPE, F.lit(EX + "PervasiveDisplay"), "iri"),
+        _branch(sup, d, RDFS_LABEL, F.col("s_name"), "string"),
+        _branch(sup, d, EX + "atLocation", _iri("nation_", F.col("s_nationkey")), "iri"),
+        _branch(names, m, RDF_TYPE, F.lit(EX + "Metric"), "iri"),
+        _branch(names, m, RDFS_LABEL, F.col("p_name"), "string"),
+        _branch(mets, m, EX + "recommendedMin", F.when(kind != 2, F.format_string("%.2f", "lo")), "float"),
+        _branch(mets, m, EX + "recommendedMax", F.when(kind == 0, F.format_string("%.2f", "hi")), "float"),
+        _branch(ptypes, pol, RDF_TYPE, F.lit(EX + "Policy"), "iri"),
+        _branch(ptypes, pol, RDFS_LABEL, F.concat(F.lit("Check "), F.lower("p_type"),
+                                                  F.lit(" when ring or nation load is high")), "string"),
+        _branch(applies, pol, EX + "appliesTo", _iri("nation_", F.col("nk")), "iri"),
+        _branch(cust, ds, RDF_TYPE, F.lit(EX + "Dataset"), "iri"),
+        _branch(cust, ds, RDFS_LABEL, F.col("c_name"), "string"),
+        _branch(cust, ds, EX + "coversLocation", _iri("nation_", F.col("c_nationkey")), "iri"),
+        _branch(cust, ds, EX + "sourceFile", F.concat("c_name", F.lit(".csv")), "string"),
+    ]
+    out = branches[0]
+    for b in branches[1:]:
+        out = out.unionByName(b)
+    return out
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,8 +325,7 @@ def _substrings(facts: DataFrame, min_len: int) -> DataFrame:
         F.sequence(F.lit(min_len), F.greatest(F.length("low") - F.col("i") + 1, F.lit(min_len)))).alias("len"),
         "low", "i")
     return (subs.where(F.col("i") + F.col("len") - 1 <= F.length("low"))
-            .select(F.substring("low", F.col("i"), F.col("len")).alias("word"), "s", "label")
-            .distinct())
+            .select(F.substring("low", F.col("i"), F.col("len")).alias("word"), "s", "label"))
 
 
 def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
@@ -341,16 +339,21 @@ def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
     `limit` (the reference checks the budget only after appending).
     """
     facts = _label_facts(triples)
-    subs = _substrings(facts, 3)
+    # distinct (text, word): one shuffle, reused by the vocabulary and the match join
+    tokens = (texts.select(id_col, F.explode(F.split(F.col(text_col), PY_WHITESPACE)).alias("w"))
+              .where(F.length("w") >= 3).select(id_col, F.lower("w").alias("word")).distinct())
+    # Only substrings that occur as a word somewhere can match: semi-join the
+    # label substrings to the corpus vocabulary, then dedupe the few survivors.
+    vocab = tokens.select("word").distinct()
+    subs = _substrings(facts, 3).join(vocab, "word", "left_semi").distinct()
     # Per distinct word: its `limit` first label rows and `limit` first policy rows.
     cand = subs.join(facts, ["s", "label"])
     per_word = (_top_k(cand, "word", ["s", "label"], limit)
                 .withColumn("is_policy_row", F.lit(0))
                 .unionByName(_top_k(cand.where("is_policy = 1"), "word", ["s", "label"], limit)
                              .withColumn("is_policy_row", F.lit(1))))
-    words = (texts.select(id_col, F.explode(F.split(F.col(text_col), r"(?U)\s+")).alias("w"))
-             .where(F.length("w") >= 3).select(id_col, F.lower("w").alias("word")).distinct())
-    hits = words.join(per_word, "word").drop("word").distinct()
+    # per_word holds at most 2*limit rows per vocabulary word that matches a label
+    hits = tokens.join(per_word, "word").drop("word").distinct()
     w = Window.partitionBy(id_col, "is_policy_row").orderBy("s", "label")
     ranked = (hits.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit)
               .withColumn("_lines", F.when(F.col("line2").isNull(), 1).otherwise(2)))

@@ -189,10 +189,15 @@ def window_means(requests: DataFrame, totals: DataFrame, id_col: str = "request_
 
 
 def parsed_requests(requests: DataFrame, text_col: str = "request") -> DataFrame:
-    p = tx.parse_request(F.col(text_col))
-    return requests.select("*", p.alias("p")).select(
-        "*", F.col("p.metric").alias("metric"), F.col("p.date_from").alias("date_from"),
-        F.col("p.date_to").alias("date_to"), F.col("p.location").alias("room")).drop("p")
+    """X-1..X-4 as columns; the lower-cased text and the date list are their
+    own projections so the seven metric tests and two date reads share them."""
+    q = F.col(text_col)
+    p = requests.withColumn("_ql", F.lower(q)).withColumn("_dates", tx.parse_dates(q))
+    ql = F.col("_ql")
+    metric = F.coalesce(*[F.when(ql.rlike(rf"\b{w}\b"), F.lit(m)) for w, m in tx.METRIC_WORDS])
+    room_ = F.coalesce(*[F.when(ql.contains(r), F.lit(r)) for r in tx.ROOM_WORDS])
+    return p.select("*", metric.alias("metric"), F.get("_dates", 0).alias("date_from"),
+                    F.get("_dates", 1).alias("date_to"), room_.alias("room")).drop("_ql", "_dates")
 
 
 def value_questions(requests: DataFrame, totals: DataFrame) -> DataFrame:

@@ -38,4 +38,4 @@ def batch_predict(df: DataFrame, id_col: str, input_col: str,
 
     schema = f"{id_col} string, model_text string, latency_s double"
     out = df.select(F.col(id_col).cast("string").alias(id_col), input_col).mapInPandas(run, schema)
-    return out.withColumn("pred_label", parse_prediction(F.col("model_text")))
+    return parse_prediction(out, "model_text", "pred_label")

@@ -34,7 +34,7 @@ KG_HEADERS = [None, " TRUE ", "yes", "off", "0"]
 
 def q_clean_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx.generated_sql_texts(spark, sf_dir)
-    return g.select("text_id", tx.clean_sql(F.col("raw_text")).alias("sql"))
+    return tx.clean_sql(g, "raw_text", "sql").select("text_id", "sql")
 
 
 def q_guard_sql(spark, sf_dir):
