@@ -20,3 +20,11 @@ def stable_round(c: Column | str, digits: int) -> Column:
 def sql_round(expr: str, digits: int) -> str:
     """The same rule as SQL text (for the DuckDB oracle)."""
     return f"round(round({expr}, 8), {digits})"
+
+
+def fixed_rows(names: list[str], rows: list[tuple]) -> Column:
+    """Generator column: `df.select("*", fixed_rows(...))` repeats each input
+    row once per literal tuple.  Used instead of a cross join with a fixed
+    list: the list travels inside the plan as literals, each task expands its
+    own rows, and nothing is joined or shuffled."""
+    return F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]))

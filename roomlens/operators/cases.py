@@ -3,9 +3,10 @@ present in ``iaq``) crossed with the fixed metric/question/rubric lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomlens.functions.numeric import fixed_rows
 from roomlens.operators.indexing import index_within_groups
 
 # Metric column, question word, in case order.
@@ -70,9 +71,10 @@ ABLATION_RUBRICS = {
 CONDITIONS = ["kg_on", "kg_off"]
 
 
-def _metrics(spark) -> DataFrame:
+def _metrics() -> Column:
+    """The five case metrics as literal rows (metric, word, m_ord, rubric)."""
     rows = [(m, w, i, " | ".join(CHART_RUBRICS[m])) for i, (m, w) in enumerate(CASE_METRICS)]
-    return F.broadcast(spark.createDataFrame(rows, "metric string, word string, m_ord int, rubric string"))
+    return fixed_rows(["metric", "word", "m_ord", "rubric"], rows)
 
 
 def question_cases(iaq: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def question_cases(iaq: DataFrame) -> DataFrame:
     for rooms present in the data."""
     spark = iaq.sparkSession
     rooms = iaq.select("location").distinct()
-    avg = rooms.crossJoin(_metrics(spark)).select(
+    avg = rooms.select("location", _metrics()).select(
         F.format_string("What is the average %s of %s?", "word", "location").alias("text"),
         "location", "metric", F.lit("mean").alias("agg"))
     mm = spark.createDataFrame(MINMAX_CASES, "location string, metric string, word string, agg string, aw string")
@@ -92,9 +94,8 @@ def question_cases(iaq: DataFrame) -> DataFrame:
 
 def plot_cases(iaq: DataFrame) -> DataFrame:
     """G-3 over the data's days and rooms, numbered in (date, room, metric) order."""
-    spark = iaq.sparkSession
     dr = iaq.select(F.to_date("Date").cast("string").alias("date"), "location").distinct()
-    c = dr.crossJoin(_metrics(spark)).select(
+    c = dr.select("*", _metrics()).select(
         F.concat_ws(" ", F.lit("plot"), "word", F.lit("for"), "date", F.lit("in"), "location").alias("text"),
         "date", "location", "metric", "m_ord", "rubric",
         F.struct("date", "location", "m_ord").alias("_ord"))
@@ -110,10 +111,9 @@ def chart_cases(iaq: DataFrame) -> DataFrame:
 
 def card_cases(iaq: DataFrame) -> DataFrame:
     """G-2: every day x room x banded metric (time carried, never used)."""
-    spark = iaq.sparkSession
-    ms = spark.createDataFrame([("temperature_c",), ("humidity_rh",)], "metric string")
     dr = iaq.select(F.to_date("Date").cast("string").alias("date"), "location").distinct()
-    return dr.crossJoin(F.broadcast(ms)).withColumn("time", F.lit("08:15"))
+    return (dr.select("*", fixed_rows(["metric"], [("temperature_c",), ("humidity_rh",)]))
+            .withColumn("time", F.lit("08:15")))
 
 
 def ablation_cases(iaq: DataFrame, banded: DataFrame) -> DataFrame:
@@ -122,11 +122,12 @@ def ablation_cases(iaq: DataFrame, banded: DataFrame) -> DataFrame:
     spark = iaq.sparkSession
     qrows = [(m, ABLATION_QUESTIONS[m], " | ".join(ABLATION_RUBRICS[m])) for m in ABLATION_QUESTIONS]
     qd = F.broadcast(spark.createDataFrame(qrows, "metric string, question string, rubric string"))
-    conds = F.broadcast(spark.createDataFrame([(c,) for c in CONDITIONS], "condition string"))
     dr = iaq.select(F.to_date("Date").cast("string").alias("expected_date"),
                     F.col("location").alias("expected_location")).distinct()
-    ms = _metrics(spark).drop("rubric").join(banded, "metric", "left_semi")
-    c = (dr.crossJoin(ms).join(qd, "metric").crossJoin(conds)
+    # `banded` is the metric dimension filtered to metrics with a range: at
+    # most five rows, so the semi join is a broadcast.
+    c = (dr.select("*", _metrics()).drop("rubric").join(F.broadcast(banded), "metric", "left_semi")
+         .join(qd, "metric").select("*", fixed_rows(["condition"], [(x,) for x in CONDITIONS]))
          .select(F.concat_ws(" ", F.lit("plot"), "word", F.lit("for"), "expected_date", F.lit("in"),
                              "expected_location").alias("plot_request"),
                  "question", "rubric", F.col("metric").alias("expected_metric"), "expected_location",

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roomlens.functions.numeric import fixed_rows
 from roomlens.operators.topk import top_k as _top_k
 from roomlens.sources.tables import read_table
 
@@ -193,7 +194,10 @@ def bgp(triples: DataFrame, patterns: list[tuple[str, str, str]],
     for pat in ordered[1:]:
         nxt = _pattern(triples, *pat)
         shared = [c for c in nxt.columns if c in out.columns]
-        out = out.join(nxt, shared, "inner") if shared else out.crossJoin(nxt)
+        if not shared:
+            # a disconnected pattern would emit all pairs; no query needs one
+            raise ValueError(f"pattern {pat} shares no variable with the earlier patterns")
+        out = out.join(nxt, shared, "inner")
     for pat in optional:
         nxt = _pattern(triples, *pat)
         shared = [c for c in nxt.columns if c in out.columns]
@@ -291,8 +295,11 @@ def tracks(triples: DataFrame) -> DataFrame:
     met = met.where(F.col("l").isin(*TRACKED_LABELS))
     # Later entries win in the reference's map; take the greatest id per label.
     met = met.groupBy("l").agg(F.max("id").alias("target"))
-    locs = n.where(F.col("kind") == "location").select(F.col("id").alias("source"))
-    return locs.crossJoin(F.broadcast(met)).select("source", "target", F.lit("tracks").alias("type"))
+    # Each location expands to the four tracked labels (literal rows), then an
+    # equi-join on the label finds the metric node that exists for it.
+    locs = (n.where(F.col("kind") == "location")
+            .select(F.col("id").alias("source"), fixed_rows(["l"], [(x,) for x in TRACKED_LABELS])))
+    return locs.join(F.broadcast(met), "l").select("source", "target", F.lit("tracks").alias("type"))
 
 
 # ------------------------------------------------------------------------ K-7

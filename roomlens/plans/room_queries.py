@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomlens.functions.numeric import stable_round
+from roomlens.functions.numeric import fixed_rows, stable_round
 
 from roomlens.functions import text as tx
 from roomlens.operators import room
@@ -32,19 +32,18 @@ def q_location_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("location", "metric", *[stable_round(c, 6).alias(c) for c in ("mean", "min", "max")])
 
 
-def _requests_from_days(iaq: DataFrame, rooms: DataFrame) -> DataFrame:
+def _requests_from_days(iaq: DataFrame, rooms: list[str]) -> DataFrame:
     days = iaq.select(room.day_of().alias("d0")).distinct()
-    metrics = iaq.sparkSession.createDataFrame([(m,) for m in room.METRICS], "metric string")
-    # rooms and metrics are fixed lists (4 and 5 rows): broadcast has a proven bound.
-    return (days.crossJoin(F.broadcast(rooms)).crossJoin(F.broadcast(metrics))
+    # every day x fixed room list x metric: literal rows expanded per day
+    return (days.select("d0", fixed_rows(["room"], [(r,) for r in rooms]))
+            .select("d0", "room", fixed_rows(["metric"], [(m,) for m in room.METRICS]))
             .withColumn("d1", F.date_add("d0", 3))
             .withColumn("request_id", F.concat_ws("|", F.col("d0").cast("string"), "room", "metric")))
 
 
 def q_window_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     iaq = fx.iaq(spark, sf_dir)
-    rooms = spark.createDataFrame([(r,) for r in WINDOW_ROOMS], "room string")
-    m = room.window_means(_requests_from_days(iaq, rooms), room.day_totals(iaq))
+    m = room.window_means(_requests_from_days(iaq, WINDOW_ROOMS), room.day_totals(iaq))
     return m.select(F.col("d0").cast("string").alias("start_day"), "room", "metric",
                     stable_round("value_mean", 6).alias("value_mean"),
                     F.when(F.col("value_mean").isNull(), "no-data").otherwise("ok").alias("status"))
@@ -95,11 +94,9 @@ def q_result_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plot_requests(iaq: DataFrame) -> DataFrame:
     """G-3 over the data: one request per (day, room, metric word)."""
-    spark = iaq.sparkSession
-    labels = spark.createDataFrame(PLOT_LABELS, "expected_metric string, label string")
     dr = iaq.select(room.day_of().cast("string").alias("expected_date"),
                     F.col("location").alias("expected_location")).distinct()
-    return (dr.crossJoin(F.broadcast(labels))
+    return (dr.select("*", fixed_rows(["expected_metric", "label"], PLOT_LABELS))
             .withColumn("request", F.concat_ws(" ", F.lit("plot"), "label", F.lit("for"), "expected_date",
                                                F.lit("in"), "expected_location"))
             .withColumn("request_id", F.col("request")))
