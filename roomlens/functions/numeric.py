@@ -5,6 +5,11 @@ Averages of decimal inputs often land exactly on a rounding tie
 ulps and round the tie apart.  Snapping to 8 decimals first removes the ulp
 noise (far below 1e-8 for these magnitudes), so the final round sees the
 same double in every engine.
+
+The final round is half-up on the decimal value (Spark rounds a double
+through its shortest decimal text, so 32.494999999999997 -> "32.495" ->
+32.5).  DuckDB rounds the binary value instead (-> 32.49), so its twin
+casts the snapped value to an exact decimal before rounding.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ def stable_round(c: Column | str, digits: int) -> Column:
 
 def sql_round(expr: str, digits: int) -> str:
     """The same rule as SQL text (for the DuckDB oracle)."""
-    return f"round(round({expr}, 8), {digits})"
+    return f"cast(round(cast(round({expr}, 8) as decimal(38, 8)), {digits}) as double)"
 
 
 def fixed_rows(names: list[str], rows: list[tuple]) -> Column:

@@ -7,7 +7,7 @@ from roomlens.plans.oracle_sql import IAQ, METRIC_LIST, ROOM_LIST
 
 
 def R(expr: str, d: int) -> str:
-    return f"round(round({expr}, 8), {d})"
+    return f"cast(round(cast(round({expr}, 8) as decimal(38, 8)), {d}) as double)"
 
 
 def _q(v) -> str:

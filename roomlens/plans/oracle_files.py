@@ -30,7 +30,7 @@ def files_sql() -> dict[str, str]:
                         else printf('%.6f', latency_s) end as lat from p),
       chosen as (select *, 'raw_safety_eval.csv' as file_name from r where model <> 'de'
                  union all select *, 'raw_safety_experiment.csv' from r where model = 'de' and true_label = 'UNSAFE')
-      select model, file_name, count(*) as n, round(round(avg(try_cast(lat as double)), 8), 6) as latency_mean_s
+      select model, file_name, count(*) as n, cast(round(cast(round(avg(try_cast(lat as double)), 8) as decimal(38, 8)), 6) as double) as latency_mean_s
       from chosen where try_cast(lat as double) is not null group by model, file_name"""
     q["image_checks"] = """select 'page_' || cast(page_id as varchar) || case when page_id % 3 = 0 then '.png' else '.JPG' end as name,
              case when page_id % 3 = 0 then 'png' else 'jpg' end as ext,

@@ -83,7 +83,7 @@ DAILY = """d as (select cast(cast("Date" as date) as varchar) as day, location,
 
 
 def card(col: str, name: str, lo: int, hi: int) -> str:
-    return (f"select day, location, '{name}' as title, round(round({col}, 8), 2) as value, "
+    return (f"select day, location, '{name}' as title, cast(round(cast(round({col}, 8) as decimal(38, 8)), 2) as double) as value, "
             f"case when {col} is null then 'no-data' when {col} < {lo} then 'warn-low' "
             f"when {col} > {hi} then 'warn-high' else 'ok' end as status from d")
 
@@ -102,17 +102,17 @@ def room_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["daily_cards"] = f"with {IAQ}, {DAILY} {card('t', 'temperature_c', 20, 26)} union all {card('h', 'humidity_rh', 30, 60)}"
     q["daily_ticker"] = f"""with {IAQ}, {DAILY}
-      select day, location, 'temperature_c: ' || coalesce(cast(round(round(t, 8), 2) as varchar), 'nan')
-             || ' • humidity_rh: ' || coalesce(cast(round(round(h, 8), 2) as varchar), 'nan') as ticker from d"""
+      select day, location, 'temperature_c: ' || coalesce(cast(cast(round(cast(round(t, 8) as decimal(38, 8)), 2) as double) as varchar), 'nan')
+             || ' • humidity_rh: ' || coalesce(cast(cast(round(cast(round(h, 8) as decimal(38, 8)), 2) as double) as varchar), 'nan') as ticker from d"""
     q["location_stats"] = f"""with {IAQ}, {LONG}
-      select location, metric, round(round(avg(v), 8), 6) as mean, round(round(min(v), 8), 6) as min, round(round(max(v), 8), 6) as max
+      select location, metric, cast(round(cast(round(avg(v), 8) as decimal(38, 8)), 6) as double) as mean, cast(round(cast(round(min(v), 8) as decimal(38, 8)), 6) as double) as min, cast(round(cast(round(max(v), 8) as decimal(38, 8)), 6) as double) as max
       from long group by location, metric"""
     q["window_value"] = f"""with {IAQ}, {LONG},
       days as (select distinct cast("Date" as date) as d0 from iaq),
       rooms(room) as (values ('kitchen'), ('office'), ('hallway'), ('garage')),
       metrics as (select unnest({METRIC_LIST}) as metric),
       r as (select * from days, rooms, metrics)
-      select cast(r.d0 as varchar) as start_day, r.room, r.metric, round(round(avg(l.v), 8), 6) as value_mean,
+      select cast(r.d0 as varchar) as start_day, r.room, r.metric, cast(round(cast(round(avg(l.v), 8) as decimal(38, 8)), 6) as double) as value_mean,
              case when avg(l.v) is null then 'no-data' else 'ok' end as status
       from r left join long l on l.metric = r.metric and l."Date" >= r.d0
            and l."Date" < r.d0 + interval 3 day and contains(l.location, r.room)
@@ -127,20 +127,20 @@ def room_sql() -> dict[str, str]:
               on l.metric = w.metric and l."Date" >= w.d0 and l."Date" < w.d1
              and (w.room is null or contains(l.location, w.room))
             where w.metric is not null and w.d0 is not null and w.d1 is not null group by w.request_id)
-      select w.request_id, w.metric, w.date_from as date, w.room, round(round(v.value_mean, 8), 6) as value_mean,
+      select w.request_id, w.metric, w.date_from as date, w.room, cast(round(cast(round(v.value_mean, 8) as decimal(38, 8)), 6) as double) as value_mean,
              case when w.metric is null then 'no-metric' when w.date_from is null then 'no-date'
                   when w.d0 is null or w.d1 is null then 'bad-date'
                   when v.value_mean is null then 'no-data' else 'ok' end as status
       from w left join v on v.request_id = w.request_id"""
     q["daily_mean"] = f"""with {IAQ}, {LONG}
-      select cast(cast("Date" as date) as varchar) as day, location, metric, round(round(avg(v), 8), 6) as mean
+      select cast(cast("Date" as date) as varchar) as day, location, metric, cast(round(cast(round(avg(v), 8) as decimal(38, 8)), 6) as double) as mean
       from long group by all"""
     q["hourly_profile"] = f"""with {IAQ}, {LONG}
-      select location, cast(hour("Date") as integer) as hour, metric, round(round(avg(v), 8), 6) as mean
+      select location, cast(hour("Date") as integer) as hour, metric, cast(round(cast(round(avg(v), 8) as decimal(38, 8)), 6) as double) as mean
       from long group by all"""
     q["point_value"] = f"""with {IAQ}
       select e.event_id as ask_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') as asked_at, e.loc as location,
-             round(round(i.temperature_c, 8), 6) as temperature_c, round(round(i.humidity_rh, 8), 6) as humidity_rh
+             cast(round(cast(round(i.temperature_c, 8) as decimal(38, 8)), 6) as double) as temperature_c, cast(round(cast(round(i.humidity_rh, 8) as decimal(38, 8)), 6) as double) as humidity_rh
       from (select event_id, ts, {ROOM_LIST}[user_id % 3 + 1] as loc from events) e
       left join iaq i on i."Date" = date_trunc('hour', e.ts) and i.location = e.loc"""
     q["safe_limit"] = f"""with {IAQ}, {LONG}, {DIM},
@@ -149,14 +149,14 @@ def room_sql() -> dict[str, str]:
       select date, location, metric,
              case when omin >= lo and omax <= hi then 'within_safe_limit' else 'outside_safe_limit' end
                as expected_safe_state,
-             lo as recommended_min, hi as recommended_max, round(round(omin, 8), 6) as observed_min, round(round(omax, 8), 6) as observed_max,
+             lo as recommended_min, hi as recommended_max, cast(round(cast(round(omin, 8) as decimal(38, 8)), 6) as double) as observed_min, cast(round(cast(round(omax, 8) as decimal(38, 8)), 6) as double) as observed_max,
              case when omin >= lo and omax <= hi then null when omin < lo and omax > hi then 'below_and_above'
                   when omin < lo then 'below' else 'above' end as violation
       from d join dim using (metric) where omin is not null"""
     q["oracle_state"] = f"""with {IAQ}, {LONG}, {DIM},
       d as (select cast(cast("Date" as date) as varchar) as date, location, metric, avg(v) as m
             from long where metric in ('temperature_c', 'humidity_rh') group by all)
-      select date, location, metric, round(round(m, 8), 6) as expected_value,
+      select date, location, metric, cast(round(cast(round(m, 8) as decimal(38, 8)), 6) as double) as expected_value,
              case when lo is null or hi is null then 'unknown' when m is null then 'no-data'
                   when m < lo then 'warn-low' when m > hi then 'warn-high' else 'ok' end as expected_state
       from d join dim using (metric)"""
@@ -165,14 +165,14 @@ def room_sql() -> dict[str, str]:
       select location, metric,
              case when lo is not null and m < lo then 'warn-low' when hi is not null and m > hi then 'warn-high'
                   when has_range then 'ok' else 'info' end as status,
-             round(round(m, 8), 3) as mean_value, lo as recommended_min, hi as recommended_max,
+             cast(round(cast(round(m, 8) as decimal(38, 8)), 3) as double) as mean_value, lo as recommended_min, hi as recommended_max,
              upper(substr(location, 1, 1)) || lower(substr(location, 2)) as location_title
       from x join dim using (metric) where m is not null"""
     q["series_with_band"] = f"""with {IAQ}, {LONG}, {DIM}, {PLOT_REQ},
       p as (select request, {parse_cols()} from preq),
       w as (select *, {WINDOW} from p where metric is not null)
       select w.request as request_id, cast(l."Date" as varchar) as "Date", l.location, l.metric,
-             round(round(l.v, 8), 6) as value,
+             cast(round(cast(round(l.v, 8) as decimal(38, 8)), 6) as double) as value,
              case when l.metric in ('temperature_c', 'humidity_rh') and lo is not null and hi is not null then lo end as band_min,
              case when l.metric in ('temperature_c', 'humidity_rh') and lo is not null and hi is not null then hi end as band_max,
              case when date_from is not null and date_to is null then {TITLE.replace('metric', 'l.metric')} || ' on ' || date_from
@@ -193,26 +193,26 @@ def room_sql() -> dict[str, str]:
                       '2024-01-' || lpad(cast(o_orderkey % 30 + 1 as varchar), 2, '0') as date,
                       {ROOM_LIST}[o_custkey % 3 + 1] as location,
                       {METRIC_LIST}[o_orderkey % 5 + 1] as metric,
-                      round(round(o_totalprice / 1e4, 8), 2) as returned_value,
+                      cast(round(cast(round(o_totalprice / 1e4, 8) as decimal(38, 8)), 2) as double) as returned_value,
                       case when o_custkey % 3 = 0 then 'ok' when o_custkey % 3 = 1 then 'warn-low' end as returned_state
                from orders where o_orderstatus = 'O'),
       d as (select cast(cast("Date" as date) as varchar) as date, location, metric, avg(v) as m
             from long where metric in ('temperature_c', 'humidity_rh') group by all),
-      e as (select date, location, metric, round(round(m, 8), 6) as expected_value,
+      e as (select date, location, metric, cast(round(cast(round(m, 8) as decimal(38, 8)), 6) as double) as expected_value,
                    case when m is null then 'no-data' when m < lo then 'warn-low' when m > hi then 'warn-high'
                         else 'ok' end as expected_state from d join dim using (metric))
       select order_key, model, date, location, metric, returned_value, returned_state, expected_value, expected_state,
              coalesce(returned_state = expected_state and abs(returned_value - expected_value) <= 0.01, false) as correct
       from recs left join e using (date, location, metric)"""
     q["sample_rows"] = f"""with {IAQ}
-      select cast("Date" as varchar) as "Date", location, round(round(temperature_c, 8), 6) as temperature_c,
-             round(round(humidity_rh, 8), 6) as humidity_rh, round(round(pressure_hpa, 8), 6) as pressure_hpa,
-             round(round(IAQ_proxy, 8), 6) as IAQ_proxy, round(round(gas_resistance_ohms, 8), 6) as gas_resistance_ohms
+      select cast("Date" as varchar) as "Date", location, cast(round(cast(round(temperature_c, 8) as decimal(38, 8)), 6) as double) as temperature_c,
+             cast(round(cast(round(humidity_rh, 8) as decimal(38, 8)), 6) as double) as humidity_rh, cast(round(cast(round(pressure_hpa, 8) as decimal(38, 8)), 6) as double) as pressure_hpa,
+             cast(round(cast(round(IAQ_proxy, 8) as decimal(38, 8)), 6) as double) as IAQ_proxy, cast(round(cast(round(gas_resistance_ohms, 8) as decimal(38, 8)), 6) as double) as gas_resistance_ohms
       from iaq order by "Date", location limit 5"""
     q["union_rooms"] = f"""with {IAQ}
-      select cast("Date" as varchar) as "Date", round(round(IAQ_proxy, 8), 6) as IAQ_proxy,
+      select cast("Date" as varchar) as "Date", cast(round(cast(round(IAQ_proxy, 8) as decimal(38, 8)), 6) as double) as IAQ_proxy,
              case when location = 'kitchen' then null else IAQ_class end as IAQ_class,
-             round(round(gas_resistance_ohms, 8), 6) as gas_resistance_ohms, heat_stable, round(round(humidity_rh, 8), 6) as humidity_rh,
-             location, round(round(pressure_hpa, 8), 6) as pressure_hpa, samples_per_hour, round(round(temperature_c, 8), 6) as temperature_c
+             cast(round(cast(round(gas_resistance_ohms, 8) as decimal(38, 8)), 6) as double) as gas_resistance_ohms, heat_stable, cast(round(cast(round(humidity_rh, 8) as decimal(38, 8)), 6) as double) as humidity_rh,
+             location, cast(round(cast(round(pressure_hpa, 8) as decimal(38, 8)), 6) as double) as pressure_hpa, samples_per_hour, cast(round(cast(round(temperature_c, 8) as decimal(38, 8)), 6) as double) as temperature_c
       from iaq"""
     return q

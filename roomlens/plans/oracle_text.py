@@ -63,7 +63,7 @@ def text_sql() -> dict[str, str]:
              coalesce(regexp_matches({low}, '^(select|with)'), false) as valid_sql from g"""
     q["guarded_query"] = f"""with {IAQ}
       select cast(cast("Date" as date) as varchar) as day, location,
-             round(round(avg(temperature_c), 8), 6) as avg_temp, round(round(avg(humidity_rh), 8), 6) as avg_hum
+             cast(round(cast(round(avg(temperature_c), 8) as decimal(38, 8)), 6) as double) as avg_temp, cast(round(cast(round(avg(humidity_rh), 8) as decimal(38, 8)), 6) as double) as avg_hum
       from iaq where lower(location) like '%kitchen%' group by 1, 2"""
     words = ", ".join(f"({_q(m)}, {_q(w)})" for m, w in cases.CASE_METRICS)
     mm = ", ".join("(" + ", ".join(_q(x) for x in row) + ")" for row in cases.MINMAX_CASES)
@@ -91,8 +91,8 @@ def text_sql() -> dict[str, str]:
             from ans a join qc on qc.location = a.location and qc.metric = a.metric and qc.agg = a.agg
             join truth t on t.location = a.location and t.metric = a.metric and t.agg = a.agg
             join cleaned c on c.text_id = a.order_key)
-      select order_key, model, text as question, sql as generated_sql, round(round(result_value, 8), 6) as result_value,
-             round(round(expected, 8), 6) as expected_value,
+      select order_key, model, text as question, sql as generated_sql, cast(round(cast(round(result_value, 8) as decimal(38, 8)), 6) as double) as result_value,
+             cast(round(cast(round(expected, 8) as decimal(38, 8)), 6) as double) as expected_value,
              coalesce(regexp_matches({low}, '^(select|with)'), false) as valid_sql,
              coalesce(regexp_matches({low}, '^(select|with)'), false)
                and coalesce(abs(result_value - expected) <= 0.01, false) as correct
