@@ -17,12 +17,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roomlens.functions.numeric import fixed_rows
+from roomlens.operators.sizing import broadcast_if_small
 from roomlens.operators.topk import top_k as _top_k
-from roomlens.sources.tables import read_table
+from roomlens.sources.tables import read_table, spread
 
 EX = "http://example.org/"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -35,6 +38,9 @@ PREFIXES = {"ex:": EX, "rdf:": RDF, "rdfs:": RDFS, "xsd:": XSD}
 TRIPLE_SCHEMA = "s string, p string, o string, o_type string"
 # The characters Python's str.split() treats as whitespace.
 PY_WHITESPACE = "[\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+# The same set as literal characters, for translate() (no regex per text).
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 # The reference room graph, one (subject, predicate, object,
 # object kind) per triple, in file order.
@@ -169,14 +175,50 @@ def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def pred_key(p: str) -> str:
+    """Short partition key of a predicate IRI (its local name)."""
+    return p.rsplit("#", 1)[-1].rsplit("/", 1)[-1]
+
+
+def _pred_key_col(p: Column) -> Column:
+    return F.element_at(F.split(F.element_at(F.split(p, "#"), -1), "/"), -1)
+
+
+# (application id, data folder) -> written graph folder
+_GRAPHS: dict[tuple[str, str], str] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed room graph plus the star-schema graph."""
-    return seed_triples(spark).unionByName(star_triples(spark, sf_dir))
+    """Seed room graph plus the star-schema graph, loaded once.
+
+    Like a graph store that parses its file once and answers many pattern
+    queries, the triples are derived from the tables once per application
+    and written to the shared checkpoint folder, partitioned by predicate
+    key `pk`.  Each pattern then scans one predicate partition (partition
+    pruning) instead of re-deriving the union of table projections, and the
+    written table survives executor loss."""
+    from roomlens.session import scratch_path
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = _GRAPHS.get(key)
+    if path is None or not _exists(spark, path):
+        path = scratch_path(spark, "graph")
+        triples = seed_triples(spark).unionByName(star_triples(spark, sf_dir))
+        triples.withColumn("pk", _pred_key_col(F.col("p"))).write.partitionBy("pk").parquet(path)
+        _GRAPHS[key] = path
+    return spark.read.parquet(path).select("s", "p", "o", "o_type", "pk")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
 
 
 # ------------------------------------------------------------------------- K-1
 def _pattern(triples: DataFrame, s: str, p: str, o: str) -> DataFrame:
     df, cols = triples, []
+    if not p.startswith("?") and "pk" in triples.columns:
+        df = df.where(F.col("pk") == F.lit(pred_key(expand(p))))   # partition pruning
     for pos, term in (("s", s), ("p", p), ("o", o)):
         if term.startswith("?"):
             cols.append(F.col(pos).alias(term[1:]))
@@ -303,13 +345,22 @@ def tracks(triples: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ K-7
+def _of_preds(triples: DataFrame, *preds: str) -> DataFrame:
+    """Triples with one of the given predicates (pruned to their partitions
+    when the table is the written graph)."""
+    df = triples
+    if "pk" in triples.columns:
+        df = df.where(F.col("pk").isin(*sorted({pred_key(p) for p in preds})))
+    return df.where(F.col("p").isin(*preds))
+
+
 def _label_facts(triples: DataFrame) -> DataFrame:
     """(s, label, is_policy, extra range line or NULL) for every label triple."""
-    labels = triples.where(F.col("p") == RDFS_LABEL).select("s", F.col("o").alias("label"))
-    types = (triples.where((F.col("p") == RDF_TYPE) & F.col("o").isin(EX + "Metric", EX + "Policy"))
+    labels = _of_preds(triples, RDFS_LABEL).select("s", F.col("o").alias("label"))
+    types = (_of_preds(triples, RDF_TYPE).where(F.col("o").isin(EX + "Metric", EX + "Policy"))
              .groupBy("s").agg(F.max((F.col("o") == EX + "Metric").cast("int")).alias("is_metric"),
                                F.max((F.col("o") == EX + "Policy").cast("int")).alias("is_policy")))
-    bounds = (triples.where(F.col("p").isin(EX + "recommendedMin", EX + "recommendedMax"))
+    bounds = (_of_preds(triples, EX + "recommendedMin", EX + "recommendedMax")
               .groupBy("s").agg(F.min(F.when(F.col("p") == EX + "recommendedMin", F.col("o"))).alias("lo"),
                                 F.min(F.when(F.col("p") == EX + "recommendedMax", F.col("o"))).alias("hi")))
     name = F.element_at(F.split("s", "/"), -1)
@@ -323,16 +374,18 @@ def _label_facts(triples: DataFrame) -> DataFrame:
 
 
 def _substrings(facts: DataFrame, min_len: int) -> DataFrame:
-    """Every distinct substring (length >= min_len) of each lower-cased label."""
-    low = F.lower("label")
-    n = F.length(low)
-    starts = facts.select("s", "label", low.alias("low"), F.explode(
-        F.sequence(F.lit(1), F.greatest(n - min_len + 1, F.lit(1)))).alias("i"))
-    subs = starts.select("s", "label", F.explode(
-        F.sequence(F.lit(min_len), F.greatest(F.length("low") - F.col("i") + 1, F.lit(min_len)))).alias("len"),
-        "low", "i")
-    return (subs.where(F.col("i") + F.col("len") - 1 <= F.length("low"))
-            .select(F.substring("low", F.col("i"), F.col("len")).alias("word"), "s", "label"))
+    """Every substring (length >= min_len) of each lower-cased label that
+    contains no whitespace.  Tokens are split on whitespace, so a substring
+    spanning a space can never equal one; cutting labels into their
+    whitespace-free segments first keeps the table linear in label words
+    instead of quadratic in label length."""
+    seg = facts.select("s", "label", F.explode(F.split(F.lower("label"), PY_WHITESPACE)).alias("low"))
+    seg = seg.where(F.length("low") >= min_len)
+    n = F.length("low")
+    starts = seg.select("s", "label", "low", F.explode(F.sequence(F.lit(1), n - min_len + 1)).alias("i"))
+    subs = starts.select("s", "label", "low", "i", F.explode(
+        F.sequence(F.lit(min_len), F.length("low") - F.col("i") + 1)).alias("len"))
+    return subs.select(F.substring("low", F.col("i"), F.col("len")).alias("word"), "s", "label")
 
 
 def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
@@ -346,9 +399,12 @@ def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
     `limit` (the reference checks the budget only after appending).
     """
     facts = _label_facts(triples)
-    # distinct (text, word): one shuffle, reused by the vocabulary and the match join
-    tokens = (texts.select(id_col, F.explode(F.split(F.col(text_col), PY_WHITESPACE)).alias("w"))
-              .where(F.length("w") >= 3).select(id_col, F.lower("w").alias("word")).distinct())
+    # distinct words per text, deduplicated inside the row (a text is one
+    # row), so (text, word) pairs come out unique without a shuffle
+    spaced = F.translate(F.col(text_col), PY_WHITESPACE_CHARS, " " * len(PY_WHITESPACE_CHARS))
+    words = F.array_distinct(F.transform(
+        F.filter(F.split(spaced, " "), lambda w: F.length(w) >= 3), lambda w: F.lower(w)))
+    tokens = spread(texts.select(id_col, text_col)).select(id_col, F.explode(words).alias("word"))
     # Only substrings that occur as a word somewhere can match: semi-join the
     # label substrings to the corpus vocabulary, then dedupe the few survivors.
     vocab = tokens.select("word").distinct()
@@ -359,7 +415,10 @@ def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
                 .withColumn("is_policy_row", F.lit(0))
                 .unionByName(_top_k(cand.where("is_policy = 1"), "word", ["s", "label"], limit)
                              .withColumn("is_policy_row", F.lit(1))))
-    # per_word holds at most 2*limit rows per vocabulary word that matches a label
+    # per_word holds at most 2*limit rows per vocabulary word that matches a
+    # label; it is materialised once and broadcast only under a measured size,
+    # so the token side streams through a hash join without a shuffle.
+    per_word = broadcast_if_small(per_word)
     hits = tokens.join(per_word, "word").drop("word").distinct()
     w = Window.partitionBy(id_col, "is_policy_row").orderBy("s", "label")
     ranked = (hits.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit)
