@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomlens.sources.tables import spread
+
 # Question-word -> metric column, tested in this order (X-1).
 METRIC_WORDS = [
     ("temperature", "temperature_c"),
@@ -83,6 +85,7 @@ def clean_sql(df: DataFrame, raw_col: str, out_col: str = "sql") -> DataFrame:
     generated code).  Separate projections are not collapsed by Catalyst
     when that would duplicate non-trivial expressions, so each regex runs
     once per row."""
+    df = spread(df)   # regex rules are CPU-bound per row
     t = F.col("_t")
     steps = [
         strip_ws(F.regexp_replace(strip_ws(F.col(raw_col)), r"^`+|`+$", "")),   # caller: strip().strip("`")

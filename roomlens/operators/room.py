@@ -17,6 +17,7 @@ from roomlens.functions.numeric import stable_round
 from roomlens.functions import status as st
 from roomlens.functions import text as tx
 from roomlens.operators import kg
+from roomlens.sources.tables import spread
 
 METRICS = [m for m, _, _ in tx.METRIC_DIM]
 
@@ -175,24 +176,34 @@ def day_totals(iaq: DataFrame) -> DataFrame:
 
 def window_means(requests: DataFrame, totals: DataFrame, id_col: str = "request_id") -> DataFrame:
     """Mean of `metric` over [d0, d1) for rooms containing `room` (NULL room =
-    all rooms).  Each request is expanded to its days and equi-joined on
-    (day, metric) -- no range/theta join, so nothing is broadcast blindly and
-    a key holds at most (rooms) rows of the day table."""
-    days = requests.where(F.col("d1") > F.col("d0")).select(id_col, "metric", "room", F.explode(
-        F.sequence(F.col("d0"), F.date_sub(F.col("d1"), 1))).alias("day"))
-    j = (days.join(totals, ["day", "metric"])
-         .where(F.col("room").isNull() | F.col("location").contains(F.col("room"))))
-    agg = j.groupBy(id_col).agg(F.sum("total").alias("_s"), F.sum("n").alias("_n"))
-    return (requests.join(agg, id_col, "left")
-            .withColumn("value_mean", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")))
-            .drop("_s", "_n"))
+    all rooms), for every request (NULL when nothing matches).
+
+    One pass over the requests: each expands to its days (`explode_outer` of
+    a conditional sequence, so an empty or invalid window keeps one row and
+    there is no filter for Catalyst to push below the parsing projections),
+    left-joins the day pre-aggregate on (day, metric) -- no range join -- and
+    folds back per request.  The day table has one row per (day, room,
+    metric); AQE broadcasts it when it is measured small."""
+    cols = requests.columns
+    valid = F.col("d1") > F.col("d0")
+    days = requests.select("*", F.explode_outer(
+        F.when(valid, F.sequence(F.col("d0"), F.date_sub(F.col("d1"), 1)))).alias("_day"))
+    t = totals.select(F.col("day").alias("_day"), F.col("metric").alias("_metric"),
+                      F.col("location").alias("_loc"), F.col("total").alias("_total"), F.col("n").alias("_n"))
+    cond = ((days["_day"] == t["_day"]) & (days["metric"] == t["_metric"])
+            & (days["room"].isNull() | t["_loc"].contains(days["room"])))
+    j = days.join(t, cond, "left")
+    # every request column is a function of the id: grouping by all of them
+    # keeps a hash aggregate (no sort) and carries them through
+    agg = j.groupBy(*cols).agg(F.sum("_total").alias("_s"), F.sum("_n").alias("_cnt"))
+    return (agg.select(*cols, F.when(F.col("_cnt") > 0, F.col("_s") / F.col("_cnt")).alias("value_mean")))
 
 
 def parsed_requests(requests: DataFrame, text_col: str = "request") -> DataFrame:
     """X-1..X-4 as columns; the lower-cased text and the date list are their
     own projections so the seven metric tests and two date reads share them."""
     q = F.col(text_col)
-    p = requests.withColumn("_ql", F.lower(q)).withColumn("_dates", tx.parse_dates(q))
+    p = spread(requests).withColumn("_ql", F.lower(q)).withColumn("_dates", tx.parse_dates(q))
     ql = F.col("_ql")
     metric = F.coalesce(*[F.when(ql.rlike(rf"\b{w}\b"), F.lit(m)) for w, m in tx.METRIC_WORDS])
     room_ = F.coalesce(*[F.when(ql.contains(r), F.lit(r)) for r in tx.ROOM_WORDS])
