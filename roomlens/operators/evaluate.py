@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from roomlens.functions import text as tx
 from roomlens.functions.numeric import stable_round
 from roomlens.operators.quantiles import order_statistics
+from roomlens.operators.sizing import broadcast_if_small
 
 
 def count_if(cond: Column) -> Column:
@@ -210,7 +211,9 @@ def latency_box(pred: DataFrame, keys: list[str], value: str = "latency_s") -> D
     """A-17: quartiles (linear), whiskers at the furthest values inside
     1.5 IQR of the box; fliers not reported."""
     q = order_statistics(pred, keys, value, linear={"q1": 0.25, "median": 0.5, "q3": 0.75})
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    # one row per group: broadcast behind its measured size, so the values
+    # are not shuffled by group to find the whiskers
+    q = broadcast_if_small(q.withColumn("iqr", F.col("q3") - F.col("q1")))
     j = pred.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()).join(q, keys)
     lo_f, hi_f = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
     w = j.groupBy(*keys).agg(F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("whisker_low"),

@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomlens.operators.indexing import index_within_groups
+from roomlens.operators.sizing import broadcast_if_small
 
 
-def ranked(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
-    """(group..., _v, _pos) with NULL values dropped, plus per-group _n."""
+def ranked(df: DataFrame, group_cols: list[str], value_col: str) -> tuple[DataFrame, DataFrame]:
+    """((group..., _v, _pos) with NULL values dropped, (group..., _n)).
+    The counts are a separate per-group aggregate (partial on the map side);
+    rows are never joined to them."""
     vals = df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
     pos = index_within_groups(vals, group_cols, "_v", "_pos")
     counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    return pos.join(counts, group_cols)
+    return pos, counts
 
 
 def order_statistics(df: DataFrame, group_cols: list[str], value_col: str,
@@ -34,8 +37,7 @@ def order_statistics(df: DataFrame, group_cols: list[str], value_col: str,
                   (numpy default; p=0.5 is the median of an even count).
     nearest_rank: name -> p, the value at rank max(ceil(p*n)-1, 0).
     """
-    r = ranked(df, group_cols, value_col)
-    counts = r.select(*group_cols, "_n").distinct()
+    r, counts = ranked(df, group_cols, value_col)
     targets = []
     for name, p in (linear or {}).items():
         pos = F.lit(p) * (F.col("_n") - 1)
@@ -48,8 +50,10 @@ def order_statistics(df: DataFrame, group_cols: list[str], value_col: str,
         pos = F.greatest(F.ceil(F.lit(p).cast("decimal(10,6)") * F.col("_n")) - 1, F.lit(0))
         targets.append(F.struct(F.lit(name).alias("stat"), pos.cast("long").alias("pos"),
                                 F.lit(None).cast("double").alias("w"), F.lit(-1.0).alias("pad")))
-    t = counts.select(*group_cols, F.explode(F.array(*targets)).alias("t")).select(*group_cols, "t.*")
-    hit = t.join(r.select(*group_cols, F.col("_pos").alias("pos"), "_v"), [*group_cols, "pos"])
+    # at most 2 rows per statistic per group: broadcast behind its measured size
+    t = broadcast_if_small(
+        counts.select(*group_cols, F.explode(F.array(*targets)).alias("t")).select(*group_cols, "t.*"))
+    hit = r.select(*group_cols, F.col("_pos").alias("pos"), "_v").join(t, [*group_cols, "pos"])
     # lower (pad 0, carries weight w) and upper (pad 1) rows of each linear stat
     lo = F.max(F.when(F.col("pad") == 0, F.col("_v")))
     hi = F.max(F.when(F.col("pad") == 1, F.col("_v")))
