@@ -245,13 +245,15 @@ def series_with_band(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
                      kg_disabled: bool = False) -> DataFrame:
     """J-2: (request, Date, value, band) rows for each parsed plot request.
     The band needs both bounds, only for banded metrics, absent when KG off."""
-    p = parsed_requests(requests).where(F.col("metric").isNotNull())
+    # no metric filter: the inner join on metric drops NULL metrics anyway
+    p = parsed_requests(requests)
     p = (p.withColumn("d0", F.try_to_date("date_from", "yyyy-MM-dd"))
          .withColumn("d1", F.when(F.col("date_to").isNull(), F.date_add("d0", 1))
                      .otherwise(F.try_to_date("date_to", "yyyy-MM-dd"))))
-    days = p.where(F.col("d1") > F.col("d0")).select(
-        "request_id", "metric", "room", "date_from", "date_to",
-        F.explode(F.sequence("d0", F.date_sub("d1", 1))).alias("day"))
+    # conditional explode rather than a filter: a pushed-down filter would
+    # re-run the parsing expressions beneath it
+    days = p.select("request_id", "metric", "room", "date_from", "date_to", F.explode(
+        F.when(F.col("d1") > F.col("d0"), F.sequence("d0", F.date_sub("d1", 1)))).alias("day"))
     long = unpivot_metrics(iaq.select("Date", "location", *METRICS).withColumn("day", day_of()),
                            ["Date", "day", "location"], METRICS, "value")
     j = (days.join(long, ["day", "metric"])

@@ -26,6 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
     unsplittable file), deal its rows out round-robin so every core works.
     On a real data set the scan already yields more splits than slots and
     this returns the plan unchanged -- no shuffle is added."""
+    # A plan with an exchange is already shuffle-partitioned; asking it for
+    # its partition count would make AQE run the upstream stages.  Only a
+    # scan pipeline (no exchange, so no adaptive plan) is measured.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
