@@ -179,6 +179,19 @@ def confusion(pred: DataFrame, keys: list[str]) -> DataFrame:
         count_if((t == "SAFE") & (p != "SAFE")).alias("fn"))
 
 
+def confusion_grid(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """A-18: the 2x2 matrix as rows (true class) x columns (predicted class),
+    laid out [[tp, fn], [fp, tn]]; a prediction that is not the true class
+    (UNKNOWN included) counts in the other column.  Unfolded from the A-14
+    counts, so every key has both rows even when a class is empty."""
+    c = confusion(pred, keys)
+    cells = F.array(F.struct(F.lit("SAFE").alias("true_label"), F.col("tp").alias("pred_safe"),
+                             F.col("fn").alias("pred_unsafe")),
+                    F.struct(F.lit("UNSAFE").alias("true_label"), F.col("fp").alias("pred_safe"),
+                             F.col("tn").alias("pred_unsafe")))
+    return c.select(*keys, F.inline(cells))
+
+
 def class_accuracy(pred: DataFrame, keys: list[str]) -> DataFrame:
     """A-15: overall and per-class accuracy, 0.0 for an empty class."""
     t, p = F.col("true_label"), F.col("pred_label")

@@ -81,6 +81,10 @@ def q_confusion(spark, sf_dir):
     return ev.confusion(_predictions(spark, sf_dir), PRED_KEYS)
 
 
+def q_confusion_grid(spark, sf_dir):
+    return ev.confusion_grid(_predictions(spark, sf_dir), PRED_KEYS)
+
+
 def q_class_accuracy(spark, sf_dir):
     return ev.class_accuracy(_predictions(spark, sf_dir), PRED_KEYS)
 
@@ -168,6 +172,7 @@ QUERIES = {
     "grade_rejects": q_grade_rejects,
     "predict_parse": q_predict_parse,
     "confusion": q_confusion,
+    "confusion_grid": q_confusion_grid,
     "class_accuracy": q_class_accuracy,
     "latency_stats": q_latency_stats,
     "latency_box": q_latency_box,

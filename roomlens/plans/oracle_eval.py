@@ -190,6 +190,9 @@ def eval_sql() -> dict[str, str]:
     q["predict_parse"] = f"""{P} select run, model, image_path, true_label, pred_label, is_correct,
       {R('latency_s', 6)} as latency_s from p"""
     q["confusion"] = f"{P}, {CONF} select * from conf"
+    q["confusion_grid"] = f"""{P}, {CONF}
+      select run, model, 'SAFE' as true_label, tp as pred_safe, fn as pred_unsafe from conf
+      union all select run, model, 'UNSAFE' as true_label, fp as pred_safe, tn as pred_unsafe from conf"""
     q["class_accuracy"] = f"{P}, {ACC} select * from acc"
     q["latency_stats"] = f"{P}, {LAT} select * from lat"
     q["latency_box"] = f"""{P},

@@ -105,7 +105,11 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- item files
 def write_item_files(df: DataFrame, base_dir: str, rel_path_col: str, content_col: str) -> DataFrame:
-    """Write each row's bytes/text to base_dir/<rel_path>; returns (path, size)."""
+    """Write each row's bytes/text to base_dir/<rel_path>; returns (path, size).
+
+    Builds per-item files (images, response texts) for the S-14/S-17 scans,
+    from executors.  It uses plain file I/O, so `base_dir` must be a shared
+    POSIX-mounted folder on a cluster."""
     def writer(batches):
         import pandas as pd
         for b in batches:

@@ -90,3 +90,11 @@ def test_merge_grades_last_wins_and_rejects(spark):
     assert m[("f1", 0)].correct is True and m[("f1", 0)].graded_at is None
     assert [(r.file, r["index"]) for r in rejected.collect()] == [("f1", 9)]
     assert merged.count() == recs.count()
+
+
+def test_confusion_grid_layout(spark, preds):
+    """A-18: [[tp, fn], [fp, tn]], both rows present even for an empty class."""
+    g = {(r.model, r.true_label): (r.pred_safe, r.pred_unsafe)
+         for r in ev.confusion_grid(preds, ["model"]).collect()}
+    assert g[("m1", "SAFE")] == (1, 2) and g[("m1", "UNSAFE")] == (1, 1)
+    assert g[("m2", "SAFE")] == (0, 0) and g[("m2", "UNSAFE")] == (0, 2)
