@@ -43,8 +43,10 @@ def read_room_csvs(spark: SparkSession, paths: list[str], metric_cols: list[str]
     parts = []
     for p in sorted(paths):
         df = spark.read.option("header", True).csv(p)          # all strings: header decides columns
-        name_loc = F.lower(F.regexp_extract(F.lower(F.col("_metadata.file_path")),
-                                            r"/(\w+)_measurements_iaq_1h_avg\.csv/", 1))
+        # searched in the file's own name (or its folder's, for Spark-written
+        # part files), leftmost match, Unicode \w as in the reference
+        name_loc = F.regexp_extract(F.lower(F.col("_metadata.file_path")),
+                                    r"(?U)(\w+)_measurements_iaq_1h_avg\.csv(?:/[^/]*)?$", 1)
         if "location" not in df.columns:
             df = df.withColumn("location", F.when(name_loc != "", name_loc).otherwise(F.lit("unknown")))
         casts = []
