@@ -36,13 +36,45 @@ def write_room_csvs(rooms: dict[str, DataFrame], out_dir: str) -> list[str]:
     return paths
 
 
+def _first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Header line of each CSV (for a Spark-written folder, of its first part
+    file), read through Hadoop's FileSystem on the driver: one short read per
+    file, like a listing -- no data rows are read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        target = hp
+        if fs.getFileStatus(hp).isDirectory():
+            parts = sorted(str(st.getPath()) for st in fs.listStatus(hp)
+                           if st.isFile() and not st.getPath().getName().startswith(("_", ".")))
+            if not parts:
+                continue
+            target = jvm.org.apache.hadoop.fs.Path(parts[0])
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(target), "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line is not None:
+            out[p] = line.lstrip("\ufeff")
+    return out
+
+
 def read_room_csvs(spark: SparkSession, paths: list[str], metric_cols: list[str]) -> DataFrame:
-    """S-1 + S-3 + S-4 + S-5: read each room file (its header decides its
-    columns), derive a missing location from the file name, coerce types
-    (bad timestamps/numbers become NULL), union by name, sort columns."""
+    """S-1 + S-3 + S-4 + S-5: files are grouped by their header line and each
+    group is one CSV read (so the plan grows with the number of distinct
+    headers, not files); a missing location comes from the file name; types
+    are coerced (bad timestamps/numbers become NULL); groups are unioned by
+    name and columns sorted."""
+    by_header: dict[str, list[str]] = {}
+    for path, header in _first_lines(spark, sorted(paths)).items():
+        by_header.setdefault(header, []).append(path)
     parts = []
-    for p in sorted(paths):
-        df = spark.read.option("header", True).csv(p)          # all strings: header decides columns
+    for header in sorted(by_header):
+        df = spark.read.option("header", True).csv(by_header[header])   # all strings
         # searched in the file's own name (or its folder's, for Spark-written
         # part files), leftmost match, Unicode \w as in the reference
         name_loc = F.regexp_extract(F.lower(F.col("_metadata.file_path")),

@@ -53,3 +53,14 @@ def test_ntriples_roundtrip(spark, tmp_path):
     files.write_ntriples(src, path)
     back = files.read_ntriples(spark, path)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_room_csvs_one_read_per_header(spark, tmp_path):
+    d = tmp_path / "same"
+    d.mkdir()
+    for room in ("hallway", "kitchen", "office"):
+        (d / f"{room}_measurements_IAQ_1h_avg.csv").write_text("Date,temperature_c\n2024-01-01 00:00:00,20\n")
+    df = files.read_room_csvs(spark, [str(p) for p in d.iterdir()], METRICS)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1            # three files, one header, one scan
+    assert sorted(r.location for r in df.collect()) == ["hallway", "kitchen", "office"]
