@@ -158,7 +158,9 @@ def q_stream_summary(spark, sf_dir):
     the batch one."""
     src = scratch_path(spark, "stream-src")
     recs = fx.records(spark, sf_dir, with_index=False)
-    recs.repartition(4).write.mode("overwrite").json(src)
+    # files of bounded size, written in parallel; their number grows with
+    # the data and each micro-batch takes `max_files` of them
+    recs.write.mode("overwrite").option("maxRecordsPerFile", 50_000).json(src)
     name = "summary_" + uuid.uuid4().hex[:8]
     out = summary_stream(spark, src, recs.schema, scratch_path(spark, "stream-ckpt"), name, max_files=2)
     return out
