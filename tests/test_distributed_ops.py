@@ -100,3 +100,24 @@ def test_sample_short_class_with_replacement(spark):
     xs = [r for r in s if r.cls == "x"]
     assert len(xs) == 4 and all(r.with_replacement for r in xs) and {r.item for r in xs} <= {"a", "b"}
     assert len([r for r in s if r.cls == "y"]) == 4
+
+
+def test_broadcast_if_small_both_branches(spark):
+    from roomlens.operators.sizing import broadcast_if_small
+    spark.conf.set("spark.sql.adaptive.enabled", "false")   # inspect the static plan
+    try:
+        big = spark.range(20000).withColumn("g", F.col("id") % 5)
+        small = spark.range(5).withColumnRenamed("id", "g").withColumn("name", F.concat(F.lit("g"), F.col("g")))
+        under = big.join(broadcast_if_small(small), "g")
+        over = big.join(broadcast_if_small(small, max_bytes=0), "g")
+        assert "BroadcastHashJoin" in under._jdf.queryExecution().executedPlan().toString()
+        auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = over._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        assert "SortMergeJoin" in plan
+        assert under.count() == over.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
