@@ -49,8 +49,16 @@ METRIC_DIM = [
 ]
 
 
+# Python's whitespace (str.isspace) and line boundaries (str.splitlines),
+# derived from Python itself; Java's and RE2's \s are narrower.
+PY_SPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+PY_STRIP = f"^[{PY_SPACE}]+|[{PY_SPACE}]+$"
+PY_LINE_BREAK = "\r\n|[" + "".join(ch for ch in PY_SPACE if len(("a" + ch + "b").splitlines()) == 2) + "]"
+
+
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python's str.strip()."""
+    return F.regexp_replace(c, PY_STRIP, "")
 
 
 # ------------------------------------------------------------ request parsing
@@ -91,8 +99,10 @@ def clean_sql(df: DataFrame, raw_col: str, out_col: str = "sql") -> DataFrame:
         strip_ws(F.regexp_replace(strip_ws(F.col(raw_col)), r"^`+|`+$", "")),   # caller: strip().strip("`")
         F.when(F.size(F.split(t, "```", -1)) >= 3, strip_ws(F.get(F.split(t, "```", -1), 1)))
          .when(t.contains("```"), strip_ws(F.replace(t, F.lit("```"), F.lit("")))).otherwise(t),
-        F.when(F.regexp_extract(t, r"^([^\r\n]*)", 1).rlike(r"(?i)^\s*sql\s*$"),
-               strip_ws(F.regexp_replace(t, r"^[^\r\n]*(\r\n|\r|\n)?", ""))).otherwise(t),
+        # first line is `sql`: the other lines, re-joined with \n (splitlines)
+        F.when(F.get(F.split(t, PY_LINE_BREAK, 2), 0).rlike(r"(?iU)^\s*sql\s*$"),
+               strip_ws(F.regexp_replace(F.coalesce(F.get(F.split(t, PY_LINE_BREAK, 2), 1), F.lit("")),
+                                         PY_LINE_BREAK, "\n"))).otherwise(t),
         F.regexp_replace(t, r"(?i)^\s*(sql|query)\s*:\s*", ""),
         F.when(~t.rlike(r"(?i)^\s*(select|with)\b") & t.rlike(r"(?i)\bselect\b"),
                F.regexp_extract(t, r"(?is)^.*?(\bselect\b.*)$", 1)).otherwise(t),

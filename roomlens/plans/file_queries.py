@@ -83,7 +83,7 @@ def q_csv_roundtrip(spark, sf_dir):
     back = back.select("latency_s", F.regexp_extract(fp, r"/model=([^/]+)/", 1).alias("model"),
                        F.regexp_extract(fp, r"/(raw_safety_[a-z]+\.csv)/", 1).alias("file_name"))
     rank = F.when(F.col("file_name") == RESULT_FILE_NAMES[0], 0).otherwise(1)
-    lat_v = F.regexp_replace(F.col("latency_s"), r"^\s+|\s+$", "").try_cast("double")
+    lat_v = tx.strip_ws(F.col("latency_s")).try_cast("double")
     # Pre-aggregate per (model, file) -- at most two rows per model -- then
     # choose the preferred file among those: rows are never joined back to a
     # per-model table (one model can hold most rows).

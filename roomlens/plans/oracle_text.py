@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from roomlens.functions.text import PY_LINE_BREAK
+
 from roomlens.operators import cases
 from roomlens.plans import text_queries as tq
 from roomlens.plans.oracle_kg import context_ctes, seed_triples_cte
@@ -35,12 +37,17 @@ def ws(x: str) -> str:
     return WS.format(x=x)
 
 
+# the lines after the first, re-joined with a newline (str.splitlines)
+AFTER_FIRST_LINE = (f"regexp_replace(coalesce(regexp_extract(t, '(?s)^.*?(?:{PY_LINE_BREAK})(.*)$', 1), ''), "
+                    f"'{PY_LINE_BREAK}', chr(10), 'g')")
+
 CLEAN = f"""c0 as (select text_id, raw_text, {ws("regexp_replace(" + ws('raw_text') + ", '^`+|`+$', '', 'g')")} as t from gen),
 c1 as (select text_id, raw_text, case when len(string_split(t, '```')) >= 3 then {ws("string_split(t, '```')[2]")}
                                  when contains(t, '```') then {ws("replace(t, '```', '')")} else t end as t from c0),
 c2 as (select text_id, raw_text,
-              case when regexp_full_match(regexp_extract(t, '^([^\\r\\n]*)', 1), '(?i)\\s*sql\\s*')
-                   then {ws("regexp_replace(t, '^[^\\r\\n]*(\\r\\n|\\r|\\n)?', '')")} else t end as t from c1),
+              case when regexp_full_match(string_split_regex(t, '{PY_LINE_BREAK}')[1], '(?i)\\s*sql\\s*')
+                   then {ws(AFTER_FIRST_LINE)}
+                   else t end as t from c1),
 c3 as (select text_id, raw_text, regexp_replace(t, '(?i)^\\s*(sql|query)\\s*:\\s*', '') as t from c2),
 c4 as (select text_id, raw_text,
               case when not regexp_matches(t, '(?i)^\\s*(select|with)\\b') and regexp_matches(t, '(?i)\\bselect\\b')

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roomlens.functions.text import PY_STRIP
+
 from roomlens.plans import (eval_queries, file_queries, kg_queries, oracle_eval, oracle_files, oracle_kg,
                             oracle_sql, oracle_text, room_queries, text_queries)
 
@@ -29,4 +31,11 @@ def oracle() -> dict[str, str]:
     out.update(oracle_eval.eval_sql())
     out.update(oracle_text.text_sql())
     out.update(oracle_files.files_sql())
-    return {k: v for k, v in out.items() if k in queries()}
+    return {k: _python_strip(v) for k, v in out.items() if k in queries()}
+
+
+def _python_strip(sql: str) -> str:
+    """The twins write whitespace trimming as `'^\\s+|\\s+$'` for
+    readability; Python's strip() (what the reference calls) removes a
+    wider set, so its exact class is substituted."""
+    return sql.replace("'^\\s+|\\s+$'", "'" + PY_STRIP + "'")

@@ -44,6 +44,10 @@ def test_parse_dates_and_room(spark):
     ("Here is it: SELECT x FROM iaq", "SELECT x FROM iaq"),
     ("with a as (select 1) select * from a", "with a as (select 1) select * from a"),
     ("", ""),
+    # str.splitlines / str.strip semantics (CRLF re-joined with \n, Unicode spaces)
+    ("sql\r\nselect a\r\nfrom t", "select a\nfrom t"),
+    ("\u3000select 1\u2003", "select 1"),
+    ("SQL\u2028select 2", "select 2"),
 ])
 def test_clean_sql_rules(spark, raw, expected):
     df = one_col(spark, [raw], "raw")
@@ -71,8 +75,9 @@ def test_sql_valid_strips_all_whitespace(spark):
 
 
 def test_header_truthy(spark):
-    df = one_col(spark, [" TRUE ", "yes", "0", None, "On"])
-    assert col_values(df.select(tx.header_truthy(F.col("t")).alias("v")), "v") == [True, True, False, False, True]
+    df = one_col(spark, [" TRUE ", "yes", "0", None, "On", "\u00a0yes\x1c"])
+    assert col_values(df.select(tx.header_truthy(F.col("t")).alias("v")), "v") == [True, True, False, False, True,
+                                                                                   True]
 
 
 def test_normalize_and_prediction_label(spark):
