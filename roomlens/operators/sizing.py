@@ -3,15 +3,15 @@
 A side computed from the data (not a fixed list) has no static bound, so it
 is materialised once with a reliable checkpoint under the shared
 ``spark.checkpoint.dir`` (one computation, lineage cut, survives executor
-loss), its payload bytes are summed on the executors (one number comes
-back), and it is broadcast only when that is within the session's
+loss), its payload bytes are summed on the executors while that job runs
+(an observed metric: one number comes back), and it is broadcast only when that is within the session's
 ``spark.sql.autoBroadcastJoinThreshold``.  Above it the join stays a
 shuffle join, where AQE can still split skewed keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -47,6 +47,9 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     from roomlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     limit = _threshold(df) if max_bytes is None else max_bytes
-    m = df.checkpoint(eager=True)
-    size = m.select(F.sum(_row_bytes(m)).alias("b")).first()["b"] or 0
+    # the payload bytes are observed while the checkpoint job writes the
+    # rows: one job materialises and measures
+    obs = Observation("broadcast_if_small")
+    m = df.observe(obs, F.sum(_row_bytes(df)).alias("b")).checkpoint(eager=True)
+    size = obs.get.get("b") or 0
     return F.broadcast(m) if 0 <= size <= limit else m
