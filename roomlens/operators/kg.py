@@ -289,11 +289,13 @@ def metric_ranges(triples: DataFrame) -> DataFrame:
     """K-6 as a dimension: (lower label, min, max) per Metric entity; the first
     entity by subject wins when two share a label; unparseable bounds drop."""
     m = metrics_with_ranges(triples)
-    w = Window.partitionBy("label").orderBy("m")
-    return (m.select(F.lower("mlab").alias("label"), "m",
-                     F.col("min").try_cast("double").alias("lo"),
-                     F.col("max").try_cast("double").alias("hi"))
-            .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "m"))
+    # first entity per label as an aggregate (partial on the map side), so
+    # many entities sharing a label never gather in one window task
+    first = (m.select(F.lower("mlab").alias("label"), "m",
+                      F.col("min").try_cast("double").alias("lo"),
+                      F.col("max").try_cast("double").alias("hi"))
+             .groupBy("label").agg(F.min(F.struct("m", "lo", "hi")).alias("f")))
+    return first.select("label", "f.lo", "f.hi")
 
 
 # ------------------------------------------------------------------ K-8, K-9
