@@ -236,6 +236,32 @@ def latency_box(pred: DataFrame, keys: list[str], value: str = "latency_s") -> D
                                     for c in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")])
 
 
+def prediction_summary(pred: DataFrame, keys: list[str], value: str = "latency_s") -> DataFrame:
+    """J-8: one row per key with A-14, A-15 and A-16 from a single grouped
+    aggregate (partial on the map side) over the parsed predictions; only
+    the median and p95 come from the order statistics and are joined by key
+    (one row per key on each side)."""
+    t, p = F.col("true_label"), F.col("pred_label")
+    agg = pred.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), count_if(F.col("is_correct")).alias("correct"),
+        count_if(t == "SAFE").alias("safe_total"), count_if(t == "UNSAFE").alias("unsafe_total"),
+        count_if((t == "SAFE") & (p == "SAFE")).alias("tp"),
+        count_if((t == "UNSAFE") & (p == "UNSAFE")).alias("tn"),
+        count_if((t == "UNSAFE") & (p != "UNSAFE")).alias("fp"),
+        count_if((t == "SAFE") & (p != "SAFE")).alias("fn"),
+        F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = order_statistics(pred, keys, value, linear={"median": 0.5}, nearest_rank={"p95": 0.95})
+
+    def ratio(a: str, b: str) -> Column:
+        return stable_round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+
+    return agg.join(q.select(*keys, "median", "p95"), keys, "left").select(
+        *keys, "total", "correct", ratio("correct", "total").alias("accuracy"),
+        ratio("tp", "safe_total").alias("safe_accuracy"), ratio("tn", "unsafe_total").alias("unsafe_accuracy"),
+        "tp", "tn", "fp", "fn",
+        *[stable_round(c, 6).alias(f"latency_{c}_s") for c in ("mean", "min", "max", "median", "p95")])
+
+
 # Summary rows of the published metric table, in order (S-19).
 METRIC_ROWS = [
     ("Accuracy", "accuracy"), ("Safe Accuracy", "safe_accuracy"), ("Unsafe Accuracy", "unsafe_accuracy"),

@@ -99,9 +99,7 @@ def q_latency_box(spark, sf_dir):
 
 def q_metric_long(spark, sf_dir):
     p = _predictions(spark, sf_dir)
-    summary = (ev.class_accuracy(p, PRED_KEYS).join(ev.confusion(p, PRED_KEYS), PRED_KEYS)
-               .join(ev.latency_stats(p, PRED_KEYS), PRED_KEYS))
-    return ev.metric_long(summary, PRED_KEYS)
+    return ev.metric_long(ev.prediction_summary(p, PRED_KEYS), PRED_KEYS)
 
 
 def q_class_sample(spark, sf_dir):

@@ -98,3 +98,16 @@ def test_confusion_grid_layout(spark, preds):
          for r in ev.confusion_grid(preds, ["model"]).collect()}
     assert g[("m1", "SAFE")] == (1, 2) and g[("m1", "UNSAFE")] == (1, 1)
     assert g[("m2", "SAFE")] == (0, 0) and g[("m2", "UNSAFE")] == (0, 2)
+
+
+def test_prediction_summary_matches_separate_operators(spark, preds):
+    """J-8 in one pass equals A-14, A-15 and A-16 computed separately."""
+    one = {r.model: r.asDict() for r in ev.prediction_summary(preds, ["model"]).collect()}
+    acc = {r.model: r.asDict() for r in ev.class_accuracy(preds, ["model"]).collect()}
+    conf = {r.model: r.asDict() for r in ev.confusion(preds, ["model"]).collect()}
+    lat = {r.model: r.asDict() for r in ev.latency_stats(preds, ["model"]).collect()}
+    for m in one:
+        for src in (acc[m], conf[m], lat[m]):
+            for k, v in src.items():
+                if k in one[m]:
+                    assert one[m][k] == v, (m, k)
