@@ -57,3 +57,30 @@ def test_stream_summary_equals_batch(spark, tmp_path):
     key = lambda r: (r.model, r.task)
     assert sorted(map(tuple, streamed.collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
     assert sum(r.total for r in batch.collect()) == len(recs)
+
+
+def test_stream_summary_resumes_from_checkpoint(spark, tmp_path):
+    """A restarted query keeps its aggregation state from the checkpoint:
+    files seen before the restart are not counted again."""
+    from pyspark.sql.types import _parse_datatype_string
+    schema = ("model string, task string, condition string, correct boolean, latency_s string, "
+              "latency_total_s string, latency_interp_s string, latency_plot_s string")
+    st = _parse_datatype_string(schema)
+    src = tmp_path / "src"
+    src.mkdir()
+
+    def write(part, keys):
+        rows = [{"model": ["m1", "m2"][k % 2], "task": "nl_sql", "condition": None,
+                 "correct": None if k % 3 == 0 else bool(k % 2), "latency_s": str(k),
+                 "latency_total_s": None, "latency_interp_s": None, "latency_plot_s": None} for k in keys]
+        (src / f"part-{part}.jsonl").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+
+    ckpt = scratch_path(spark, "t1-restart")
+    write(0, range(0, 30))
+    first = summary_stream(spark, str(src), st, ckpt, "t1_first", max_files=1)
+    assert sum(r.total for r in first.collect()) == 30
+    write(1, range(30, 50))
+    second = summary_stream(spark, str(src), st, ckpt, "t1_second", max_files=1)
+    batch = ev.summarize_records(spark.read.schema(st).json(str(src)))
+    assert sorted(map(tuple, second.collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
+    assert sum(r.total for r in second.collect()) == 50
