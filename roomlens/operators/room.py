@@ -76,6 +76,39 @@ def daily_cards(iaq: DataFrame, dim: DataFrame, kg_disabled: bool = False) -> Da
                                    kg_disabled).alias("status"))
 
 
+def cards_for_requests(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
+                       kg_disabled: bool = False) -> DataFrame:
+    """A-3 + F-1 + F-2 (regex form) + F-7 for a table of card requests
+    (request_id, date, location): the mean of each banded metric over the
+    rows of [date, date + 1 day) whose lower-cased location matches the
+    lower-cased request text as a regex (searched, not anchored).
+
+    Day-level (sum, count) per room is pre-aggregated; requests equi-join it
+    on the day (at most one row per room per day), the regex filters rooms,
+    and one hash aggregate per request combines them.  A request with no
+    matching rows gets `no-data` cards, an unparseable date `bad-date`."""
+    aggs = []
+    for m in st.BANDED_METRICS:
+        aggs += [F.sum(m).alias(f"{m}__s"), F.count(m).alias(f"{m}__n")]
+    per_room = iaq.groupBy(day_of().alias("_day"), F.col("location").alias("_loc")).agg(*aggs)
+    req = requests.withColumn("_d0", F.try_to_date("date", "yyyy-MM-dd"))
+    j = (req.join(per_room, req["_d0"] == per_room["_day"], "left")
+         .where(F.col("_loc").isNull() | F.regexp_like(F.lower(F.col("_loc")), F.lower(F.col("location")))))
+    sums = []
+    for m in st.BANDED_METRICS:
+        sums += [F.sum(f"{m}__s").alias(f"{m}__s"), F.sum(f"{m}__n").alias(f"{m}__n")]
+    per_req = j.groupBy("request_id").agg(*sums)
+    wide = req.join(per_req, "request_id", "left").select(
+        "request_id", "date", "location", "_d0",
+        *[F.when(F.col(f"{m}__n") > 0, F.col(f"{m}__s") / F.col(f"{m}__n")).alias(m) for m in st.BANDED_METRICS])
+    long = unpivot_metrics(wide, ["request_id", "date", "location", "_d0"], st.BANDED_METRICS, "mean")
+    status = F.when(F.col("_d0").isNull(), F.lit("bad-date")).otherwise(
+        st.card_status(F.col("metric"), F.col("mean"), F.col("lo"), F.col("hi"), kg_disabled))
+    return long.join(dim, "metric", "left").select(
+        "request_id", "date", "location", F.col("metric").alias("title"),
+        stable_round("mean", 2).alias("value"), status.alias("status"))
+
+
 def _py_float_text(v: Column) -> Column:
     """Python's str() of an already-rounded float; NULL prints as nan."""
     return F.coalesce(v.cast("string"), F.lit("nan"))

@@ -23,6 +23,23 @@ def q_daily_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return room.daily_cards(fx.iaq(spark, sf_dir), room.metric_dim(spark))
 
 
+# Location texts asked of the display route (a regex each).
+CARD_LOCATIONS = ["kitchen", "Office", "hallway", "^h", "office|hall", "KIT", "garage"]
+
+
+def card_request_table(iaq: DataFrame) -> DataFrame:
+    """Every day in the data x each asked location, plus one impossible date."""
+    days = iaq.select(room.day_of().cast("string").alias("date")).distinct()
+    days = days.unionByName(iaq.sparkSession.createDataFrame([("2024-13-45",)], "date string"))
+    req = days.select("date", fixed_rows(["location"], [(x,) for x in CARD_LOCATIONS]))
+    return req.withColumn("request_id", F.concat_ws("|", "date", "location"))
+
+
+def q_card_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    iaq = fx.iaq(spark, sf_dir)
+    return room.cards_for_requests(card_request_table(iaq), iaq, room.metric_dim(spark))
+
+
 def q_daily_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return room.daily_ticker(fx.iaq(spark, sf_dir))
 
@@ -157,6 +174,7 @@ def q_union_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "daily_cards": q_daily_cards,
     "daily_ticker": q_daily_ticker,
+    "card_requests": q_card_requests,
     "location_stats": q_location_stats,
     "window_value": q_window_value,
     "value_questions": q_value_questions,

@@ -78,3 +78,19 @@ def test_window_means_half_open(spark, iaq):
     assert got["r1"] == pytest.approx(sum(day1) / 4)
     assert got["r2"] == pytest.approx(sum(both) / 8)
     assert got.get("r3") is None
+
+
+def test_cards_for_requests_regex_locations(spark, iaq):
+    """F-2 regex form: searched in the lower-cased location; several rooms
+    combine into one mean; no match -> no-data; bad date -> bad-date."""
+    req = spark.createDataFrame([("a", "2024-01-01", "^K"), ("b", "2024-01-01", "office|kitchen"),
+                                 ("c", "2024-01-01", "garage"), ("d", "2024-13-45", "kitchen")],
+                                "request_id string, date string, location string")
+    out = {(r.request_id, r.title): (r.value, r.status)
+           for r in room.cards_for_requests(req, iaq, room.metric_dim(spark)).collect()}
+    kitchen = [20.0 + h + 1 for h in range(4)]
+    office = [25.0 + h + 1 for h in range(4)]
+    assert out[("a", "temperature_c")][0] == round(sum(kitchen) / 4, 2)
+    assert out[("b", "temperature_c")][0] == round(sum(kitchen + office) / 8, 2)
+    assert out[("c", "temperature_c")] == (None, "no-data")
+    assert out[("d", "humidity_rh")] == (None, "bad-date")
