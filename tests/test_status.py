@@ -43,3 +43,15 @@ def test_safe_limit_inclusive(spark):
     got = [tuple(r) for r in df.select(state, viol).collect()]
     assert got == [("within_safe_limit", None), ("outside_safe_limit", "below"),
                    ("outside_safe_limit", "above"), ("outside_safe_limit", "below_and_above")]
+
+
+def test_rounding_trap(spark):
+    """Trap 2: SQL half-up on the value snapped to 8 places (2.675 -> 2.68,
+    0.125 -> 0.13, and the double 32.494999999999997 -> 32.5), unlike
+    Python's binary half-even round."""
+    from roomlens.functions.numeric import stable_round
+    df = spark.createDataFrame([(2.675,), (0.125,), (32.494999999999997,), (1.0049999999,), (1.00499,)],
+                               "v double")
+    got = [r[0] for r in df.select(stable_round(F.col("v"), 2)).collect()]
+    # within 1e-8 of a tie counts as the tie (summation-order noise); further away does not
+    assert got == [2.68, 0.13, 32.5, 1.01, 1.0]
