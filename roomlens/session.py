@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # F-9: no `SELECT ... FROM parquet.`/path` reads through the SQL surface.
     "spark.sql.runSQLOnFiles": "false",
+    # checkpoint files of a DataFrame nobody references any more are removed
+    # by Spark's cleaner, so the shared folder does not grow per query
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
