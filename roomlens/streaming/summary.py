@@ -12,6 +12,7 @@ stops, which is what a periodic refresh needs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from roomlens.operators.evaluate import summarize_records
@@ -26,3 +27,16 @@ def summary_stream(spark: SparkSession, source_dir: str, schema: StructType, che
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(query_name)
+
+
+def live_summary(spark: SparkSession, source_dir: str, schema: StructType, checkpoint_dir: str,
+                 query_name: str, every_seconds: int = 5, max_files: int = 100) -> StreamingQuery:
+    """T-1 as the reference runs it: the summary refreshed every
+    `every_seconds`.  Returns the running query; `spark.table(query_name)`
+    holds the latest complete summary, and the checkpoint lets a restarted
+    query continue from its state."""
+    records = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+               .json(source_dir))
+    return (summarize_records(records).writeStream.outputMode("complete").format("memory")
+            .queryName(query_name).option("checkpointLocation", checkpoint_dir)
+            .trigger(processingTime=f"{every_seconds} seconds").start())

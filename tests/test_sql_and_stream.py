@@ -84,3 +84,27 @@ def test_stream_summary_resumes_from_checkpoint(spark, tmp_path):
     batch = ev.summarize_records(spark.read.schema(st).json(str(src)))
     assert sorted(map(tuple, second.collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
     assert sum(r.total for r in second.collect()) == 50
+
+
+def test_live_summary_refreshes(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+    from roomlens.streaming.summary import live_summary
+    st = _parse_datatype_string("model string, task string, condition string, correct boolean, latency_s string, "
+                                "latency_total_s string, latency_interp_s string, latency_plot_s string")
+    src = tmp_path / "live"
+    src.mkdir()
+
+    def write(part, n):
+        rows = [{"model": "m", "task": "nl_sql", "correct": bool(k % 2), "latency_s": "1"} for k in range(n)]
+        (src / f"p{part}.jsonl").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+
+    write(0, 4)
+    q = live_summary(spark, str(src), st, scratch_path(spark, "live-ckpt"), "t1_live", every_seconds=1)
+    try:
+        q.processAllAvailable()
+        assert spark.table("t1_live").collect()[0].total == 4
+        write(1, 6)
+        q.processAllAvailable()
+        assert spark.table("t1_live").collect()[0].total == 10
+    finally:
+        q.stop()
