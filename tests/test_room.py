@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from roomlens.operators import room
 
-from conftest import rows
 
 
 @pytest.fixture(scope="module")

@@ -1,9 +1,7 @@
 """S-1..S-5 room CSVs and S-8 N-Triples on files written by the test."""
 
-import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from roomlens.operators import kg
 from roomlens.sources import files

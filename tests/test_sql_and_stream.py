@@ -1,7 +1,6 @@
 """F-8/F-9 guarded SQL and T-1 streaming summary == batch summary."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
