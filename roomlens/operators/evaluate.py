@@ -53,18 +53,22 @@ def console_summary(summary: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------- A-11..A-13, A-21
 def file_counts(recs: DataFrame) -> DataFrame:
-    """A-11 + A-13 + A-21 per result file."""
-    agg = recs.groupBy("file").agg(
-        F.count(F.lit(1)).alias("total"),
-        count_if(F.col("correct").isNotNull()).alias("graded"),
-        count_if(F.col("correct") == F.lit(True)).alias("correct"),
-        F.min(F.when(F.col("correct").isNull(), F.col("index"))).alias("_first_pending"))
-    return agg.select(
-        "file", tx.task_type_for_file(F.col("file")).alias("task_type"), "total", "graded",
-        (F.col("total") - F.col("graded")).alias("pending"), "correct",
-        F.when(F.col("total") > 0, F.round(F.col("graded") * 100 / F.col("total"), 0).cast("long"))
-         .otherwise(F.lit(0)).alias("progress_pct"),
-        F.coalesce("_first_pending", F.lit(0).cast("long")).alias("first_pending"))
+    """A-11 + A-13 + A-21 per result file.  `first_pending` (A-21) needs the
+    line index; records without an `index` column give the counts only."""
+    with_index = "index" in recs.columns
+    aggs = [F.count(F.lit(1)).alias("total"),
+            count_if(F.col("correct").isNotNull()).alias("graded"),
+            count_if(F.col("correct") == F.lit(True)).alias("correct")]
+    if with_index:
+        aggs.append(F.min(F.when(F.col("correct").isNull(), F.col("index"))).alias("_first_pending"))
+    agg = recs.groupBy("file").agg(*aggs)
+    cols = ["file", tx.task_type_for_file(F.col("file")).alias("task_type"), "total", "graded",
+            (F.col("total") - F.col("graded")).alias("pending"), "correct",
+            F.when(F.col("total") > 0, F.round(F.col("graded") * 100 / F.col("total"), 0).cast("long"))
+             .otherwise(F.lit(0)).alias("progress_pct")]
+    if with_index:
+        cols.append(F.coalesce("_first_pending", F.lit(0).cast("long")).alias("first_pending"))
+    return agg.select(*cols)
 
 
 def grand_totals(files: DataFrame) -> DataFrame:
