@@ -413,10 +413,11 @@ def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
     subs = _substrings(facts, 3).join(vocab, "word", "left_semi").distinct()
     # Per distinct word: its `limit` first label rows and `limit` first policy rows.
     cand = subs.join(facts, ["s", "label"])
-    per_word = (_top_k(cand, "word", ["s", "label"], limit)
-                .withColumn("is_policy_row", F.lit(0))
-                .unionByName(_top_k(cand.where("is_policy = 1"), "word", ["s", "label"], limit)
-                             .withColumn("is_policy_row", F.lit(1))))
+    # One ranking pass for both lists: a policy label enters the label list
+    # (branch 0) and the policy list (branch 1), other labels branch 0 only.
+    branches = F.when(F.col("is_policy") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    per_word = _top_k(cand.select("*", F.explode(branches).alias("is_policy_row")),
+                      ["word", "is_policy_row"], ["s", "label"], limit)
     # per_word holds at most 2*limit rows per vocabulary word that matches a
     # label; it is materialised once and broadcast only under a measured size,
     # so the token side streams through a hash join without a shuffle.
