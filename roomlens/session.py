@@ -3,13 +3,16 @@
 Everything scale-related is configured here once: AQE (runtime re-planning,
 partition coalescing, skew-join splitting), a UTC session zone (the test
 parquet is timestamp_ntz), and the UI off.  Shared storage for lineage cuts
-and written intermediates comes from ``spark.checkpoint.dir``; we only set
-our own when the cluster left it unset (local tests).
+and written intermediates comes from ``spark.checkpoint.dir``; a folder of
+our own is made only on a local master, where driver and executors are one
+process.  On any other master an unset folder is an error.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,17 +50,35 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the session.
+
+    ``spark.checkpoint.dir`` names it.  Unset on a local master: a temporary
+    folder, removed when the process ends.  Unset on a cluster: ValueError,
+    since a driver-local folder is not visible to executors."""
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="roomlens-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint dir for written intermediates."""
+    """A fresh folder name under the shared checkpoint dir for written intermediates."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made under :func:`scratch_path`, on whatever file
+    system it is; other paths are refused."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"not under the checkpoint folder: {path}")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
