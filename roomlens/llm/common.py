@@ -74,25 +74,28 @@ def runs(texts: list[str], chars: int = RUN_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def kgrams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position on; texts are not told apart."""
+    s = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    for j in range(k):
+        s += mix64(h[j: len(h) - k + 1 + j] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1)))
+        s *= np.uint64(0xFF51AFD7ED558CCD)
+    return mix64(s)
+
+
 def shingle_hashes(h: np.ndarray, lens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all k-word shingles and the text index of each.
 
     A text of 1..k-1 words has its whole sequence as its one shingle; a text
-    without words has none.  The hash covers the words in order and, for
-    short texts, their number."""
+    without words has none."""
     starts = np.concatenate(([0], np.cumsum(lens)))
-    n = len(h)
-    s = np.zeros(max(0, n - k + 1), np.uint64)
-    for j in range(k):
-        s += mix64(h[j: n - k + 1 + j] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1)))
-        s *= np.uint64(0xFF51AFD7ED558CCD)
-    s = mix64(s)
+    s = kgrams(h, k)
     doc = np.repeat(np.arange(len(lens)), lens)[: len(s)]
     keep = np.arange(len(s)) + k <= starts[1:][doc] if len(s) else np.zeros(0, bool)
     s, doc = s[keep], doc[keep]
     short = np.flatnonzero((lens > 0) & (lens < k))
     if len(short):
-        whole = [xxhash.xxh3_64_intdigest(h[starts[i]: starts[i + 1]].tobytes(), seed=int(lens[i])) for i in short]
+        whole = [kgrams(h[starts[i]: starts[i + 1]], int(lens[i]))[0] for i in short]
         s = np.concatenate((s, np.array(whole, np.uint64)))
         doc = np.concatenate((doc, short))
         order = np.argsort(doc, kind="stable")

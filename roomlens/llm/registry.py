@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roomlens.llm.decontaminate import contamination
 from roomlens.llm.jaccard_join import jaccard_components
+from roomlens.llm.ngram_lm import fit_lm, held_out, score_lm
 from roomlens.llm.piece_table import piece_encode
 from roomlens.sources.tables import read_table
 
@@ -22,16 +24,27 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL_NAME)
 
 
+def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_lm(docs.where(~held_out("doc_id", 7, 2)))
+    return score_lm(docs, model).withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(documents(spark, sf_dir), model_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_jaccard_join, op10_piece_encoding)}
+    return {f.__name__: f for f in (op4_kneser_ney_scoring, op8_ngram_jaccard_join,
+                                   op9_benchmark_decontamination, op10_piece_encoding)}
 
 
 def oracle() -> dict[str, str]:

@@ -44,3 +44,78 @@ def jaccard(rows, percent=75):
     links = [(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     comp = components(sets, links)
     return sorted((d, len(sets[d]), comp[d]) for d in sets)
+
+
+def contaminated(docs, items, k=5, at_least=0.75):
+    """doc -> {item: best similarity over its item-sized windows}."""
+    import math
+
+    def grams(w, g):
+        return {tuple(w[i:i + g]) for i in range(len(w) - g + 1)}
+    listed = [(i, words(t)) for i, t in items if words(t)]
+    df = {}
+    for _, w in listed:
+        for g in grams(w, min(k, len(w))):
+            df[g] = df.get(g, 0) + 1
+    weight = lambda s: sum(math.log1p(len(listed) / df.get(g, 1)) for g in s)
+    out = {}
+    for d, t in docs:
+        dw = words(t)
+        best = {}
+        for i, w in listed:
+            n, g = len(w), min(k, len(w))
+            size, own = min(n, len(dw)), grams(w, g)
+            for a in range(len(dw) - size + 1):
+                win = grams(dw[a:a + size], g)
+                if win & own:
+                    s = weight(win & own) / weight(win | own)
+                    if s >= at_least - 1e-12:
+                        best[i] = max(best.get(i, 0), s)
+        out[d] = best
+    return out
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney bigrams over {text}, in plain counts."""
+
+    def __init__(self, texts):
+        from collections import Counter
+        self.c1, self.c2 = Counter(), Counter()
+        for t in texts:
+            w = [*words(t), "END"]
+            self.c1.update(w)
+            self.c2.update(zip(["START", *w], w))
+        self.before = Counter(v for _, v in self.c2)
+        self.tokens, self.v = sum(self.c1.values()), len(self.c1)
+        self.d2, self.d1 = self.discount(self.c2.values()), self.discount(self.before.values())
+
+    @staticmethod
+    def discount(values):
+        n = [sum(v == k for v in values) for k in range(1, 5)]
+        if not n[0]:
+            return [0, 0, 0, 0]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * y, 0), k) for k in (1, 2, 3)]
+
+    def single(self, w):
+        types = len(self.c2)
+        left = sum(self.d1[min(b, 3)] for b in self.before.values()) / types
+        b = self.before.get(w, 0)
+        return (b - self.d1[min(b, 3)]) / types + left / (self.v + 1)
+
+    def p(self, u, w):
+        after = [c for (a, _), c in self.c2.items() if a == u]
+        if not after:
+            return self.single(w)
+        c = self.c2.get((u, w), 0)
+        share = sum(self.d2[min(x, 3)] for x in after) / sum(after)
+        return (c - self.d2[min(c, 3)]) / sum(after) + share * self.single(w)
+
+    def score(self, text):
+        import math
+        w = [*words(text), "END"]
+        return sum(math.log10(self.p(u, x)) for u, x in zip(["START", *w], w))
+
+    def base(self, text):
+        import math
+        return sum(math.log10((self.c1.get(w, 0) + 1) / (self.tokens + self.v + 1)) for w in [*words(text), "END"])
