@@ -11,14 +11,16 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomlens.session import scratch_path
@@ -62,16 +64,16 @@ class WordHasher(dict):
         return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.uint64, total), lens
 
 
-def runs(texts: list[str], chars: int = RUN_CHARS) -> Iterator[slice]:
-    """Consecutive slices of about ``chars`` characters, one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= chars:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+def text_runs(column: pa.Array, chars: int = RUN_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of consecutive rows with about ``chars`` bytes
+    together, one row at least; nulls become empty texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(size):
+        done = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, done + chars, side="right")))
+        yield start, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def kgrams(h: np.ndarray, k: int) -> np.ndarray:
@@ -164,11 +166,3 @@ def map_array(folder: str, name: str) -> np.ndarray:
 def total_bytes(df: DataFrame, text: str) -> int:
     """Size of a text column in bytes (one number comes back)."""
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-
-
-def crc_mod(id_col: Column, n: int) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % n
-
-
-def text_or_empty(texts: Iterable[str | None]) -> list[str]:
-    return [t or "" for t in texts]

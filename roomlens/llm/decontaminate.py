@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomlens.llm.common import WordHasher, kgrams, mix64, runs, text_or_empty, words_of
+from roomlens.llm.common import WordHasher, kgrams, mix64, text_runs, words_of
 
 BITS = 64
 _SEEN = 1 << 20
@@ -192,9 +192,8 @@ def _scan(texts: DataFrame, index, id_col: str, at_least: float) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             out: list[dict[int, float]] = []
-            texts = text_or_empty(batch.column(1).to_pylist())
-            for part in runs(texts):
-                h, lens = hasher.flat([words_of(t) for t in texts[part]])
+            for _, texts in text_runs(batch.column(1)):
+                h, lens = hasher.flat([words_of(t) for t in texts])
                 found = own.scan(h, lens, at_least)
                 out += [found.get(d, {}) for d in range(len(lens))]
             yield pa.RecordBatch.from_arrays(

@@ -36,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomlens.llm.common import (WordHasher, deltas, mix64, pack, runs, shingle_hashes, text_or_empty, total_bytes,
-                                 unpack, words_of)
+from roomlens.llm.common import (WordHasher, deltas, mix64, pack, shingle_hashes, text_runs, total_bytes, unpack,
+                                 words_of)
 from roomlens.llm.graph import connected_components
 from roomlens.session import scratch_path
 
 # Postings a task gathers before it ships them.
-FLUSH = 2_500_000
-# Text bytes per fragment (about 4 million postings).
-FRAGMENT_BYTES = 28_000_000
+FLUSH = 1_200_000
+# Text bytes per fragment (about 2 million postings).
+FRAGMENT_BYTES = 14_000_000
 SEGMENTS = pa.schema([("frag", pa.int32()), ("fp", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()),
                       ("hs", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
 
@@ -102,12 +102,11 @@ def _postings(batches, k: int, bits: int, hot: int):
 
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        texts = text_or_empty(batch.column(1).to_pylist())
-        for part in runs(texts):
-            h, lens = hasher.flat([words_of(t) for t in texts[part]])
+        for start, texts in text_runs(batch.column(1)):
+            h, lens = hasher.flat([words_of(t) for t in texts])
             s, doc = shingle_hashes(h, lens, k)
             ends = np.searchsorted(doc, np.arange(len(lens) + 1))
-            for i, doc_id in enumerate(ids[part]):
+            for i, doc_id in enumerate(ids[start: start + len(texts)]):
                 u = np.unique(s[ends[i]: ends[i + 1]])
                 held[0].append(doc_id or 0)
                 held[1].append(doc_id is not None)

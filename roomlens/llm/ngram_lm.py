@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomlens.llm.common import (WordHasher, deltas, map_array, mix64, mounted_folder, pack, runs, text_or_empty,
-                                 total_bytes, unpack, words_of, write_array)
+from roomlens.llm.common import (WordHasher, deltas, map_array, mix64, mounted_folder, pack, text_runs, total_bytes,
+                                 unpack, words_of, write_array)
 
 # The end token and the start context; white space, so no word equals them.
 END, START = b"\n", b"\r"
-FLUSH = 3_000_000
-SHARD_BYTES = 20_000_000
+FLUSH = 2_000_000
+SHARD_BYTES = 14_000_000
 STATS = pa.schema([("part", pa.int32()), ("numbers", pa.list_(pa.int64()))])
 STATS_SQL = "part int, numbers array<long>"
 
@@ -164,9 +164,8 @@ def _count_words(batches, bits: int) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     keys, counts, held = [], [], 0
     for batch in batches:
-        texts = text_or_empty(batch.column(0).to_pylist())
-        for part in runs(texts):
-            lists = [words_of(t) for t in texts[part]]
+        for _, texts in text_runs(batch.column(0)):
+            lists = [words_of(t) for t in texts]
             lists[0].extend([END] * len(lists))
             u, c = np.unique(hasher.flat(lists)[0], return_counts=True)
             keys.append(u)
@@ -206,9 +205,8 @@ def _count_pairs(batches, model: Model) -> Iterator[pa.RecordBatch]:
         yield from _rows(_top(mix64(u), model.bits), [u, c.astype(np.uint32)])
 
     for batch in batches:
-        texts = text_or_empty(batch.column(0).to_pylist())
-        for part in runs(texts):
-            ids, lens, _, _ = reader.number(texts[part])
+        for _, texts in text_runs(batch.column(0)):
+            ids, lens, _, _ = reader.number(texts)
             prev = reader.previous(ids, lens)
             keys.append(prev.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
             held += len(ids)
@@ -400,8 +398,7 @@ def score_lm(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = text_or_empty(batch.column(1).to_pylist())
-            got = [scorer.run(texts[part]) for part in runs(texts)]
+            got = [scorer.run(texts) for _, texts in text_runs(batch.column(1))]
             n, known, base, score = (np.concatenate(x) for x in zip(*got)) if got else [np.zeros(0)] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()),

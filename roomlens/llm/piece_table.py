@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomlens.llm.common import runs, text_or_empty
+from roomlens.llm.common import text_runs
 
 # Fixed values of the model format: kinds of pieces and the space mark.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -258,10 +258,9 @@ def piece_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model_file)
         for batch in batches:
-            texts = text_or_empty(batch.column(1).to_pylist())
-            for part in runs(texts, 8_000_000):
+            for start, texts in text_runs(batch.column(1), 8_000_000):
                 n, a, b, c, d = [], [], [], [], []
-                for text in texts[part]:
+                for text in texts:
                     ids, count, decoded = table.digest_parts(text)
                     n.append(count)
                     a.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -271,7 +270,7 @@ def piece_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                     if with_text:
                         d.append(decoded)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, part.stop - part.start), pa.array(n, pa.int64()),
+                    [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()),
                      pa.array(a, pa.string()), pa.array(b, pa.string())]
                     + [pa.array(c, pa.list_(pa.int32()))] * with_ids + [pa.array(d, pa.string())] * with_text,
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids

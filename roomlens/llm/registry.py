@@ -10,6 +10,8 @@ from roomlens.llm.decontaminate import contamination
 from roomlens.llm.jaccard_join import jaccard_components
 from roomlens.llm.ngram_lm import fit_lm, held_out, score_lm
 from roomlens.llm.piece_table import piece_encode
+from roomlens.llm.quality import fit_quality, score_quality
+from roomlens.llm.toxicity import fit_toxicity, score_toxicity
 from roomlens.sources.tables import read_table
 
 MODEL_NAME = "piece_bpe_32k.model"
@@ -24,12 +26,24 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL_NAME)
 
 
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    field = fit_toxicity(docs, labels.where(~held_out("doc_id", 4, 2)))
+    return score_toxicity(docs, field).withColumn("held_out", held_out("doc_id", 4, 2))
+
+
 def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_lm(docs.where(~held_out("doc_id", 7, 2)))
     return score_lm(docs, model).withColumn("held_out", held_out("doc_id", 7, 2))
 
 
+def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = fit_quality(docs, labels.where(~held_out("doc_id", 5, 0)))
+    return score_quality(docs, model).withColumn("held_out", held_out("doc_id", 5, 0))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -43,7 +57,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_kneser_ney_scoring, op8_ngram_jaccard_join,
+    return {f.__name__: f for f in (op1_toxicity_crf, op4_kneser_ney_scoring, op5_quality_ftrl, op8_ngram_jaccard_join,
                                    op9_benchmark_decontamination, op10_piece_encoding)}
 
 
