@@ -11,7 +11,9 @@ from roomlens.llm.jaccard_join import jaccard_components
 from roomlens.llm.ngram_lm import fit_lm, held_out, score_lm
 from roomlens.llm.piece_table import piece_encode
 from roomlens.llm.quality import fit_quality, score_quality
+from roomlens.llm.sharding import place
 from roomlens.llm.toxicity import fit_toxicity, score_toxicity
+from roomlens.llm.vector_join import near_links
 from roomlens.sources.tables import read_table
 
 MODEL_NAME = "piece_bpe_32k.model"
@@ -32,6 +34,10 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, field).withColumn("held_out", held_out("doc_id", 4, 2))
 
 
+def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(96)])
+
+
 def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_lm(docs.where(~held_out("doc_id", 7, 2)))
@@ -44,6 +50,10 @@ def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).withColumn("held_out", held_out("doc_id", 5, 0))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_links(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -57,7 +67,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_crf, op4_kneser_ney_scoring, op5_quality_ftrl, op8_ngram_jaccard_join,
+    return {f.__name__: f for f in (op1_toxicity_crf, op3_shard_placement, op4_kneser_ney_scoring, op5_quality_ftrl, op6_embedding_near_dedup, op8_ngram_jaccard_join,
                                    op9_benchmark_decontamination, op10_piece_encoding)}
 
 

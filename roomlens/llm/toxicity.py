@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from roomlens.session import ensure_checkpoint_dir
 
 BITS = 18
 CHAIN = 256
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 RAW = re.compile(r"\S+")
 SIGNS = re.compile(r"\W+")
 
@@ -55,18 +55,20 @@ def chains(text: str) -> list[list[str]]:
 @dataclass
 class Field:
     """Weights of a two-tag field: feature weights (toxic against clean),
-    log potentials of moves between tags and of the first tag."""
+    log potentials of moves between tags and of the first tag; ``text`` turns
+    the marginals of a text into its score."""
     weight: np.ndarray
     moves: np.ndarray
     first: np.ndarray
+    text: np.ndarray = field(default_factory=lambda: np.array([-2.0, 2.0, 2.0, 0.0]))
 
 
-def marginals(e: np.ndarray, lens: np.ndarray, field: Field, expect: bool = False):
+def marginals(e: np.ndarray, lens: np.ndarray, crf: Field, expect: bool = False):
     """P(toxic) of each token of many chains (token scores ``e`` one chain
     after another), by scaled forward-backward steps over all chains at once.
     With ``expect`` also the expected numbers of moves and of first tags, and
     the chains' total log-normaliser."""
-    a = np.exp(field.moves)
+    a = np.exp(crf.moves)
     f = np.exp(np.clip(e, -30, 30))
     order = np.argsort(-lens, kind="stable")
     start = (np.cumsum(lens) - lens)[order]
@@ -81,7 +83,7 @@ def marginals(e: np.ndarray, lens: np.ndarray, field: Field, expect: bool = Fals
             p = fwd[at - 1]
             toxic, clean = (1 - p) * a[0, 1] + p * a[1, 1], (1 - p) * a[0, 0] + p * a[1, 0]
         else:
-            toxic, clean = np.exp(field.first[1]), np.exp(field.first[0])
+            toxic, clean = np.exp(crf.first[1]), np.exp(crf.first[0])
         toxic = toxic * f[at]
         fwd[at] = toxic / (toxic + clean)
         if expect:
@@ -149,6 +151,25 @@ def marking_features(rows: DataFrame, least: float = 12.0) -> set[int]:
     return out
 
 
+def varied(marked: set[int], toxic: list[str], share: float = 0.6) -> set[int]:
+    """The marking features whose occurrences have different neighbours; words
+    of a passage that several texts share always have the same ones."""
+    around: dict[int, set] = {}
+    texts: Counter = Counter()
+    memo: dict[str, list[int]] = {}
+    for text in toxic:
+        raw = ["", *text.split(), ""]
+        seen = set()
+        for i, r in enumerate(raw):
+            if r not in memo:
+                memo[r] = [f for f in token_features(r) if f in marked]
+            for f in memo[r]:
+                around.setdefault(f, set()).add((raw[i - 1], raw[i + 1]))
+                seen.add(f)
+        texts.update(seen)
+    return {f for f, n in texts.items() if len(around[f]) >= max(2, share * n)}
+
+
 def fit_field(texts: list[tuple[str, int]], marked: set[int], rounds: int = 30, rate: float = 1.0) -> Field:
     """Train on (text, label) rows; ``marked`` features label the tokens of
     toxic texts.  Without any, every token is clean."""
@@ -164,10 +185,10 @@ def fit_field(texts: list[tuple[str, int]], marked: set[int], rounds: int = 30,
             if any(tag) or not y:  # the rest of a toxic text says nothing about its tokens
                 lists.append(got)
                 tags.append(tag)
-    field = Field(np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(2))
+    crf = Field(np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(2))
     if not lists or not marked:
-        field.first[1] = field.moves[0, 1] = field.moves[1, 1] = -12.0
-        return field
+        crf.first[1] = crf.moves[0, 1] = crf.moves[1, 1] = -12.0
+        return crf
     lens = np.array([len(x) for x in lists])
     flat = [fs for x in lists for fs in x]
     token = np.repeat(np.arange(len(flat)), [len(fs) for fs in flat])
@@ -179,16 +200,16 @@ def fit_field(texts: list[tuple[str, int]], marked: set[int], rounds: int = 30,
     seen_moves = np.array([[((was == i) & (now == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     head = y[~inner]
     seen_first = np.array([(1 - head).sum(), head.sum()])
-    g2 = [np.full(x.shape, 1e-6) for x in (field.weight, field.moves, field.first)]
+    g2 = [np.full(x.shape, 1e-6) for x in (crf.weight, crf.moves, crf.first)]
     for _ in range(rounds):
-        e = np.bincount(token, weights=field.weight[place], minlength=len(y))
-        m, moves, first, _ = marginals(e, lens, field, expect=True)
-        grads = [np.bincount(place, weights=(y - m)[token], minlength=1 << BITS) - 0.1 * field.weight,
-                 seen_moves - moves - 0.1 * field.moves, seen_first - first - 0.1 * field.first]
-        for x, g, s in zip((field.weight, field.moves, field.first), grads, g2):
+        e = np.bincount(token, weights=crf.weight[place], minlength=len(y))
+        m, moves, first, _ = marginals(e, lens, crf, expect=True)
+        grads = [np.bincount(place, weights=(y - m)[token], minlength=1 << BITS) - 0.1 * crf.weight,
+                 seen_moves - moves - 0.1 * crf.moves, seen_first - first - 0.1 * crf.first]
+        for x, g, s in zip((crf.weight, crf.moves, crf.first), grads, g2):
             s += g * g
             x += rate * g / np.sqrt(s)
-    return field
+    return crf
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
@@ -217,10 +238,11 @@ def without_copies(rows: DataFrame) -> DataFrame:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 label_col: str = "toxic", max_rows: int = 30_000, max_chains: int = 1200) -> Field:
+                 label_col: str = "toxic", max_rows: int = 30_000, max_chains: int = 2000) -> Field:
     """Token labels come from at most ``max_rows`` labelled texts, counted on
     the executors; the field is trained on the driver on at most
-    ``max_chains`` texts of each label, the bound of what comes there."""
+    ``max_chains`` texts of each label, the bound of what comes there: half of
+    them train the field, the other half the score of a text."""
     ensure_checkpoint_dir(docs.sparkSession)
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows)
     kept = without_copies(rows).select("i_", F.col("y").alias(label_col)).checkpoint()  # max_rows rows at most
@@ -229,7 +251,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     for label in (1, 0):
         sample = labelled_sample(docs, kept, id_col, text_col, label_col, max_chains, label, "i_")
         texts += [(t, label) for _, t in sorted((r.k_, r.text_ or "") for r in sample.toLocalIterator())]
-    return fit_field(texts, marked)
+    crf = fit_field(texts[::2], varied(marked, [t for t, y in texts if y]))
+    share = dict(kept.groupBy(label_col).count().collect())
+    crf.text = fit_text_score(texts[1::2] or texts, crf, share)
+    return crf
+
+
+def fit_text_score(texts: list[tuple[str, int]], crf: Field, share: dict[int, int], ridge: float = 0.3) -> np.ndarray:
+    """Logistic weights over a text's evidence, by Newton steps; rows are
+    weighted so that the labels count as often as ``share`` says."""
+    y = np.array([label for _, label in texts], np.float64)
+    if not y.any() or y.all():
+        return Field(crf.weight, crf.moves, crf.first).text
+    scores = Scores(crf)
+    x = np.concatenate([evidence([t], crf, scores)[0] for t, _ in texts])
+    weight = np.where(y == 1, share.get(1, 1) / y.sum(), share.get(0, 1) / (1 - y).sum())
+    weight *= len(y) / weight.sum()
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(w))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty @ w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
 
 
 class Scores(dict):
@@ -259,26 +306,30 @@ def spans_of(text: str, toxic: np.ndarray) -> list[dict]:
     return out
 
 
-def score_texts(texts: list[str], field: Field, scores: Scores):
-    """Per text its score and its toxic spans."""
+def evidence(texts: list[str], crf: Field, scores: Scores):
+    """Per text: 1, log(1 + expected toxic tokens), highest marginal, log(1 +
+    tokens); and the marginals of all tokens with the tokens per text.
+    Marginals under 0.1 do not add up, however long the text."""
     get = scores.__getitem__
     lists = [chains(t) for t in texts]
     lens = np.array([len(c) for cs in lists for c in cs], np.int64)
-    total = int(lens.sum())
-    e = np.fromiter((get(raw) for cs in lists for c in cs for raw in c), np.float64, total)
-    m = marginals(e, lens, field)
+    e = np.fromiter((get(raw) for cs in lists for c in cs for raw in c), np.float64, int(lens.sum()))
+    m = marginals(e, lens, crf)
     size = np.array([sum(map(len, cs)) for cs in lists], np.int64)
     owner = np.repeat(np.arange(len(texts)), size)
-    # Of the tokens of some weight, the chance that at least one is toxic;
-    # a text without such tokens has its highest marginal.
     top = np.zeros(len(texts))
     np.maximum.at(top, owner, m)
-    some = m >= 0.1
-    none = np.bincount(owner[some], weights=np.log1p(-np.minimum(m[some], 1 - 1e-12)), minlength=len(texts))
-    score = np.maximum(top, -np.expm1(none))
+    total = np.bincount(owner, weights=np.where(m >= 0.1, m, 0.0), minlength=len(texts))
+    return np.stack([np.ones(len(texts)), np.log1p(total), top, np.log1p(size)], axis=1), m, size
+
+
+def score_texts(texts: list[str], crf: Field, scores: Scores):
+    """Per text its score, its toxic tokens and their spans."""
+    x, m, size = evidence(texts, crf, scores)
+    score = 1 / (1 + np.exp(-np.clip(x @ crf.text, -30, 30)))
     ends = np.cumsum(size)
     hot = m >= 0.5
-    hits = np.bincount(owner[hot], minlength=len(texts))
+    hits = np.bincount(np.repeat(np.arange(len(texts)), size)[hot], minlength=len(texts))
     spans = [spans_of(t, hot[b - s: b]) if n else [] for t, n, b, s in zip(texts, hits, ends, size)]
     return score, hits, spans
 
@@ -287,7 +338,7 @@ def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_c
                    threshold: float = 0.3) -> DataFrame:
     """(id, score, predicted, toxic_tokens, spans array<struct<start,stop>>) per row.
 
-    Null and empty texts have score 0.  Null and repeated ids are passed
+    Null and empty texts have the score of no evidence.  Null and repeated ids are passed
     through; other columns are ignored.  The field (2 MB, whatever the input)
     is broadcast."""
     kind = docs.schema[id_col].dataType.simpleString()

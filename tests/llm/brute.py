@@ -119,3 +119,24 @@ class KneserNey:
     def base(self, text):
         import math
         return sum(math.log10((self.c1.get(w, 0) + 1) / (self.tokens + self.v + 1)) for w in [*words(text), "END"])
+
+
+def near_vectors(rows, cosine=0.95):
+    """(id, n_links, component, kept) by all pairs."""
+    import numpy as np
+    ids = [i for i, _ in rows]
+    good = [(i, np.array(v, float)) for i, v in rows
+            if v is not None and None not in v and len(v) and np.isfinite(v).all() and np.any(v)]
+    links = []
+    for d in {len(v) for _, v in good}:
+        own = [(i, v) for i, v in good if len(v) == d]
+        u = np.stack([v / np.linalg.norm(v) for _, v in own])
+        for a in range(len(own)):
+            for b in np.flatnonzero(u[a] @ u[a + 1:].T >= cosine).tolist():
+                links.append((own[a][0], own[a + 1 + b][0]))
+    n = dict.fromkeys(ids, 0)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    comp = components(ids, links)
+    return sorted((i, n[i], comp[i], comp[i] == i) for i in ids)
