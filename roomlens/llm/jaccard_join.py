@@ -43,6 +43,8 @@ from roomlens.session import scratch_path
 
 # Postings a task gathers before it ships them.
 FLUSH = 1_200_000
+# Frequency noted for split shingles, which no task counts whole.
+SPLIT_DF = 1 << 30
 # Text bytes per fragment (about 2 million postings).
 FRAGMENT_BYTES = 14_000_000
 SEGMENTS = pa.schema([("frag", pa.int32()), ("fp", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()),
@@ -159,7 +161,9 @@ def _segments(key, table: pa.Table, bits: int) -> pa.Table:
     h, fp, n = h[new], fp[new], n[new]
     _, at, df = np.unique(h, return_inverse=True, return_counts=True)
     df = df[at]
-    stay = np.full(len(h), always) | (df > 1) | (np.isin(h, marks) if len(marks) else False)
+    split = np.full(len(h), always) | (np.isin(h, marks) if len(marks) else False)
+    df = np.where(split, SPLIT_DF, df)
+    stay = df > 1
     h, fp, n, df = h[stay], fp[stay], n[stay], df[stay]
     order = np.lexsort((h, n, fp))
     h, fp, n, df = h[order], fp[order], n[order], df[order]
@@ -199,7 +203,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     size = total_bytes(docs, "text")
-    bits = max(3, int(np.ceil(np.log2(max(1, size / fragment_bytes)))))
+    bits = max(6, int(np.ceil(np.log2(max(1, size / fragment_bytes)))))
     shipped = docs.mapInArrow(lambda it: _postings(it, k, bits, hot), "shard int, blob binary")
     table = scratch_path(spark, "segments")
     shipped.groupBy("shard").applyInArrow(
@@ -217,44 +221,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts.join(able.join(classes, ["fp", "n"]), ["fp", "n"]).select("cid", "n", "frag", "hs", "dfs", "shared") \
         .write.parquet(held)
     segs = spark.read.parquet(held)
-    # Split shingles carry the frequency of their shard only; any fixed order
-    # is right, so their frequency is summed over the shards first.
-    flat = segs.where(F.col("frag") >= 1 << bits).select(F.explode(F.arrays_zip("hs", "dfs")).alias("x"))
-    wide = flat.select(F.col("x.hs").alias("h")).union(
-        segs.where(F.col("frag") < 1 << bits).select(F.explode("hs").alias("h"))
-        .join(flat.select(F.col("x.hs").alias("h")).distinct(), "h", "left_semi")) \
-        .groupBy("h").agg(F.count(F.lit(1)).alias("wide"))
-    each = segs.select("cid", "n", "shared", F.explode(F.arrays_zip("hs", "dfs")).alias("x")) \
-        .select("cid", "n", "shared", F.col("x.hs").alias("h"), F.col("x.dfs").alias("df")) \
-        .join(wide, "h", "left").select("cid", "n", "shared", "h", F.coalesce("wide", "df").alias("df"))
-    prefix = each.groupBy("cid", "n", "shared").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("by"))
-    heads = scratch_path(spark, "prefixes")
     # The shingles of one holder alone come first in the order and match
     # nothing; of the shared ones so many are left in the prefix.
-    prefix.select("cid", "n", F.explode(F.slice("by", F.lit(1), (F.col("shared") - need + 1).cast("int"))).alias("x")) \
-        .select("cid", "n", F.col("x.h").alias("h")).write.parquet(heads)
-    heads = spark.read.parquet(heads)
-    alike = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    mark = F.struct(F.xxhash64("cid").alias("r"), F.col("cid"), F.col("n"))
+    ordered = segs.groupBy("cid", "n", "shared").agg(F.array_distinct(F.sort_array(F.flatten(
+        F.collect_list(F.arrays_zip("dfs", "hs"))))).alias("by"))
+    table = scratch_path(spark, "prefixes")
+    ordered.select("cid", "n", "shared", F.slice("by.hs", F.lit(1), (F.size("by") - need + 1).cast("int")).alias("p")) \
+        .write.parquet(table)
+    prefixes = spark.read.parquet(table)
+    heads = prefixes.select("cid", "n", "shared", F.posexplode("p").alias("i", "h")) \
+        .select("cid", "n", "shared", "h", (F.col("n") - F.col("shared") + F.col("i") + 1).alias("at"))
+
+    def may_link(n1, at1, n2, at2):
+        """With its first common shingle at these places of the order, a pair
+        can still reach the overlap that the threshold asks for."""
+        rest = F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2)) + 1
+        return (100 + percent) * rest >= percent * (F.col(n1) + F.col(n2))
+
+    # The pivot of a shingle is the holder with the smallest part of shingles
+    # of its own: of a group of edited copies, the one nearest to the original.
+    mark = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("r"), F.xxhash64("cid").alias("x"), "cid", "n", "at")
     pivot = heads.groupBy("h").agg(F.min(mark).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1") \
-        .select("h", F.col("p.cid").alias("pc"), F.col("p.n").alias("pn"))
-    star = heads.join(pivot, "h").where((F.col("cid") != F.col("pc")) & alike(F.col("n"), F.col("pn"))) \
+        .select("h", F.col("p.cid").alias("pc"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
+    star = heads.join(pivot, "h").where((F.col("cid") != F.col("pc")) & may_link("n", "at", "pn", "pat")) \
         .select(F.least("cid", "pc").alias("a"), F.greatest("cid", "pc").alias("b")).distinct().checkpoint()
     links = _verified(star, segs, percent).checkpoint()
     first = connected_components(links, "a", "b")
     named = heads.join(first.withColumnRenamed("node", "cid"), "cid", "left") \
         .withColumn("comp", F.coalesce("component", "cid")).drop("component")
     # Shingles whose holders are in several components; all pairs between a
-    # smaller component and the others.
+    # smaller component and the others, each at the pair's first common shingle.
     per = named.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")) \
         .where("k > 1").select("h", F.col("top.comp").alias("main"))
-    open_ = named.join(main, "h")
-    minor = open_.where("comp != main").select("h", F.col("cid").alias("c2"), F.col("n").alias("n2"),
-                                               F.col("comp").alias("comp2"))
+    open_ = named.join(main, "h").join(prefixes.select("cid", "p"), "cid")
+    minor = open_.where("comp != main").select(
+        "h", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2"),
+        F.col("p").alias("p2"))
     across = minor.join(open_, "h").where(
-        (F.col("comp") != F.col("comp2")) & alike(F.col("n"), F.col("n2"))
-        & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("c2")))) \
+        (F.col("comp") != F.col("comp2")) & may_link("n", "at", "n2", "at2")
+        & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("c2")))
+        & (F.element_at(F.array_intersect("p", "p2"), 1) == F.col("h"))) \
         .select(F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")).distinct() \
         .join(star, ["a", "b"], "left_anti")
     rest = _verified(across, segs, percent)
