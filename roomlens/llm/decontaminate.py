@@ -147,26 +147,41 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     words are one shingle.  Repeated rows give one result each, null ids are
     passed through; equal items under several ids all count.  Other columns
     are ignored."""
-    spark = docs.sparkSession
+    texts = docs.select(F.col(f"`{id_col}`").alias("row_"), F.col(f"`{text_col}`").alias("text_"))
+    return _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_items) \
+        .withColumnRenamed("row_", id_col)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text", k: int = 5, at_least: float = 0.75, blocks: int = 4,
+                         radius: int = 15, block_items: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that match no item (as above)."""
+    texts = docs.select(F.struct("*").alias("row_"), F.col(f"`{text_col}`").alias("text_"))
+    return _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_items) \
+        .where("not contaminated").select("row_.*")
+
+
+def _matched(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, k: int, at_least: float,
+             blocks: int, radius: int, block_items: int) -> DataFrame:
+    spark = texts.sparkSession
     rows = items.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")) \
         .where("i is not null")
     groups = max(1, -(-rows.count() // block_items))
-    texts = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text_"))
     weights, unseen = _weights(rows, k)
     found = None
     for g in range(groups):
         block = rows.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g) if groups > 1 else rows
         listed = sorted((r.i, w) for r in block.collect() if (w := words_of(r.t or "")))
         index = spark.sparkContext.broadcast(ItemIndex(listed, k, blocks, radius, weights, unseen))
-        scanned = _scan(texts, index, id_col, at_least)
+        scanned = _scan(texts, index, at_least)
         if groups > 1:
-            scanned = scanned.withColumn("row_", F.monotonically_increasing_id())
+            scanned = scanned.withColumn("at_", F.monotonically_increasing_id())
         found = scanned if found is None else found.unionByName(scanned)
     if groups > 1:  # the same scan gives each row the same number in every block
-        found = found.groupBy("row_").agg(
-            F.first(id_col).alias(id_col), F.max("contaminated").alias("contaminated"),
+        found = found.groupBy("at_").agg(
+            F.first("row_").alias("row_"), F.max("contaminated").alias("contaminated"),
             F.sum("n_items").alias("n_items"), F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
-            F.max("max_similarity").alias("max_similarity")).drop("row_")
+            F.max("max_similarity").alias("max_similarity")).drop("at_")
     return found
 
 
@@ -184,8 +199,8 @@ def _weights(rows: DataFrame, k: int) -> tuple[dict[int, float], float]:
     return {x: float(np.log1p(total / c)) for x, c in count.items() if c > 1}, float(np.log1p(total))
 
 
-def _scan(texts: DataFrame, index, id_col: str, at_least: float) -> DataFrame:
-    kind = texts.schema[id_col].dataType.simpleString()
+def _scan(texts: DataFrame, index, at_least: float) -> DataFrame:
+    kind = texts.schema["row_"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: ItemIndex = index.value
@@ -200,6 +215,6 @@ def _scan(texts: DataFrame, index, id_col: str, at_least: float) -> DataFrame:
                 [batch.column(0), pa.array([bool(m) for m in out]), pa.array([len(m) for m in out], pa.int64()),
                  pa.array([sorted(own.ids[i] for i in m) for m in out], pa.list_(pa.int64())),
                  pa.array([max(m.values(), default=0.0) for m in out], pa.float64())],
-                names=[id_col, "contaminated", "n_items", "item_ids", "max_similarity"])
+                names=["row_", "contaminated", "n_items", "item_ids", "max_similarity"])
 
-    return texts.mapInArrow(work, f"`{id_col}` {kind}, {SCHEMA}")
+    return texts.mapInArrow(work, f"row_ {kind}, {SCHEMA}")

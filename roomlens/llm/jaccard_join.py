@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from roomlens.llm.common import (WordHasher, deltas, mix64, pack, shingle_hashes, text_runs, total_bytes, unpack,
                                  words_of)
 from roomlens.llm.graph import connected_components
+from roomlens.operators.sizing import broadcast_if_small
 from roomlens.session import scratch_path
 
 # Postings a task gathers before it ships them.
@@ -273,3 +274,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(final, ["fp", "n"], "left").select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, that carry their component's id:
+    one of each group of near copies.  Of rows that share an id one stays;
+    rows without an id stay.  The ids to drop are broadcast only up to a
+    measured size."""
+    own = F.col(f"`{id_col}`")
+    gone = components.where(own != F.col("component_id")).select(id_col).distinct()
+    left = docs.join(broadcast_if_small(gone, 32 << 20), id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    twice = broadcast_if_small(components.where(own.isNotNull()).groupBy(id_col).count().where("count > 1")
+                               .select(id_col), 32 << 20)
+    repeated = left.join(twice, id_col, "left_semi").dropDuplicates([id_col])
+    return left.join(twice, id_col, "left_anti").union(repeated.select(*[f"`{c}`" for c in docs.columns]))

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -266,7 +267,7 @@ def piece_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                     a.append(hashlib.sha256(ids.encode()).hexdigest())
                     b.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                     if with_ids:
-                        c.append([int(x) for x in ids.split()])
+                        c.append(np.fromstring(ids, np.int32, sep=" "))
                     if with_text:
                         d.append(decoded)
                 yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roomlens.llm.decontaminate import contamination
 from roomlens.llm.jaccard_join import jaccard_components
+from roomlens.llm.line_dedup import dedup_lines
 from roomlens.llm.ngram_lm import fit_lm, held_out, score_lm
+from roomlens.llm.pii import replace_pii
 from roomlens.llm.piece_table import piece_encode
 from roomlens.llm.quality import fit_quality, score_quality
 from roomlens.llm.sharding import place
@@ -16,6 +18,7 @@ from roomlens.llm.toxicity import fit_toxicity, score_toxicity
 from roomlens.llm.vector_join import near_links
 from roomlens.sources.tables import read_table
 
+PII_KEY = "replace by a secret of the deployment"
 MODEL_NAME = "piece_bpe_32k.model"
 
 
@@ -34,6 +37,10 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, field).withColumn("held_out", held_out("doc_id", 4, 2))
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir))
+
+
 def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(96)])
 
@@ -54,6 +61,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(documents(spark, sf_dir), PII_KEY)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -67,7 +78,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_crf, op3_shard_placement, op4_kneser_ney_scoring, op5_quality_ftrl, op6_embedding_near_dedup, op8_ngram_jaccard_join,
+    return {f.__name__: f for f in (op1_toxicity_crf, op2_fuzzy_line_dedup, op3_shard_placement, op4_kneser_ney_scoring, op5_quality_ftrl, op6_embedding_near_dedup, op7_pii_surrogates, op8_ngram_jaccard_join,
                                    op9_benchmark_decontamination, op10_piece_encoding)}
 
 

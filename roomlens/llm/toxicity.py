@@ -334,29 +334,39 @@ def score_texts(texts: list[str], crf: Field, scores: Scores):
     return score, hits, spans
 
 
-def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text",
-                   threshold: float = 0.3) -> DataFrame:
-    """(id, score, predicted, toxic_tokens, spans array<struct<start,stop>>) per row.
-
-    Null and empty texts have the score of no evidence.  Null and repeated ids are passed
-    through; other columns are ignored.  The field (2 MB, whatever the input)
-    is broadcast."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(field)
+def _scored(rows: DataFrame, crf: Field, threshold: float) -> DataFrame:
+    """(row_, score, predicted, toxic_tokens, spans) of (row_, text_) rows."""
+    kind = rows.schema["row_"].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast(crf)
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         scores = Scores(own)
         for batch in batches:
-            got = [score_texts(texts, own, scores) for _, texts in text_runs(batch.column(1), 3_000_000)]
-            score = np.concatenate([x[0] for x in got]) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)),
-                 pa.array([int(n) for x in got for n in x[1]], pa.int64()),
-                 pa.array([s for x in got for s in x[2]], span)],
-                names=[id_col, "score", "predicted", "toxic_tokens", "spans"])
-
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text_")).mapInArrow(
-        work, f"`{id_col}` {kind}, score double, predicted int, toxic_tokens long, "
-              "spans array<struct<start:int,stop:int>>")
+            for start, texts in text_runs(batch.column(1), 3_000_000):
+                score, hits, spans = score_texts(texts, own, scores)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), pa.array(score, pa.float64()),
+                     pa.array((score >= threshold).astype(np.int32)), pa.array(hits, pa.int64()), pa.array(spans, span)],
+                    names=["row_", "score", "predicted", "toxic_tokens", "spans"])
+
+    return rows.mapInArrow(work, f"row_ {kind}, score double, predicted int, toxic_tokens long, "
+                                 "spans array<struct<start:int,stop:int>>")
+
+
+def score_toxicity(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col: str = "text",
+                   threshold: float = 0.3) -> DataFrame:
+    """(id, score, predicted, toxic_tokens, spans array<struct<start,stop>>) per row.
+
+    Null and empty texts have the score of no evidence.  Null and repeated
+    ids are passed through; other columns are ignored.  The field (2 MB,
+    whatever the input) is broadcast."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("row_"), F.col(f"`{text_col}`").alias("text_"))
+    return _scored(rows, crf, threshold).withColumnRenamed("row_", id_col)
+
+
+def without_toxic(docs: DataFrame, crf: Field, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted toxic."""
+    rows = docs.select(F.struct("*").alias("row_"), F.col(f"`{text_col}`").alias("text_"))
+    return _scored(rows, crf, threshold).where("predicted = 0").select("row_.*")
