@@ -46,6 +46,8 @@ from roomlens.session import scratch_path
 FLUSH = 1_200_000
 # Frequency noted for split shingles, which no task counts whole.
 SPLIT_DF = 1 << 30
+# Pairs are verified in so many fragments of the order (as a power of two).
+CUT_BITS = 3
 # Text bytes per fragment (about 2 million postings).
 FRAGMENT_BYTES = 14_000_000
 SEGMENTS = pa.schema([("frag", pa.int32()), ("fp", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()),
@@ -218,18 +220,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need = F.ceil(F.col("n") * percent / 100)
     parts = found.where("frag >= 0").select("frag", "fp", "n", "hs", "dfs")
     able = parts.groupBy("fp", "n").agg(F.sum(F.size("hs")).alias("shared")).where(F.col("shared") >= need)
-    held = scratch_path(spark, "able")
-    parts.join(able.join(classes, ["fp", "n"]), ["fp", "n"]).select("cid", "n", "frag", "hs", "dfs", "shared") \
-        .write.parquet(held)
-    segs = spark.read.parquet(held)
+    # Shared shingles of each class in ascending frequency.  (One may come
+    # from its fragment and from a split, so their number is taken anew.)
+    by = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("dfs", "hs"))))["hs"]
+    ordered = scratch_path(spark, "ordered")
+    parts.join(able.join(classes, ["fp", "n"]).select("fp", "n", "cid"), ["fp", "n"]).groupBy("cid", "n") \
+        .agg(F.array_distinct(by).alias("by")).where(F.size("by") >= need).write.parquet(ordered)
+    ordered = spark.read.parquet(ordered)
+    segments = scratch_path(spark, "fragments")
+
+    def fragment(f: int):
+        return F.filter("by", lambda h: F.shiftrightunsigned(h, 64 - CUT_BITS) == f)
+    ordered.select("cid", "n", F.explode(F.array(*[F.struct(F.lit(f).alias("frag"), fragment(f).alias("hs"))
+                                                   for f in range(1 << CUT_BITS)])).alias("x")) \
+        .select("cid", "n", "x.*").where(F.size("hs") > 0).write.parquet(segments)
+    segs = spark.read.parquet(segments)
     # The shingles of one holder alone come first in the order and match
     # nothing; of the shared ones so many are left in the prefix.
-    ordered = segs.groupBy("cid", "n", "shared").agg(F.array_distinct(F.sort_array(F.flatten(
-        F.collect_list(F.arrays_zip("dfs", "hs"))))).alias("by"))
-    table = scratch_path(spark, "prefixes")
-    ordered.select("cid", "n", "shared", F.slice("by.hs", F.lit(1), (F.size("by") - need + 1).cast("int")).alias("p")) \
-        .write.parquet(table)
-    prefixes = spark.read.parquet(table)
+    prefixes = ordered.select("cid", "n", F.size("by").alias("shared"),
+                              F.slice("by", F.lit(1), (F.size("by") - need + 1).cast("int")).alias("p"))
     heads = prefixes.select("cid", "n", "shared", F.posexplode("p").alias("i", "h")) \
         .select("cid", "n", "shared", "h", (F.col("n") - F.col("shared") + F.col("i") + 1).alias("at"))
 

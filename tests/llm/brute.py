@@ -4,6 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+WORDS = "the of and in to that was for river stone light house garden paper winter morning table letter".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + (str(rng.randint(0, 400)) if rng.random() < 0.6 else "") for _ in range(n))
+
 
 def words(text):
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -130,7 +136,7 @@ def near_vectors(rows, cosine=0.95):
     links = []
     for d in {len(v) for _, v in good}:
         own = [(i, v) for i, v in good if len(v) == d]
-        u = np.stack([v / np.linalg.norm(v) for _, v in own])
+        u = np.stack([(v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for _, v in own])
         for a in range(len(own)):
             for b in np.flatnonzero(u[a] @ u[a + 1:].T >= cosine).tolist():
                 links.append((own[a][0], own[a + 1 + b][0]))
@@ -140,3 +146,60 @@ def near_vectors(rows, cosine=0.95):
         n[b] += 1
     comp = components(ids, links)
     return sorted((i, n[i], comp[i], comp[i] == i) for i in ids)
+
+
+_MASK = 2 ** 64 - 1
+
+
+def xx64(text, seed=42):
+    """The hash that Spark's xxhash64 gives a string."""
+    import xxhash
+    return xxhash.xxh64_intdigest(text.encode(), seed=seed)
+
+
+def normal_line(line):
+    import re
+    import unicodedata
+    kept = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in line.lower())
+    return re.sub(" +", " ", kept).strip(" ")
+
+
+def simhash(line):
+    words = line.split(" ")
+    hashes = [xx64(w) for w in words]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def deduped(rows, similarity=0.75, radius=3):
+    """[(id, text after, dropped lines)] of (id, text) rows with distinct ids."""
+    where = {}
+    for d, t in rows:
+        for p, line in enumerate((t or "").split("\n")):
+            n = normal_line(line)
+            if n:
+                where.setdefault(n, []).append((d, p))
+    lines = sorted(where)
+    fp = {n: simhash(n) for n in lines}
+    links = [(a, b) for a, b in itertools.combinations(lines, 2)
+             if (fp[a] ^ fp[b]).bit_count() <= radius
+             and edits(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9)]
+    comp = components(lines, links)
+    groups = {}
+    for n in lines:
+        groups.setdefault(comp[n], []).extend(where[n])
+    gone = {o for g in groups.values() for o in g if o != min(g)}
+    out = []
+    for d, t in rows:
+        kept = [x for p, x in enumerate((t or "").split("\n")) if (d, p) not in gone]
+        out.append((d, t if t is None else "\n".join(kept), sum(1 for x in gone if x[0] == d)))
+    return out
