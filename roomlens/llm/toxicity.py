@@ -60,7 +60,7 @@ class Field:
     weight: np.ndarray
     moves: np.ndarray
     first: np.ndarray
-    text: np.ndarray = field(default_factory=lambda: np.array([-2.0, 2.0, 2.0, 0.0]))
+    text: np.ndarray = field(default_factory=lambda: np.array([-2.0, 2.0, 2.0]))
 
 
 def marginals(e: np.ndarray, lens: np.ndarray, crf: Field, expect: bool = False):
@@ -307,9 +307,9 @@ def spans_of(text: str, toxic: np.ndarray) -> list[dict]:
 
 
 def evidence(texts: list[str], crf: Field, scores: Scores):
-    """Per text: 1, log(1 + expected toxic tokens), highest marginal, log(1 +
-    tokens); and the marginals of all tokens with the tokens per text.
-    Marginals under 0.1 do not add up, however long the text."""
+    """Per text: 1, log(1 + expected toxic tokens), highest marginal; and the
+    marginals of all tokens with the tokens per text.  Marginals under 0.1 do
+    not add up, however long the text."""
     get = scores.__getitem__
     lists = [chains(t) for t in texts]
     lens = np.array([len(c) for cs in lists for c in cs], np.int64)
@@ -320,7 +320,7 @@ def evidence(texts: list[str], crf: Field, scores: Scores):
     top = np.zeros(len(texts))
     np.maximum.at(top, owner, m)
     total = np.bincount(owner, weights=np.where(m >= 0.1, m, 0.0), minlength=len(texts))
-    return np.stack([np.ones(len(texts)), np.log1p(total), top, np.log1p(size)], axis=1), m, size
+    return np.stack([np.ones(len(texts)), np.log1p(total), top], axis=1), m, size
 
 
 def score_texts(texts: list[str], crf: Field, scores: Scores):
