@@ -31,6 +31,9 @@ ROOM_WORDS = ["kitchen", "office", "hallway"]
 GUARD_WORDS = ["insert", "update", "delete", "drop", "alter", "create", "attach", "copy", "pragma"]
 # Extra Spark-only escape hatches refused by the guard (trap 7).
 SPARK_GUARD_WORDS = ["reflect(", "java_method(", "try_reflect("]
+# Script transformation runs a shell command: TRANSFORM/MAP/REDUCE ... USING '<command>'.  A join's
+# USING is followed by a bracket.
+SCRIPT_RULE = r"(?s)\b(transform|map|reduce)\b.*\busing\b\s*[^\s(]"
 # Truthy header spellings for the KG off-switch (F-13).
 TRUTHY = ["1", "true", "yes", "on"]
 # Markers for the safety label parser (X-7).
@@ -117,11 +120,11 @@ def clean_sql(df: DataFrame, raw_col: str, out_col: str = "sql") -> DataFrame:
 
 def guard_reason(sql: Column) -> Column:
     """F-8: NULL when allowed, else the reason text the reference raises."""
-    s = F.lower(strip_ws(sql))
+    s = F.lower(strip_ws(F.coalesce(sql, F.lit(""))))
     bad = "|".join(GUARD_WORDS)
     spark_bad = "|".join(w.replace("(", r"\(") for w in SPARK_GUARD_WORDS)
     return (F.when(~s.rlike(r"^(select|with)"), F.lit("Only SELECT statements are allowed."))
-            .when(s.rlike(bad) | s.rlike(spark_bad), F.lit("Unsafe SQL detected.")))
+            .when(s.rlike(bad) | s.rlike(spark_bad) | s.rlike(SCRIPT_RULE), F.lit("Unsafe SQL detected.")))
 
 
 def sql_valid(sql: Column) -> Column:

@@ -179,13 +179,15 @@ def safe_limits(iaq: DataFrame, dim: DataFrame) -> DataFrame:
     long = wide.select("day", "location", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(f"{m}__min").alias("omin"), F.col(f"{m}__max").alias("omax"))
         for m in st.BANDED_METRICS])).alias("x")).select("day", "location", "x.*")
-    long = long.where(F.col("omin").isNotNull())  # reference raises on an all-NULL day
+    # a day without a reading of the metric stays, as `no-data` (F-7)
+    none = F.col("omin").isNull()
     j = long.join(dim, "metric")
     state, violation = st.safe_limit_state(F.col("omin"), F.col("omax"), F.col("lo"), F.col("hi"))
     return j.select(F.col("day").cast("string").alias("date"), "location", "metric",
-                    state.alias("expected_safe_state"), F.col("lo").alias("recommended_min"),
+                    F.when(none, F.lit("no-data")).otherwise(state).alias("expected_safe_state"), F.col("lo").alias("recommended_min"),
                     F.col("hi").alias("recommended_max"), stable_round("omin", 6).alias("observed_min"),
-                    stable_round("omax", 6).alias("observed_max"), violation.alias("violation"))
+                    stable_round("omax", 6).alias("observed_max"),
+                    F.when(~none, violation).alias("violation"))
 
 
 # ---------------------------------------------------------------------- A-6
@@ -195,10 +197,14 @@ def result_status(result: DataFrame, dim: DataFrame, group_cols: list[str],
     metric are averaged (values that do not parse as double are skipped),
     rounded to 3, with bounds; groups with no numeric value are omitted."""
     mcols = [c for c in result.columns if c in METRICS]
-    if not mcols:
-        return result.sparkSession.createDataFrame([], "metric string")
-    wide = result.groupBy(*group_cols).agg(
-        *[F.avg(F.col(c).cast("string").try_cast("double")).alias(c) for c in mcols])
+    numbers = {"double", "float", "int", "bigint", "smallint", "tinyint"}
+
+    def value(c: str) -> Column:
+        v = F.col(c).cast("double") if dict(result.dtypes)[c] in numbers else F.col(c).cast("string").try_cast("double")
+        return F.nullif(v, F.lit(float("nan")))
+    if not mcols:  # the same columns, no rows
+        mcols, result = METRICS[:1], result.withColumn(METRICS[0], F.lit(None).cast("double"))
+    wide = result.groupBy(*group_cols).agg(*[F.avg(value(c)).alias(c) for c in mcols])
     long = unpivot_metrics(wide, group_cols, mcols, "mean").where(F.col("mean").isNotNull())
     j = long.join(dim, "metric", "left")
     loc = F.initcap(F.col(location_col)) if location_col else F.lit(None).cast("string")
@@ -289,27 +295,76 @@ def plot_title(metric: Column, date_from: Column, date_to: Column, room: Column)
     return F.concat(base, F.coalesce(F.concat(F.lit(" at "), F.initcap(room)), F.lit("")))
 
 
-def series_with_band(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
-                     kg_disabled: bool = False) -> DataFrame:
-    """J-2: (request, Date, value, band) rows for each parsed plot request.
-    The band needs both bounds, only for banded metrics, absent when KG off."""
-    # no metric filter: the inner join on metric drops NULL metrics anyway
+def plot_series(requests: DataFrame) -> DataFrame:
+    """Parsed plot requests with the key of the series they ask for: a
+    request's metric, room and dates name its series, so many requests share
+    one.  d0/d1 are NULL where a date is missing or none."""
     p = parsed_requests(requests)
     p = (p.withColumn("d0", F.try_to_date("date_from", "yyyy-MM-dd"))
          .withColumn("d1", F.when(F.col("date_to").isNull(), F.date_add("d0", 1))
                      .otherwise(F.try_to_date("date_to", "yyyy-MM-dd"))))
-    # conditional explode rather than a filter: a pushed-down filter would
-    # re-run the parsing expressions beneath it
-    days = p.select("request_id", "metric", "room", "date_from", "date_to", F.explode(
+    part = [F.coalesce(c, F.lit("*")) for c in ("room", "date_from", "date_to")]
+    return p.withColumn("series", F.concat_ws("|", "metric", *part))
+
+
+def series_rooms(requests: DataFrame, iaq: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct series, readings): readings have one row per (reading, room
+    word), where the word is `*` or one that the room's name contains, so
+    that series join them by equality."""
+    s = plot_series(requests).where(F.col("metric").isNotNull()) \
+        .select("series", "metric", "room", "date_from", "date_to", "d0", "d1").distinct()
+    words = F.filter(F.array(F.lit("*"), *[F.when(F.lower("location").contains(r), F.lit(r)) for r in tx.ROOM_WORDS]),
+                     lambda w: w.isNotNull())
+    r = iaq.select("Date", "location", *METRICS, day_of().alias("day"), F.explode(words).alias("word"))
+    return s, r
+
+
+def series_with_band(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
+                     kg_disabled: bool = False) -> DataFrame:
+    """J-2: (series, Date, value, band) rows of every series that a parsed
+    plot request asks for, in (series, Date) order within partitions.  A
+    request without a date asks for all dates.  The band needs both bounds,
+    only for banded metrics, absent when KG off.  `series_requests` has the
+    requests and their series.
+
+    Series are distinct (metric, room word, dates), so their number does not
+    follow the number of requests; dated ones join by (day, word), undated
+    ones (at most metrics x room words) by the word."""
+    s, r = series_rooms(requests, iaq)
+    s = s.withColumn("word", F.coalesce("room", F.lit("*")))
+    dated = s.where(F.col("date_from").isNotNull()).select("*", F.explode(
         F.when(F.col("d1") > F.col("d0"), F.sequence("d0", F.date_sub("d1", 1)))).alias("day"))
-    long = unpivot_metrics(iaq.select("Date", "location", *METRICS).withColumn("day", day_of()),
-                           ["Date", "day", "location"], METRICS, "value")
-    j = (days.join(long, ["day", "metric"])
-         .where(F.col("room").isNull() | F.col("location").contains(F.col("room")))
-         .join(dim, "metric", "left"))
+    undated = s.where(F.col("date_from").isNull())
+    j = dated.join(r, ["day", "word"]).drop("day").unionByName(undated.join(r, "word").drop("day"))
+    value = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in METRICS])
+    j = j.withColumn("value", value).join(dim, "metric", "left")
     band = F.col("metric").isin(*st.BANDED_METRICS) & F.col("lo").isNotNull() & F.col("hi").isNotNull() \
         & F.lit(not kg_disabled)
-    return j.select("request_id", F.col("Date").cast("string").alias("Date"), "location", "metric",
-                    stable_round("value", 6).alias("value"),
-                    F.when(band, F.col("lo")).alias("band_min"), F.when(band, F.col("hi")).alias("band_max"),
-                    plot_title(F.col("metric"), F.col("date_from"), F.col("date_to"), F.col("room")).alias("title"))
+    on_one_day = F.col("date_from").isNotNull() & F.col("date_to").isNull()
+    out = j.select("series", F.col("Date").cast("string").alias("Date"), "location", "metric",
+                   stable_round("value", 6).alias("value"),
+                   F.when(band, F.col("lo")).alias("band_min"), F.when(band, F.col("hi")).alias("band_max"),
+                   plot_title(F.col("metric"), F.col("date_from"), F.col("date_to"), F.col("room")).alias("title"),
+                   F.when(on_one_day, F.concat(F.lit("time on "), "date_from")).otherwise(F.lit("time"))
+                   .alias("x_label"))
+    return out.repartition("series").sortWithinPartitions("series", "Date", "location")
+
+
+def series_requests(requests: DataFrame, iaq: DataFrame) -> DataFrame:
+    """Every plot request with its series and a status: `no-metric`,
+    `bad-date`, `no-data` (nothing matches) or `ok`."""
+    s, r = series_rooms(requests, iaq)
+    s = s.withColumn("word", F.coalesce("room", F.lit("*")))
+    days = r.select("day", "word").distinct()
+    span = days.groupBy("word").agg(F.lit(True).alias("any"))
+    hit = s.where(F.col("date_from").isNotNull()).select("series", "word", F.explode(
+        F.when(F.col("d1") > F.col("d0"), F.sequence("d0", F.date_sub("d1", 1)))).alias("day")) \
+        .join(days, ["day", "word"], "left_semi").select("series") \
+        .union(s.where(F.col("date_from").isNull()).join(span, "word", "left_semi").select("series")).distinct() \
+        .withColumn("found", F.lit(True))
+    p = plot_series(requests).join(hit, "series", "left")
+    bad = F.col("date_from").isNotNull() & (F.col("d0").isNull() | F.col("d1").isNull())
+    status = (F.when(F.col("metric").isNull(), "no-metric").when(bad, "bad-date")
+              .when(F.col("found").isNull(), "no-data").otherwise("ok"))
+    return p.select("request_id", F.when(F.col("metric").isNotNull(), F.col("series")).alias("series"),
+                    status.alias("status"))

@@ -2,7 +2,7 @@
 
 The guard is the reference's rule (trimmed lower text starts with select or
 with; none of the write words appear anywhere, as substrings), plus Spark's
-own escape hatches (reflection calls, SQL on files).  For a column of
+own escape hatches (reflection calls, script transformation, SQL on files).  For a column of
 statements the same rule is ``functions.text.guard_reason``; here it gates
 one statement before ``spark.sql`` plans it.
 """
@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomlens.functions.text import GUARD_WORDS, SPARK_GUARD_WORDS
+from roomlens.functions.text import GUARD_WORDS, SCRIPT_RULE, SPARK_GUARD_WORDS
 
 
 class UnsafeSQL(ValueError):
@@ -24,7 +24,8 @@ def check_sql(sql: str) -> None:
     s = (sql or "").strip().lower()
     if not re.match(r"^(select|with)", s):
         raise UnsafeSQL("Only SELECT statements are allowed.")
-    if any(w in s for w in GUARD_WORDS) or any(w in s for w in SPARK_GUARD_WORDS):
+    if any(w in s for w in GUARD_WORDS) or any(w in s for w in SPARK_GUARD_WORDS) \
+            or re.search(SCRIPT_RULE, s):
         raise UnsafeSQL("Unsafe SQL detected.")
 
 

@@ -164,12 +164,12 @@ def room_sql() -> dict[str, str]:
       d as (select cast(cast("Date" as date) as varchar) as date, location, metric, min(v) as omin, max(v) as omax
             from long where metric in ('temperature_c', 'humidity_rh') group by all)
       select date, location, metric,
-             case when omin >= lo and omax <= hi then 'within_safe_limit' else 'outside_safe_limit' end
+             case when omin is null then 'no-data' when omin >= lo and omax <= hi then 'within_safe_limit' else 'outside_safe_limit' end
                as expected_safe_state,
              lo as recommended_min, hi as recommended_max, cast(round(cast(round(omin, 8) as decimal(38, 8)), 6) as double) as observed_min, cast(round(cast(round(omax, 8) as decimal(38, 8)), 6) as double) as observed_max,
-             case when omin >= lo and omax <= hi then null when omin < lo and omax > hi then 'below_and_above'
+             case when omin is null or omin >= lo and omax <= hi then null when omin < lo and omax > hi then 'below_and_above'
                   when omin < lo then 'below' else 'above' end as violation
-      from d join dim using (metric) where omin is not null"""
+      from d join dim using (metric)"""
     q["oracle_state"] = f"""with {IAQ}, {LONG}, {DIM},
       d as (select cast(cast("Date" as date) as varchar) as date, location, metric, avg(v) as m
             from long where metric in ('temperature_c', 'humidity_rh') group by all)
@@ -185,20 +185,33 @@ def room_sql() -> dict[str, str]:
              cast(round(cast(round(m, 8) as decimal(38, 8)), 3) as double) as mean_value, lo as recommended_min, hi as recommended_max,
              upper(substr(location, 1, 1)) || lower(substr(location, 2)) as location_title
       from x join dim using (metric) where m is not null"""
-    q["series_with_band"] = f"""with {IAQ}, {LONG}, {DIM}, {PLOT_REQ},
-      p as (select request, {parse_cols()} from preq),
-      w as (select *, {WINDOW} from p where metric is not null)
-      select w.request as request_id, cast(l."Date" as varchar) as "Date", l.location, l.metric,
+    all_req = f"""{REQ}, areq as (select cast(request_id as varchar) as request_id, request from req
+                union all select 'none', 'plot temperature for 2030-01-01 in office'),
+      p as (select request_id, {parse_cols()} from areq),
+      w as (select *, {WINDOW}, concat_ws('|', metric, coalesce(room, '*'), coalesce(date_from, '*'), coalesce(date_to, '*'))
+                   as series from p)"""
+    match = """l.metric = w.metric and (w.date_from is null or (l."Date" >= w.d0 and l."Date" < w.d1))
+                          and (w.room is null or contains(lower(l.location), w.room))"""
+    q["series_with_band"] = f"""with {IAQ}, {LONG}, {DIM}, {all_req},
+      s as (select distinct series, metric, room, date_from, date_to, d0, d1 from w where metric is not null)
+      select w.series, cast(l."Date" as varchar) as "Date", l.location, l.metric,
              cast(round(cast(round(l.v, 8) as decimal(38, 8)), 6) as double) as value,
              case when l.metric in ('temperature_c', 'humidity_rh') and lo is not null and hi is not null then lo end as band_min,
              case when l.metric in ('temperature_c', 'humidity_rh') and lo is not null and hi is not null then hi end as band_max,
              case when date_from is not null and date_to is null then {TITLE.replace('metric', 'l.metric')} || ' on ' || date_from
                   when date_from is not null then {TITLE.replace('metric', 'l.metric')} || ' from ' || date_from || ' to ' || date_to
                   else {TITLE.replace('metric', 'l.metric')} end
-               || coalesce(' at ' || upper(substr(w.room, 1, 1)) || lower(substr(w.room, 2)), '') as title
-      from w join long l on l.metric = w.metric and l."Date" >= w.d0 and l."Date" < w.d1
-                          and (w.room is null or contains(l.location, w.room))
+               || coalesce(' at ' || upper(substr(w.room, 1, 1)) || lower(substr(w.room, 2)), '') as title,
+             case when date_from is not null and date_to is null then 'time on ' || date_from else 'time' end as x_label
+      from s w join long l on {match}
       left join dim on dim.metric = l.metric"""
+    q["series_requests"] = f"""with {IAQ}, {LONG}, {all_req},
+      hit as (select distinct w.series from w join long l on {match})
+      select w.request_id, case when w.metric is not null then w.series end as series,
+             case when w.metric is null then 'no-metric'
+                  when w.date_from is not null and (w.d0 is null or w.d1 is null) then 'bad-date'
+                  when hit.series is null then 'no-data' else 'ok' end as status
+      from w left join hit on hit.series = w.series"""
     q["score_parse"] = f"""with {IAQ}, {PLOT_REQ},
       p as (select *, {parse_cols()} from preq)
       select request, metric as parsed_metric, room as parsed_location, date_from as parsed_date,

@@ -16,7 +16,7 @@ def _q(v: str) -> str:
 
 GEN = f"""gen as (
   select o_orderkey as text_id,
-         case o_orderkey % 8
+         case o_orderkey % 10
            when 0 then base
            when 1 then '```' || base || '```'
            when 2 then '```sql' || chr(10) || base || chr(10) || '```'
@@ -24,7 +24,8 @@ GEN = f"""gen as (
            when 4 then 'Here is the query you asked for:' || chr(10) || base
            when 5 then chr(10) || '  ' || base || '; drop table iaq'
            when 6 then 'Sure. with t as (' || base || ') select * from t'
-           else 'select updated_at from iaq' end as raw_text
+           when 7 then 'select updated_at from iaq'
+           when 8 then 'select transform(location) using ''cat'' as (x string) from iaq' end as raw_text
   from (select o_orderkey,
                'select ' || ['avg', 'min', 'max'][o_custkey % 3 + 1] || '(' || {METRIC_LIST}[o_orderkey % 5 + 1]
                || ') from iaq where lower(location) like ''%' || {ROOM_LIST}[(o_custkey + o_orderkey) % 3 + 1] || '%''' as base
@@ -65,6 +66,7 @@ def text_sql() -> dict[str, str]:
                    case when not regexp_matches({low}, '^(select|with)') then 'Only SELECT statements are allowed.'
                         when regexp_matches({low}, 'insert|update|delete|drop|alter|create|attach|copy|pragma')
                           or regexp_matches({low}, 'reflect\\(|java_method\\(|try_reflect\\(')
+                          or contains({low}, 'transform(')
                         then 'Unsafe SQL detected.' end as reason from cleaned)
       select text_id, sql, reason is null as allowed, reason,
              coalesce(regexp_matches({low}, '^(select|with)'), false) as valid_sql from g"""
@@ -95,14 +97,15 @@ def text_sql() -> dict[str, str]:
                      when 0 then null
                      when 1 then try_cast(cast(t.expected + [0.0, 0.004, 0.03][a.order_key % 3 + 1] as varchar) as double)
                      else null end as result_value
-            from ans a join qc on qc.location = a.location and qc.metric = a.metric and qc.agg = a.agg
-            join truth t on t.location = a.location and t.metric = a.metric and t.agg = a.agg
-            join cleaned c on c.text_id = a.order_key)
+            from ans a left join qc on qc.location = a.location and qc.metric = a.metric and qc.agg = a.agg
+            left join truth t on t.location = a.location and t.metric = a.metric and t.agg = a.agg and qc.text is not null
+            left join cleaned c on c.text_id = a.order_key)
       select order_key, model, text as question, sql as generated_sql, cast(round(cast(round(result_value, 8) as decimal(38, 8)), 6) as double) as result_value,
              cast(round(cast(round(expected, 8) as decimal(38, 8)), 6) as double) as expected_value,
              coalesce(regexp_matches({low}, '^(select|with)'), false) as valid_sql,
-             coalesce(regexp_matches({low}, '^(select|with)'), false)
-               and coalesce(abs(result_value - expected) <= 0.01, false) as correct
+             case when text is not null then coalesce(regexp_matches({low}, '^(select|with)'), false)
+               and coalesce(abs(result_value - expected) <= 0.01, false) end as correct,
+             case when text is null then 'no-case' else 'scored' end as status
       from j"""
     schema = ("Date (timestamp_ntz)\\nIAQ_class (string)\\nIAQ_proxy (double)\\ngas_resistance_ohms (double)\\n"
               "heat_stable (boolean)\\nhumidity_rh (double)\\nlocation (string)\\npressure_hpa (double)\\n"

@@ -120,9 +120,18 @@ def _plot_requests(iaq: DataFrame) -> DataFrame:
 
 
 def q_series_with_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iaq = fx.iaq(spark, sf_dir)
-    req = _plot_requests(iaq).select("request_id", "request")
-    return room.series_with_band(req, iaq, room.metric_dim(spark))
+    return room.series_with_band(_all_plot_requests(spark, sf_dir), fx.iaq(spark, sf_dir), room.metric_dim(spark))
+
+
+def q_series_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return room.series_requests(_all_plot_requests(spark, sf_dir), fx.iaq(spark, sf_dir))
+
+
+def _all_plot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request texts of the orders (with and without dates, bad dates,
+    unknown metrics) and one for a day that has no data."""
+    return fx.request_texts(spark, sf_dir).select(F.col("request_id").cast("string").alias("request_id"), "request") \
+        .union(spark.createDataFrame([("none", "plot temperature for 2030-01-01 in office")], "request_id string, request string"))
 
 
 def q_score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +195,7 @@ QUERIES = {
     "oracle_state": q_oracle_state,
     "result_status": q_result_status,
     "series_with_band": q_series_with_band,
+    "series_requests": q_series_requests,
     "score_parse": q_score_parse,
     "score_cards": q_score_cards,
     "sample_rows": q_sample_rows,

@@ -50,10 +50,16 @@ def q_guarded_query(spark, sf_dir):
 
 def q_score_generated_sql(spark, sf_dir):
     """J-3: stored answers of the question-to-SQL task scored against the
-    set-based ground truth (A-1), with X-12 extraction and X-11 tolerance."""
+    set-based ground truth (A-1), with X-12 extraction and X-11 tolerance.
+
+    Every answer gives a row: one whose (room, metric, aggregate) is no listed
+    case has status `no-case` and no grade.  The answer's text is cleaned in
+    the same pass over the answers; the cases are at most rooms x metrics x
+    aggregates rows and join as AQE sees fit."""
     iaq = fx.iaq(spark, sf_dir)
     truth = room.location_stats(iaq).unpivot(["location", "metric"], ["mean", "min", "max"], "agg", "expected")
-    qcases = cases.question_cases(iaq).join(truth, ["location", "metric", "agg"])
+    qcases = cases.question_cases(iaq).join(truth, ["location", "metric", "agg"]) \
+        .select("location", "metric", "agg", "text", "expected")
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority") \
         .where(F.col("o_orderstatus") == "F")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -61,9 +67,9 @@ def q_score_generated_sql(spark, sf_dir):
                    F.element_at(F.array(*[F.lit(r) for r in fx.ROOMS]), (cust % 3 + 1).cast("int")).alias("location"),
                    F.element_at(F.array(*[F.lit(m) for m in fx.METRIC_COLUMNS]), (key % 5 + 1).cast("int")).alias("metric"),
                    F.element_at(F.array(F.lit("mean"), F.lit("min"), F.lit("max")),
-                                (F.floor(key / 5) % 3 + 1).cast("int")).alias("agg"))
-    gen = q_clean_sql(spark, sf_dir).withColumnRenamed("text_id", "order_key")
-    j = ans.join(qcases, ["location", "metric", "agg"]).join(gen, "order_key")
+                                (F.floor(key / 5) % 3 + 1).cast("int")).alias("agg"),
+                   fx.generated_sql_expr().alias("raw_text"))
+    j = tx.clean_sql(ans, "raw_text", "sql").join(qcases, ["location", "metric", "agg"], "left")
     delta = F.element_at(F.array(F.lit(0.0), F.lit(0.004), F.lit(0.03)), (F.col("order_key") % 3 + 1).cast("int"))
     v = (F.col("expected") + delta).cast("string")
     k4 = F.col("order_key") % 4
@@ -71,11 +77,14 @@ def q_score_generated_sql(spark, sf_dir):
             .when(k4 == 1, F.array(F.array(v)))
             .when(k4 == 2, F.array(F.array(v, F.lit("x"))))
             .otherwise(F.array(F.array(F.lit("n/a")))))
+    listed = F.col("text").isNotNull()
     j = j.withColumn("result_value", tx.extract_scalar(rows)).withColumn("valid_sql", tx.sql_valid(F.col("sql")))
     return j.select("order_key", "model", F.col("text").alias("question"), F.col("sql").alias("generated_sql"),
                     stable_round("result_value", 6).alias("result_value"),
                     stable_round("expected", 6).alias("expected_value"), "valid_sql",
-                    (F.col("valid_sql") & tx.is_close(F.col("result_value"), F.col("expected"))).alias("correct"))
+                    F.when(listed, F.col("valid_sql") & tx.is_close(F.col("result_value"), F.col("expected")))
+                    .alias("correct"),
+                    F.when(listed, F.lit("scored")).otherwise(F.lit("no-case")).alias("status"))
 
 
 def schema_text(iaq: DataFrame) -> str:

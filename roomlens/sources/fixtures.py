@@ -179,8 +179,13 @@ def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model outputs that should contain one SQL statement, in eight wrappings."""
+    """Model outputs that should contain one SQL statement, in ten wrappings."""
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    return o.select(F.col("o_orderkey").alias("text_id"), generated_sql_expr().alias("raw_text"))
+
+
+def generated_sql_expr() -> Column:
+    """The model output of an order, from its keys."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     aggs = F.array(*[F.lit(a) for a in ["avg", "min", "max"]])
     cols = F.array(*[F.lit(c) for c in METRIC_COLUMNS])
@@ -189,13 +194,13 @@ def generated_sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.element_at(cols, (key % 5 + 1).cast("int")),
                     F.lit(") from iaq where lower(location) like '%"),
                     F.element_at(rooms, ((cust + key) % 3 + 1).cast("int")), F.lit("%'"))
-    v = key % 8
-    text = (F.when(v == 0, base)
+    v = key % 10
+    return (F.when(v == 0, base)
             .when(v == 1, F.concat(F.lit("```"), base, F.lit("```")))
             .when(v == 2, F.concat(F.lit("```sql\n"), base, F.lit("\n```")))
             .when(v == 3, F.concat(F.lit("SQL: "), base))
             .when(v == 4, F.concat(F.lit("Here is the query you asked for:\n"), base))
             .when(v == 5, F.concat(F.lit("\n  "), base, F.lit("; drop table iaq")))
             .when(v == 6, F.concat(F.lit("Sure. with t as ("), base, F.lit(") select * from t")))
-            .otherwise(F.lit("select updated_at from iaq")))
-    return o.select(key.alias("text_id"), text.alias("raw_text"))
+            .when(v == 7, F.lit("select updated_at from iaq"))
+            .when(v == 8, F.lit("select transform(location) using 'cat' as (x string) from iaq")))
