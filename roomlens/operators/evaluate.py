@@ -52,22 +52,27 @@ def console_summary(summary: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------- A-11..A-13, A-21
-def file_counts(recs: DataFrame) -> DataFrame:
-    """A-11 + A-13 + A-21 per result file.  `first_pending` (A-21) needs the
-    line index; records without an `index` column give the counts only."""
-    with_index = "index" in recs.columns
+def file_counts(recs: DataFrame, order_col: str | None = None) -> DataFrame:
+    """A-11 + A-13 + A-21 per result file.  `first_pending` (A-21) is the
+    position of the first ungraded record in `order_col` order: the number of
+    the file's records before it.  Two partial aggregates, no sort."""
     aggs = [F.count(F.lit(1)).alias("total"),
             count_if(F.col("correct").isNotNull()).alias("graded"),
             count_if(F.col("correct") == F.lit(True)).alias("correct")]
-    if with_index:
-        aggs.append(F.min(F.when(F.col("correct").isNull(), F.col("index"))).alias("_first_pending"))
+    if order_col:
+        aggs.append(F.min(F.when(F.col("correct").isNull(), F.col(order_col))).alias("_least"))
     agg = recs.groupBy("file").agg(*aggs)
     cols = ["file", tx.task_type_for_file(F.col("file")).alias("task_type"), "total", "graded",
             (F.col("total") - F.col("graded")).alias("pending"), "correct",
             F.when(F.col("total") > 0, F.round(F.col("graded") * 100 / F.col("total"), 0).cast("long"))
              .otherwise(F.lit(0)).alias("progress_pct")]
-    if with_index:
-        cols.append(F.coalesce("_first_pending", F.lit(0).cast("long")).alias("first_pending"))
+    if order_col:
+        # one row per file: broadcast behind its measured size
+        agg = broadcast_if_small(agg)
+        before = recs.join(agg.select("file", "_least"), "file").where(F.col(order_col) < F.col("_least")) \
+            .groupBy("file").agg(F.count(F.lit(1)).alias("_before"))
+        agg = agg.join(before, "file", "left")
+        cols.append(F.coalesce("_before", F.lit(0).cast("long")).alias("first_pending"))
     return agg.select(*cols)
 
 
@@ -104,15 +109,20 @@ def kg_gain(recs: DataFrame) -> DataFrame:
 
 
 def paired_outcomes(recs: DataFrame, pair_col: Column) -> DataFrame:
-    """A-20: outcome of each case under both conditions."""
+    """A-20: outcome of each case of a model under both conditions.  A pair
+    that lacks a condition is `unpaired`; one that has both, but not both
+    graded, is `ungraded`."""
     r = recs.where(F.col("condition").isin("kg_on", "kg_off")).select(
+        F.coalesce(F.nullif(F.col("model"), F.lit("")), F.lit("default")).alias("model"),
         pair_col.alias("pair_id"), "condition", F.col("correct").cast("int").alias("c"))
-    p = r.groupBy("pair_id").pivot("condition", ["kg_on", "kg_off"]).agg(F.max("c"))
-    on, off = F.col("kg_on"), F.col("kg_off")
-    outcome = (F.when(on.isNull() | off.isNull(), "unpaired")
+    p = r.groupBy("model", "pair_id").pivot("condition", ["kg_on", "kg_off"]).agg(
+        F.max("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    on, off = F.col("kg_on_c"), F.col("kg_off_c")
+    outcome = (F.when((F.coalesce("kg_on_n", F.lit(0)) == 0) | (F.coalesce("kg_off_n", F.lit(0)) == 0), "unpaired")
+               .when(on.isNull() | off.isNull(), "ungraded")
                .when((on == 1) & (off == 1), "both_correct").when(on == 1, "kg_on_only")
                .when(off == 1, "kg_off_only").otherwise("neither"))
-    return p.select("pair_id", (on == 1).alias("kg_on_correct"), (off == 1).alias("kg_off_correct"),
+    return p.select("model", "pair_id", (on == 1).alias("kg_on_correct"), (off == 1).alias("kg_off_correct"),
                     outcome.alias("outcome"))
 
 
@@ -149,13 +159,11 @@ def merge_grades(recs: DataFrame, grades: DataFrame) -> tuple[DataFrame, DataFra
     """J-7: apply the last grade per (file, index) to the records.
 
     Returns (merged records, rejected grades).  A grade whose index is outside
-    [0, total) of its file is rejected (anti join on the records' keys)."""
-    keys = recs.select("file", "index")
-    valid = grades.join(keys, ["file", "index"], "left_semi")
-    rejected = grades.join(keys, ["file", "index"], "left_anti")
+    [0, total) of its file is rejected, by the files' record counts (one row
+    per file); the left join from the records ignores such grades anyway."""
     # W-4 as an aggregate: the greatest (graded_at, then every other column)
     # wins; groups are bounded by grades per record and combine map-side.
-    last = valid.groupBy("file", "index").agg(
+    last = grades.groupBy("file", "index").agg(
         F.max(F.struct("graded_at", "correct", "note")).alias("g"))
     note = F.nullif(tx.strip_ws(F.col("g.note")), F.lit(""))
     merged = (recs.join(last, ["file", "index"], "left")
@@ -163,6 +171,9 @@ def merge_grades(recs: DataFrame, grades: DataFrame) -> tuple[DataFrame, DataFra
                       F.when(F.col("g").isNotNull(), F.col("g.correct")).otherwise(F.col("correct")).alias("correct"),
                       F.when(F.col("g").isNotNull(), note).alias("note"),
                       F.date_format("g.graded_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("graded_at")))
+    totals = broadcast_if_small(recs.groupBy("file").agg(F.count(F.lit(1)).alias("_total")))
+    rejected = grades.join(totals, "file", "left").where(
+        F.col("_total").isNull() | (F.col("index") < 0) | (F.col("index") >= F.col("_total"))).drop("_total")
     return merged, rejected
 
 
@@ -215,27 +226,30 @@ def class_accuracy(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 def latency_stats(pred: DataFrame, keys: list[str], value: str = "latency_s") -> DataFrame:
     """A-16: mean/min/max from one aggregate; median (mid-point) and p95
-    (nearest rank) from the distributed order statistics."""
+    (nearest rank) from the distributed order statistics.  A group without
+    latencies stays, with NULL figures and n = 0."""
     basic = pred.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("min"),
                                     F.max(value).alias("max"))
     q = order_statistics(pred, keys, value, linear={"median": 0.5}, nearest_rank={"p95": 0.95})
-    j = basic.join(q, keys)
+    j = basic.join(q, keys, "left")
     return j.select(*keys, "n", *[stable_round(c, 6).alias(f"latency_{c}_s")
                                   for c in ("mean", "min", "max", "median", "p95")])
 
 
 def latency_box(pred: DataFrame, keys: list[str], value: str = "latency_s") -> DataFrame:
     """A-17: quartiles (linear), whiskers at the furthest values inside
-    1.5 IQR of the box; fliers not reported."""
+    1.5 IQR of the box, never inside the box; fliers not reported.  A group
+    without latencies stays, with NULL figures and n = 0."""
     q = order_statistics(pred, keys, value, linear={"q1": 0.25, "median": 0.5, "q3": 0.75})
     # one row per group: broadcast behind its measured size, so the values
     # are not shuffled by group to find the whiskers
     q = broadcast_if_small(q.withColumn("iqr", F.col("q3") - F.col("q1")))
     j = pred.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()).join(q, keys)
     lo_f, hi_f = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    w = j.groupBy(*keys).agg(F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("whisker_low"),
-                             F.max(F.when(F.col("_v") <= hi_f, F.col("_v"))).alias("whisker_high"))
-    out = q.join(w, keys)
+    w = j.groupBy(*keys).agg(F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("low"),
+                             F.max(F.when(F.col("_v") <= hi_f, F.col("_v"))).alias("high"))
+    out = q.join(w, keys, "left").withColumn("whisker_low", F.least("low", "q1")) \
+        .withColumn("whisker_high", F.greatest("high", "q3"))
     return out.select(*keys, "n", *[stable_round(c, 6).alias(c)
                                     for c in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")])
 

@@ -219,8 +219,12 @@ def _pattern(triples: DataFrame, s: str, p: str, o: str) -> DataFrame:
     df, cols = triples, []
     if not p.startswith("?") and "pk" in triples.columns:
         df = df.where(F.col("pk") == F.lit(pred_key(expand(p))))   # partition pruning
+    first: dict[str, str] = {}
     for pos, term in (("s", s), ("p", p), ("o", o)):
-        if term.startswith("?"):
+        if term in first:   # a repeated variable
+            df = df.where(F.col(pos) == F.col(first[term]))
+        elif term.startswith("?"):
+            first[term] = pos
             cols.append(F.col(pos).alias(term[1:]))
         else:
             df = df.where(F.col(pos) == F.lit(expand(term)))
@@ -230,20 +234,29 @@ def _pattern(triples: DataFrame, s: str, p: str, o: str) -> DataFrame:
 def bgp(triples: DataFrame, patterns: list[tuple[str, str, str]],
         optional: list[tuple[str, str, str]] = (), select: list[str] | None = None) -> DataFrame:
     """Basic graph pattern: required patterns inner-joined on shared
-    variables (most constant positions first), optional ones left-joined."""
-    ordered = sorted(patterns, key=lambda t: -sum(not x.startswith("?") for x in t))
-    out = _pattern(triples, *ordered[0])
-    for pat in ordered[1:]:
-        nxt = _pattern(triples, *pat)
-        shared = [c for c in nxt.columns if c in out.columns]
-        if not shared:
-            # a disconnected pattern would emit all pairs; no query needs one
-            raise ValueError(f"pattern {pat} shares no variable with the earlier patterns")
-        out = out.join(nxt, shared, "inner")
+    variables, optional ones left-joined.
+
+    The pattern with most constants comes first; then always the one with
+    most constants among those that share a variable with what is joined.
+    (Which side of a join is small is AQE's decision from measured sizes.)
+    A pattern that shares none at the end would emit all pairs: ValueError."""
+    def constants(pat):
+        return sum(not x.startswith("?") for x in pat)
+
+    def shared(pat, df):
+        return [c for c in dict.fromkeys(x[1:] for x in pat if x.startswith("?")) if c in df.columns]
+    left = sorted(patterns, key=constants, reverse=True)
+    out = _pattern(triples, *left.pop(0))
+    while left:
+        pat = next((p for p in left if shared(p, out)), None)
+        if pat is None:
+            raise ValueError(f"pattern {left[0]} shares no variable with the earlier patterns")
+        left.remove(pat)
+        out = out.join(_pattern(triples, *pat), shared(pat, out), "inner")
     for pat in optional:
-        nxt = _pattern(triples, *pat)
-        shared = [c for c in nxt.columns if c in out.columns]
-        out = out.join(nxt, shared, "left")
+        if not shared(pat, out):
+            raise ValueError(f"optional pattern {pat} shares no variable with the required ones")
+        out = out.join(_pattern(triples, *pat), shared(pat, out), "left")
     return out.select(*select) if select else out
 
 

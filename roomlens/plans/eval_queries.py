@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomlens.functions import text as tx
@@ -27,7 +27,7 @@ def q_console_summary(spark, sf_dir):
 
 
 def q_file_progress(spark, sf_dir):
-    return ev.file_counts(fx.records(spark, sf_dir))
+    return ev.file_counts(fx.records(spark, sf_dir, with_index=False), "order_key")
 
 
 def q_record_totals(spark, sf_dir):
@@ -36,7 +36,7 @@ def q_record_totals(spark, sf_dir):
 
 
 def q_first_pending(spark, sf_dir):
-    return ev.file_counts(fx.records(spark, sf_dir)).select("file", "first_pending")
+    return ev.file_counts(fx.records(spark, sf_dir, with_index=False), "order_key").select("file", "first_pending")
 
 
 def q_best_worst(spark, sf_dir):
@@ -109,17 +109,14 @@ def q_class_sample(spark, sf_dir):
     return s.select(F.col("cls").alias("lang"), "draw", F.col("item").alias("image_path"), "with_replacement")
 
 
-def parse_renames(raw: str | None) -> dict[str, str]:
-    """X-14 argument parsing (driver-side configuration, not data)."""
-    out: dict[str, str] = {}
-    for chunk in (raw or "").split(","):
-        item = chunk.strip()
-        if "=" not in item:
-            continue
-        k, v = (x.strip() for x in item.split("=", 1))
-        if k and v:
-            out[k] = v
-    return out
+def renamed(arg: str, name: Column) -> Column:
+    """X-14: the label that `folder=label, folder=label` gives a name (the
+    last one counts), or NULL; entries with an empty side do not count."""
+    pairs = F.transform(F.filter(F.split(F.lit(arg), ","), lambda x: x.contains("=")), lambda x: F.struct(
+        tx.strip_ws(F.regexp_extract(x, "(?s)^([^=]*)=(.*)$", 1)).alias("k"),
+        tx.strip_ws(F.regexp_extract(x, "(?s)^([^=]*)=(.*)$", 2)).alias("v")))
+    fits = F.filter(pairs, lambda e: (e["k"] == name) & (e["k"] != "") & (e["v"] != ""))
+    return F.try_element_at(fits, F.lit(-1))["v"]
 
 
 def q_names_renamed(spark, sf_dir):
@@ -127,11 +124,8 @@ def q_names_renamed(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "source", "lang")
     d = docs.distinct().withColumn("folder", tx.sanitize_name(
         F.concat(F.col("source"), F.lit(":"), F.col("lang"), F.lit("/latest"))))
-    ren = parse_renames(RENAMES_ARG)
-    mapping = F.create_map(*[F.lit(x) for kv in ren.items() for x in kv]) if ren else None
-    label = F.replace(F.col("folder"), F.lit("_"), F.lit(":"))
-    if mapping is not None:
-        label = F.coalesce(F.element_at(mapping, F.col("folder")), label)
+    label = F.coalesce(renamed(RENAMES_ARG, F.col("folder")),
+                       F.replace(F.col("folder"), F.lit("_"), F.lit(":")))
     return d.select("source", "lang", "folder", label.alias("label"))
 
 

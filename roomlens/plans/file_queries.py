@@ -97,17 +97,14 @@ def q_csv_roundtrip(spark, sf_dir):
 
 
 def q_image_checks(spark, sf_dir):
-    """S-14..S-16 over files written from the pages table."""
-    root = scratch_path(spark, "images")
+    """S-15/S-16 over the pages as a base64 column, some of them broken."""
     pages = read_table(spark, sf_dir, "pages", "page_id", "html")
     k = F.col("page_id") % 3
-    ext = F.when(k == 0, ".png").when(k == 1, ".JPG").otherwise(".txt")
     content = F.when(k == 0, F.concat(F.lit(files.PNG_MAGIC), F.encode("html", "UTF-8"))) \
         .otherwise(F.encode("html", "UTF-8"))
-    items = pages.select(F.concat(F.lit("set"), (F.col("page_id") % 4).cast("string"), F.lit("/page_"),
-                                  F.col("page_id").cast("string"), ext).alias("rel"), content.alias("content"))
-    files.write_item_files(items, root, "rel", "content").count()
-    return files.scan_images(spark, root).select("name", "ext", "size", "is_png", "roundtrip_ok")
+    b64 = F.when(F.col("page_id") % 7 == 0, F.lit("not base64!")).otherwise(F.base64(content))
+    items = pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("name"), b64.alias("b64"))
+    return files.check_base64(items, "b64").drop("b64")
 
 
 def _artifact_rows(spark, sf_dir) -> DataFrame:
@@ -115,16 +112,19 @@ def _artifact_rows(spark, sf_dir) -> DataFrame:
     stem = F.concat(F.format_string("%02d", F.col("order_key")), F.lit("_"),
                     F.coalesce(F.col("condition"), F.lit("default")), F.lit("_"),
                     tx.sanitize_name(F.col("plot_request")))
-    return recs.select(F.concat(tx.sanitize_name(F.col("model")), F.lit("/"), stem, F.lit(".txt")).alias("rel"),
+    return recs.select(tx.sanitize_name(F.col("model")).alias("model_dir"), stem.alias("stem"),
                        F.col("model_response").alias("content"))
 
 
 def q_artifact_scan(spark, sf_dir):
     """S-17: response texts per (model folder, NN_condition_request), parsed
-    back from their paths."""
+    back from their paths; one stray text among them."""
     root = scratch_path(spark, "responses")
-    files.write_item_files(_artifact_rows(spark, sf_dir), root, "rel", "content").count()
-    return files.scan_artifacts(spark, root)
+    rows = _artifact_rows(spark, sf_dir)
+    stray = read_table(spark, sf_dir, "region").limit(1).select(
+        F.lit("notes").alias("model_dir"), F.lit("readme").alias("stem"), F.lit("not a response").alias("content"))
+    files.write_artifacts(rows.union(stray), root)
+    return files.scan_artifacts(spark, root).withColumn("stray", F.col("stray").isNotNull())
 
 
 def q_ablation_records(spark, sf_dir):
@@ -141,7 +141,9 @@ def q_ablation_records(spark, sf_dir):
             .select(tx.sanitize_name(F.col("model")).alias("model"), "condition",
                     (F.col("order_key") % F.col("n_cases") + 1).alias("index"), "order_key", "model_response",
                     "correct"))
-    j = recs.join(cs, ["condition", "index"]).join(limits, ["expected_date", "expected_location", "expected_metric"])
+    # records without a case, or whose day has no reading, stay
+    j = recs.join(cs, ["condition", "index"], "left") \
+        .join(limits, ["expected_date", "expected_location", "expected_metric"], "left")
     return j.select("order_key", "model", "condition", "index", "plot_request", "expected_safe_state",
                     "recommended_min", "recommended_max", "observed_min", "observed_max", "violation",
                     "model_response", "correct")
@@ -158,11 +160,10 @@ def q_stream_summary(spark, sf_dir):
     the batch one."""
     src = scratch_path(spark, "stream-src")
     recs = fx.records(spark, sf_dir, with_index=False)
-    # files of bounded size, written in parallel; their number grows with
-    # the data and each micro-batch takes `max_files` of them
+    # files of bounded size, written in parallel
     recs.write.mode("overwrite").option("maxRecordsPerFile", 50_000).json(src)
     name = "summary_" + uuid.uuid4().hex[:8]
-    out = summary_stream(spark, src, recs.schema, scratch_path(spark, "stream-ckpt"), name, max_files=2)
+    out = summary_stream(spark, src, recs.schema, scratch_path(spark, "stream-ckpt"), name, max_files=None)
     return out
 
 

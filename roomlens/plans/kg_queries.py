@@ -32,6 +32,16 @@ def q_kg_datasets(spark, sf_dir):
     return kg.datasets(_g(spark, sf_dir))
 
 
+def q_kg_pattern(spark, sf_dir):
+    """K-1: a pattern whose two type tests share no variable until the third
+    pattern links them, and one with a repeated variable (never true here)."""
+    g = _g(spark, sf_dir)
+    linked = kg.bgp(g, [("?display", "rdf:type", "ex:PervasiveDisplay"), ("?loc", "rdf:type", "ex:Location"),
+                        ("?display", "ex:atLocation", "?loc")], select=["display", "loc"])
+    return linked.unionByName(kg.bgp(g, [("?display", "ex:atLocation", "?display")])
+                              .selectExpr("display", "display as loc"))
+
+
 def q_kg_nodes(spark, sf_dir):
     return kg.nodes(_g(spark, sf_dir))
 
@@ -55,6 +65,7 @@ QUERIES = {
     "kg_metrics_optional": q_kg_metrics_optional,
     "kg_labels_limit": q_kg_labels_limit,
     "kg_datasets": q_kg_datasets,
+    "kg_pattern": q_kg_pattern,
     "kg_nodes": q_kg_nodes,
     "kg_edges": q_kg_edges,
     "kg_tracks": q_kg_tracks,

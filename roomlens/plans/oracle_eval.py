@@ -151,14 +151,14 @@ def eval_sql() -> dict[str, str]:
             from recs1 where condition in ('kg_on', 'kg_off') group by 1)
       select model, {R('a_on', 6)} as acc_kg_on, {R('a_off', 6)} as acc_kg_off, {R('a_on - a_off', 6)} as kg_gain from x"""
     q["paired_outcomes"] = f"""{W},
-      x as (select order_key // 2 as pair_id,
+      x as (select coalesce(nullif(model, ''), 'default') as model, order_key // 2 as pair_id,
                    max(case when condition = 'kg_on' then cast(correct as int) end) as c_on,
                    max(case when condition = 'kg_off' then cast(correct as int) end) as c_off,
                    count(*) filter (where condition = 'kg_on') as n_on,
                    count(*) filter (where condition = 'kg_off') as n_off
-            from recs1 where condition in ('kg_on', 'kg_off') group by 1)
-      select pair_id, c_on = 1 as kg_on_correct, c_off = 1 as kg_off_correct,
-             case when c_on is null or c_off is null then 'unpaired'
+            from recs1 where condition in ('kg_on', 'kg_off') group by 1, 2)
+      select model, pair_id, c_on = 1 as kg_on_correct, c_off = 1 as kg_off_correct,
+             case when n_on = 0 or n_off = 0 then 'unpaired' when c_on is null or c_off is null then 'ungraded'
                   when c_on = 1 and c_off = 1 then 'both_correct' when c_on = 1 then 'kg_on_only'
                   when c_off = 1 then 'kg_off_only' else 'neither' end as outcome from x"""
     js = ("case when returned_value = floor(returned_value) then cast(cast(floor(returned_value) as bigint) as varchar) "
@@ -203,7 +203,7 @@ def eval_sql() -> dict[str, str]:
                    max(latency_s) filter (where latency_s <= q3 + 1.5 * (q3 - q1)) as wh
             from p join qs on qs.run = p.run and qs.model = p.model group by p.run, p.model)
       select qs.run, qs.model, n, {R('q1', 6)} as q1, {R('med', 6)} as median, {R('q3', 6)} as q3,
-             {R('q3 - q1', 6)} as iqr, {R('wl', 6)} as whisker_low, {R('wh', 6)} as whisker_high
+             {R('q3 - q1', 6)} as iqr, {R('least(wl, q1)', 6)} as whisker_low, {R('greatest(wh, q3)', 6)} as whisker_high
       from qs join w on w.run = qs.run and w.model = qs.model"""
     f4 = lambda c: f"printf('%.4f', {R(c, 4)})"
     q["metric_long"] = f"""{P}, {CONF}, {ACC}, {LAT},

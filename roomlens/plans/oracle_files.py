@@ -32,16 +32,16 @@ def files_sql() -> dict[str, str]:
                  union all select *, 'raw_safety_experiment.csv' from r where model = 'de' and true_label = 'UNSAFE')
       select model, file_name, count(*) as n, cast(round(cast(round(avg(try_cast(lat as double)), 8) as decimal(38, 8)), 6) as double) as latency_mean_s
       from chosen where try_cast(lat as double) is not null group by model, file_name"""
-    q["image_checks"] = """select 'page_' || cast(page_id as varchar) || case when page_id % 3 = 0 then '.png' else '.JPG' end as name,
-             case when page_id % 3 = 0 then 'png' else 'jpg' end as ext,
-             cast(strlen(html) + case when page_id % 3 = 0 then 8 else 0 end as bigint) as size,
-             page_id % 3 = 0 as is_png, true as roundtrip_ok
-      from pages where page_id % 3 <> 2"""
+    q["image_checks"] = """select 'page_' || cast(page_id as varchar) as name,
+             case when page_id % 7 <> 0 then cast(strlen(html) + case when page_id % 3 = 0 then 8 else 0 end as bigint) end as size,
+             page_id % 7 <> 0 as decodes, page_id % 7 <> 0 and page_id % 3 = 0 as is_png
+      from pages"""
     q["artifact_scan"] = f"""with {RECS}
-      select {SANITIZE.format(x='model')} as model, cast(order_key as integer) as "index", condition,
+      select {SANITIZE.format(x='model')} as model, cast(order_key as bigint) as "index", condition,
              'temperature' as metric_word, regexp_extract(plot_request, 'for (\\S+) in', 1) as date,
-             regexp_extract(plot_request, ' in ([a-z]+)$', 1) as location, model_response as text
-      from recs1 where model_response is not null"""
+             regexp_extract(plot_request, ' in ([a-z]+)$', 1) as location, model_response as text, false as stray
+      from recs1 where model_response is not null
+      union all select null, null, null, null, null, null, 'not a response', true"""
     q["ablation_records"] = f"""with {RECS},
       cs as ({es['ablation_cases']}),
       n as (select condition, count(*) as n_cases from cs group by condition),
@@ -52,7 +52,8 @@ def files_sql() -> dict[str, str]:
       select r.order_key, r.model, r.condition, r."index", cs.plot_request, lim.expected_safe_state,
              lim.recommended_min, lim.recommended_max, lim.observed_min, lim.observed_max, lim.violation,
              r.model_response, r.correct
-      from r join cs on cs.condition = r.condition and cs."index" = r."index"
-      join lim on lim.date = cs.expected_date and lim.location = cs.expected_location and lim.metric = cs.expected_metric"""
+      from r left join cs on cs.condition = r.condition and cs."index" = r."index"
+      left join lim on lim.date = cs.expected_date and lim.location = cs.expected_location and lim.metric = cs.expected_metric"""
+    q["batch_predict"] = f"with {PRED} select image_path, model_text, pred_label from p"
     q["stream_summary"] = es["record_summary"]
     return q

@@ -52,6 +52,10 @@ def kg_sql() -> dict[str, str]:
       join triples c on c.s = a.s and c.p = {ex('atLocation')}
       join triples d on d.s = c.o and d.p = {L}
       where a.p = {T} and a.o = {ex('PervasiveDisplay')}"""
+    at = f"""select a.s as display, b.s as loc
+      from triples a join triples c on c.s = a.s and c.p = {ex('atLocation')}
+      join triples b on b.s = c.o and b.p = {T} and b.o = {ex('Location')}
+      where a.p = {T} and a.o = {ex('PervasiveDisplay')}"""
     pol = f"""select a.s as policy, b.o as plabel, c.o as loc, d.o as llabel
       from triples a join triples b on b.s = a.s and b.p = {L}
       join triples c on c.s = a.s and c.p = {ex('appliesTo')}
@@ -72,6 +76,7 @@ def kg_sql() -> dict[str, str]:
         select *, row_number() over (partition by id order by ord, label, kind) as rn from cand) where rn = 1)"""
     q: dict[str, str] = {}
     q["kg_displays"] = f"{W} {disp}"
+    q["kg_pattern"] = f"{W} {at}"
     q["kg_policies"] = f"{W} {pol}"
     q["kg_metrics_optional"] = f"{W} {met}"
     q["kg_labels_limit"] = f"{W} select s as thing, o as label from triples where p = {L} order by thing, label limit 20"

@@ -75,10 +75,11 @@ def read_room_csvs(spark: SparkSession, paths: list[str], metric_cols: list[str]
     parts = []
     for header in sorted(by_header):
         df = spark.read.option("header", True).csv(by_header[header])   # all strings
-        # searched in the file's own name (or its folder's, for Spark-written
-        # part files), leftmost match, Unicode \w as in the reference
-        name_loc = F.regexp_extract(F.lower(F.col("_metadata.file_path")),
-                                    r"(?U)(\w+)_measurements_iaq_1h_avg\.csv(?:/[^/]*)?$", 1)
+        # from the start of the file's own name (or its folder's, for
+        # Spark-written part files), Unicode \w; the path is percent-decoded
+        name = F.element_at(F.filter(F.split(F.lower(F.url_decode(F.replace(
+            F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))), "/"), lambda x: ~x.startswith("part-")), -1)
+        name_loc = F.regexp_extract(name, r"(?U)^(\w+)_measurements_iaq_1h_avg\.csv$", 1)
         if "location" not in df.columns:
             df = df.withColumn("location", F.when(name_loc != "", name_loc).otherwise(F.lit("unknown")))
         casts = []
@@ -106,12 +107,45 @@ def read_room_csvs(spark: SparkSession, paths: list[str], metric_cols: list[str]
     return out.select(*sorted(out.columns))
 
 
+def list_room_csvs(spark: SparkSession, folder: str) -> list[str]:
+    """S-1: room files of a folder by their name pattern, sorted; the single
+    override file wins if it is there (S-2)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    single = jvm.org.apache.hadoop.fs.Path(root, SINGLE_FILE)
+    if fs.exists(single):
+        return [str(single.toString())]
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, ROOM_GLOB))
+    return sorted(str(f.getPath().toString()) for f in (found or []))
+
+
+# File names of room measurements, and the one that replaces them all.
+ROOM_GLOB = "*_measurements_IAQ_1h_avg.csv"
+SINGLE_FILE = "measurements_IAQ_1h_avg.csv"
+
+
 # ----------------------------------------------------------------------- S-8
+def _nt_escape(c):
+    for raw, name in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(raw), F.lit(name))
+    return c
+
+
+def _nt_unescape(c):
+    """One pass over the escapes, via a private mark for the backslash."""
+    c = F.replace(c, F.lit("\\\\"), F.lit("\ue000"))
+    for name, raw in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+        c = F.replace(c, F.lit(name), F.lit(raw))
+    return F.replace(c, F.lit("\ue000"), F.lit("\\"))
+
+
 def _nt_term(value, kind) -> F.Column:
-    esc = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
+    text = F.concat(F.lit('"'), _nt_escape(value), F.lit('"'))
     return (F.when(kind == "iri", F.concat(F.lit("<"), value, F.lit(">")))
-            .when(kind == "float", F.concat(F.lit('"'), esc, F.lit('"^^<http://www.w3.org/2001/XMLSchema#float>')))
-            .otherwise(F.concat(F.lit('"'), esc, F.lit('"'))))
+            .when(kind == "blank", F.concat(F.lit("_:"), value))
+            .when(kind == "float", F.concat(text, F.lit("^^<http://www.w3.org/2001/XMLSchema#float>")))
+            .otherwise(text))
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
@@ -120,74 +154,69 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     triples.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-NT_LINE = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?) \.\s*$'
+NT_LINE = (r'^\s*(?:<([^>]*)>|_:(\S+))\s*<([^>]*)>\s*'
+           r'(?:<([^>]*)>|_:([^\s.]+(?:\.[^\s.]+)*)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$')
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples lines -> triples(s, p, o, o_type); comments/blank skipped."""
+    """N-Triples lines -> triples(s, p, o, o_type); o_type is iri, blank,
+    float or string (other datatypes and language tags are read as strings).
+    Comments and blank lines are skipped; `bad_ntriples` has the lines that
+    are none of these."""
     t = spark.read.text(path).where(F.col("value").rlike(NT_LINE))
-    iri = F.regexp_extract("value", NT_LINE, 3)
-    lit = F.regexp_extract("value", NT_LINE, 4)
-    dtype = F.regexp_extract("value", NT_LINE, 5)
-    unesc = F.regexp_replace(F.regexp_replace(lit, r'\\"', '"'), r"\\\\", r"\\")
-    return t.select(F.regexp_extract("value", NT_LINE, 1).alias("s"),
-                    F.regexp_extract("value", NT_LINE, 2).alias("p"),
-                    F.when(iri != "", iri).otherwise(unesc).alias("o"),
-                    F.when(iri != "", "iri").when(dtype.endswith("#float"), "float")
+    got = [F.regexp_extract("value", NT_LINE, i) for i in range(9)]
+    subject = F.when(got[1] != "", got[1]).otherwise(F.concat(F.lit("_:"), got[2]))
+    return t.select(subject.alias("s"), got[3].alias("p"),
+                    F.when(got[4] != "", got[4]).when(got[5] != "", got[5]).otherwise(_nt_unescape(got[6])).alias("o"),
+                    F.when(got[4] != "", "iri").when(got[5] != "", "blank").when(got[7].endswith("#float"), "float")
                     .otherwise("string").alias("o_type"))
 
 
-# ---------------------------------------------------------------- item files
-def write_item_files(df: DataFrame, base_dir: str, rel_path_col: str, content_col: str) -> DataFrame:
-    """Write each row's bytes/text to base_dir/<rel_path>; returns (path, size).
-
-    Builds per-item files (images, response texts) for the S-14/S-17 scans,
-    from executors.  It uses plain file I/O, so `base_dir` must be a shared
-    POSIX-mounted folder on a cluster."""
-    def writer(batches):
-        import pandas as pd
-        for b in batches:
-            out = []
-            for rel, content in zip(b[rel_path_col], b[content_col]):
-                full = os.path.join(base_dir, rel)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                data = content.encode("utf-8") if isinstance(content, str) else bytes(content)
-                tmp = full + ".part"
-                with open(tmp, "wb") as fh:
-                    fh.write(data)
-                os.replace(tmp, full)
-                out.append((full, len(data)))
-            yield pd.DataFrame(out, columns=["path", "size"])
-    return df.select(rel_path_col, content_col).mapInPandas(writer, "path string, size long")
+def bad_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are neither triples nor comments nor blank."""
+    return spark.read.text(path).where(~F.col("value").rlike(NT_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
 
 
 # -------------------------------------------------------------- S-14..S-16
+def check_base64(df: DataFrame, b64_col: str) -> DataFrame:
+    """S-16 over a base64 column: adds size (NULL if it does not decode),
+    decodes, is_png (strict decoding and the magic bytes)."""
+    raw = F.try_to_binary(F.col(b64_col), F.lit("base64"))
+    return df.withColumn("_raw", raw).select(
+        *df.columns, F.length("_raw").cast("long").alias("size"), F.col("_raw").isNotNull().alias("decodes"),
+        F.coalesce(F.substring("_raw", 1, 8) == F.lit(PNG_MAGIC), F.lit(False)).alias("is_png"))
+
+
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
-    """S-14: recursive, image extensions case-insensitively; S-15 base64;
-    S-16 strict decode + PNG magic check."""
+    """S-14: recursive, image extensions case-insensitively, with the S-15
+    base64 text of each file."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .where(F.col("path").rlike(IMAGE_EXT_RE)))
-    b64 = F.base64("content")
-    decoded = F.try_to_binary(b64, F.lit("base64"))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.lower(F.regexp_extract("path", IMAGE_EXT_RE, 1)).alias("ext"),
-        F.col("length").alias("size"),
-        ((F.length(decoded) > 0) & (F.substring(decoded, 1, 8) == F.lit(PNG_MAGIC))).alias("is_png"),
-        (decoded == F.col("content")).alias("roundtrip_ok"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
+                        F.lower(F.regexp_extract("path", IMAGE_EXT_RE, 1)).alias("ext"),
+                        F.base64("content").alias("b64"))
 
 
 # ----------------------------------------------------------------------- S-17
-ARTIFACT_RE = r"/([^/]+)/(\d+)_([A-Za-z_]+?)_plot_(.+)_for_(\d{4}-\d{2}-\d{2})_in_([A-Za-z]+)\.txt$"
+# One response text per (model, stem); a Spark-written table names both in its
+# folders, a plain folder tree in folder and file name.
+ARTIFACT_RE = (r"/(?:model_dir=)?([^/]+)/(?:stem=)?(\d+)_([A-Za-z_]+?)_plot_(.+)_for_(\d{4}-\d{2}-\d{2})_in_([A-Za-z]+)"
+               r"(?:\.txt|/[^/]*)$")
+
+
+def write_artifacts(rows: DataFrame, root: str) -> None:
+    """Response texts (model_dir, stem, content), a folder for each."""
+    rows.repartition("model_dir", "stem").select(F.col("content").alias("value"), "model_dir", "stem") \
+        .write.mode("overwrite").partitionBy("model_dir", "stem").text(root)
 
 
 def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """Texts with what their path says; a file whose path says nothing stays,
+    with its path and NULL elsewhere."""
     t = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     p = F.col("_metadata.file_path")
-    return t.select(F.regexp_extract(p, ARTIFACT_RE, 1).alias("model"),
-                    F.regexp_extract(p, ARTIFACT_RE, 2).cast("int").alias("index"),
-                    F.regexp_extract(p, ARTIFACT_RE, 3).alias("condition"),
-                    F.replace(F.regexp_extract(p, ARTIFACT_RE, 4), F.lit("_"), F.lit(" ")).alias("metric_word"),
-                    F.regexp_extract(p, ARTIFACT_RE, 5).alias("date"),
-                    F.regexp_extract(p, ARTIFACT_RE, 6).alias("location"),
-                    F.col("value").alias("text"))
+    part = [F.nullif(F.regexp_extract(p, ARTIFACT_RE, i), F.lit("")) for i in range(7)]
+    return t.select(part[1].alias("model"), part[2].try_cast("long").alias("index"), part[3].alias("condition"),
+                    F.replace(part[4], F.lit("_"), F.lit(" ")).alias("metric_word"), part[5].alias("date"),
+                    part[6].alias("location"), F.regexp_replace("value", r"\n$", "").alias("text"),
+                    F.when(part[0].isNull(), F.element_at(F.split(p, "/"), -1)).alias("stray"))

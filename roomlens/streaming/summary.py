@@ -19,9 +19,11 @@ from roomlens.operators.evaluate import summarize_records
 
 
 def summary_stream(spark: SparkSession, source_dir: str, schema: StructType, checkpoint_dir: str,
-                   query_name: str, max_files: int = 1) -> DataFrame:
-    records = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-               .json(source_dir))
+                   query_name: str, max_files: int | None = None) -> DataFrame:
+    """All files that are there, by default in one micro-batch, so that the
+    number of batches does not grow with the data."""
+    reader = spark.readStream.schema(schema)
+    records = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(source_dir)
     summary = summarize_records(records)
     q = (summary.writeStream.outputMode("complete").format("memory").queryName(query_name)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())

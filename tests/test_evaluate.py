@@ -111,3 +111,26 @@ def test_prediction_summary_matches_separate_operators(spark, preds):
             for k, v in src.items():
                 if k in one[m]:
                     assert one[m][k] == v, (m, k)
+
+
+def test_whiskers_never_inside_the_box_and_groups_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 100.0), ("b", None)], "g string, latency_s double")
+    box = {r.g: r for r in ev.latency_box(df, ["g"]).collect()}
+    assert (box["a"].q3, box["a"].whisker_low, box["a"].whisker_high) == (25.75, 1.0, 25.75)
+    assert box["b"].n == 0 and box["b"].q1 is None
+    stats = {r.g: r for r in ev.latency_stats(df, ["g"]).collect()}
+    assert stats["a"].n == 4 and stats["a"].latency_p95_s == 100.0 and stats["b"].n == 0
+
+
+def test_pairs_are_per_model_and_ungraded_is_not_unpaired(spark):
+    rows = [("m1", "kg_on", True), ("m1", "kg_off", False), ("m2", "kg_on", False), ("m2", "kg_off", True),
+            ("m3", "kg_on", True), ("m4", "kg_on", None), ("m4", "kg_off", True)]
+    df = spark.createDataFrame([(m, c, x, 1) for m, c, x in rows], "model string, condition string, correct boolean, k int")
+    got = {r.model: r.outcome for r in ev.paired_outcomes(df, df.k).collect()}
+    assert got == {"m1": "kg_on_only", "m2": "kg_off_only", "m3": "unpaired", "m4": "ungraded"}
+
+
+def test_first_pending_without_a_sort(spark):
+    rows = [("f", k, k != 30) for k in (10, 20, 30, 40)] + [("g", 5, True)]
+    df = spark.createDataFrame([(f, k, True if c else None) for f, k, c in rows], "file string, order_key long, correct boolean")
+    assert {r.file: r.first_pending for r in ev.file_counts(df, "order_key").collect()} == {"f": 2, "g": 0}

@@ -94,3 +94,13 @@ def test_fact_context_matches_brute_force(spark, seed):
         assert got[i][0] == (len(exp.split("\n")) if exp else 0)
     # trap 12: at most limit + 1 label lines plus one policy line
     assert max(n for n, _ in got.values()) <= 8
+
+
+def test_patterns_linked_later_and_repeated_variables(spark):
+    rows = [("a", "rdf:p", "a"), ("a", "rdf:p", "b"), ("b", "rdf:q", "c")]
+    t = spark.createDataFrame([(kg.expand(s), kg.expand(p), kg.expand(o), "iri") for s, p, o in rows], kg.TRIPLE_SCHEMA)
+    assert kg.bgp(t, [("?x", "rdf:p", "?x")]).count() == 1
+    assert kg.bgp(t, [("?x", "rdf:p", kg.expand("b")), (kg.expand("b"), "rdf:q", "?z"), ("?x", "?any", "?y"),
+                      ("?y", "rdf:q", "?z")]).count() == 1
+    with pytest.raises(ValueError):
+        kg.bgp(t, [("?x", "rdf:p", "?y")], optional=[("?u", "rdf:q", "?v")])

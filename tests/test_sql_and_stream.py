@@ -107,3 +107,17 @@ def test_live_summary_refreshes(spark, tmp_path):
         assert spark.table("t1_live").collect()[0].total == 10
     finally:
         q.stop()
+
+
+@pytest.mark.parametrize("sql", ["select transform(location) using 'cat' as (x string) from iaq",
+                                 "select * from (select map(a) USING 'cat' from iaq)", "select 1 from t reduce a\nusing\n'x'"])
+def test_guard_refuses_script_transformation(spark, sql):
+    with pytest.raises(UnsafeSQL):
+        check_sql(sql)
+    df = spark.createDataFrame([(sql,), (None,)], "s string")
+    from roomlens.functions.text import guard_reason
+    assert all(r.g for r in df.select(guard_reason(df.s).alias("g")).collect())
+
+
+def test_guard_lets_joins_and_lambdas_pass():
+    check_sql("select transform(a, x -> x + 1) from t join u using (k)")
