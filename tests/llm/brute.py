@@ -192,7 +192,7 @@ def deduped(rows, similarity=0.75, radius=3):
     fp = {n: simhash(n) for n in lines}
     links = [(a, b) for a, b in itertools.combinations(lines, 2)
              if (fp[a] ^ fp[b]).bit_count() <= radius
-             and edits(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9)]
+             and edits(a.split(" "), b.split(" ")) <= int((1 - similarity) * max(a.count(" "), b.count(" ")) + (1 - similarity) + 1e-9)]
     comp = components(lines, links)
     groups = {}
     for n in lines:

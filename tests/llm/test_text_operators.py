@@ -45,12 +45,21 @@ def test_line_dedup_equals_brute_force(docs, corpus):
     assert got == sorted(brute.deduped(corpus))
 
 
-def test_simhash_of_long_lines(spark):
+@pytest.mark.parametrize("slice_words", [line_dedup.SLICE, 100])
+def test_simhash_of_long_lines(spark, slice_words):
     rng = random.Random(2)
-    lines = [" ".join(f"w{rng.randint(0, 50)}" for _ in range(n)) for n in (1, 2, 126, 127, 128, 254, 255, 900)]
+    lines = [" ".join(f"w{rng.randint(0, 50)}" for _ in range(n)) for n in (1, 2, 99, 100, 101, 200, 201, 900)]
     df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("words", F.split("line", " "))
-    got = {r.line: r.fp % 2 ** 64 for r in line_dedup.with_simhash(df, "words", "fp").collect()}
-    assert got == {x: brute.simhash(x) for x in lines}
+    got = {r.line: (r.fp % 2 ** 64, r.n) for r in line_dedup.simhash_lines(df, ["line"], "words", slice_words).collect()}
+    assert got == {x: (brute.simhash(x), len(x.split())) for x in lines}
+
+
+@pytest.mark.parametrize("crowd", [1, 10_000])
+def test_line_groups_do_not_depend_on_the_way(docs, corpus, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == sorted(brute.deduped(corpus))
 
 
 def test_line_dedup_runs_no_python(spark, sf_small):
