@@ -132,16 +132,36 @@ def _js_number(v: Column) -> Column:
     return F.when(v == F.floor(v), F.floor(v).cast("long").cast("string")).otherwise(v.cast("string"))
 
 
+def secondary_prompt(recs: DataFrame) -> Column:
+    """The review panel's lines below the prompt, from the columns that there
+    are; an empty text where a record has none of them."""
+    def col(c: str) -> Column:
+        return F.col(c) if c in recs.columns else F.lit(None)
+
+    def span(name: str, a: str, b: str) -> Column:
+        return F.when(col(a).isNotNull() | col(b).isNotNull(), F.concat(
+            F.lit(f"{name}: "), F.coalesce(_js_number(col(a).cast("double")), F.lit("-")), F.lit(" to "),
+            F.coalesce(_js_number(col(b).cast("double")), F.lit("-"))))
+
+    def text(name: str, c: str) -> Column:
+        return F.concat(F.lit(name), F.nullif(col(c).cast("string"), F.lit("")))
+    both = F.when(F.nullif(col("question").cast("string"), F.lit("")).isNotNull(), text("Plot request: ", "plot_request"))
+    return F.concat_ws("\n", text("Expected safe decision: ", "expected_safe_state"),
+                       span("KG safe range", "recommended_min", "recommended_max"),
+                       span("Observed range", "observed_min", "observed_max"), text("Violation: ", "violation"), both,
+                       text("Generated SQL:\n", "generated_sql"))
+
+
 def review_rows(recs: DataFrame) -> DataFrame:
-    """X-16: the review panel's prompt, response, status and condition text."""
+    """X-16: the review panel's prompt, the lines below it, response, status and condition text."""
     qp = F.col("query_params")
     params = F.when(qp.isNotNull(), F.concat(
         F.lit("date="), F.coalesce(qp["date"], F.lit("undefined")),
         F.lit("\nlocation="), F.coalesce(qp["location"], F.lit("undefined")),
         F.lit("\ntime="), F.coalesce(qp["time"], F.lit("undefined")),
         F.lit("\nmetric="), F.coalesce(qp["metric"], F.lit("undefined"))))
-    prompt = F.coalesce(F.nullif(F.col("question"), F.lit("")), F.nullif(F.col("plot_request"), F.lit("")),
-                        params, F.lit("No prompt text recorded."))
+    prompt = F.coalesce(F.nullif(F.col("question"), F.lit("")), F.nullif(F.col("request_text"), F.lit("")),
+                        F.nullif(F.col("plot_request"), F.lit("")), params, F.lit("No prompt text recorded."))
     returned = F.when(F.nullif(F.col("returned_state"), F.lit("")).isNotNull() | F.col("returned_value").isNotNull(),
                       F.concat(F.lit("Returned value: "), F.coalesce(_js_number(F.col("returned_value")), F.lit("-")),
                                F.lit("\nReturned state: "), F.coalesce(F.col("returned_state"), F.lit("-"))))
@@ -150,7 +170,7 @@ def review_rows(recs: DataFrame) -> DataFrame:
     status = (F.when(F.col("correct") == F.lit(True), "Correct")
               .when(F.col("correct") == F.lit(False), "Incorrect").otherwise("Pending"))
     cond = F.when(F.col("condition") == "kg_off", "KG-Off").otherwise("KG-On")
-    return recs.select("file", "index", prompt.alias("prompt"), response.alias("response"),
+    return recs.select("file", "index", prompt.alias("prompt"), secondary_prompt(recs).alias("secondary"), response.alias("response"),
                        status.alias("status"), cond.alias("condition_label"))
 
 

@@ -9,6 +9,9 @@ broadcast with a proven bound.  Nothing here runs Python per row.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,34 +79,58 @@ def daily_cards(iaq: DataFrame, dim: DataFrame, kg_disabled: bool = False) -> Da
                                    kg_disabled).alias("status"))
 
 
+def _pattern_matches() -> Column:
+    """(pattern, room) -> 1 found, 0 not found, -1 no valid pattern; Python's
+    rules, as in the reference.  Used on distinct pairs only."""
+    @F.pandas_udf("int")
+    def run(pattern: pd.Series, name: pd.Series) -> pd.Series:
+        def one(p, n):
+            try:
+                return int(re.search(p.lower(), n.lower()) is not None)
+            except re.error:
+                return -1
+        return pd.Series([one(p, n) for p, n in zip(pattern, name)], dtype="int32")
+    return run
+
+
 def cards_for_requests(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
                        kg_disabled: bool = False) -> DataFrame:
     """A-3 + F-1 + F-2 (regex form) + F-7 for a table of card requests
     (request_id, date, location): the mean of each banded metric over the
-    rows of [date, date + 1 day) whose lower-cased location matches the
-    lower-cased request text as a regex (searched, not anchored).
-
-    Day-level (sum, count) per room is pre-aggregated; requests equi-join it
-    on the day (at most one row per room per day), the regex filters rooms,
-    and one hash aggregate per request combines them.  A request with no
-    matching rows gets `no-data` cards, an unparseable date `bad-date`."""
+    rows of [date, date + 1 day) whose location matches the request's text as
+    a regex (searched, not anchored, whatever the case).  A date may have a
+    time of day; a request without a location asks for `office`.
+
+    Work is done once per distinct (start, pattern): a start's window is 24
+    hours, which equi-join the hourly (sum, count) per room; rooms are matched
+    once per distinct (pattern, room).  A request with no matching rows gets
+    `no-data` cards, an unparseable date `bad-date`, a text that is no pattern
+    `bad-pattern`."""
     aggs = []
     for m in st.BANDED_METRICS:
         aggs += [F.sum(m).alias(f"{m}__s"), F.count(m).alias(f"{m}__n")]
-    per_room = iaq.groupBy(day_of().alias("_day"), F.col("location").alias("_loc")).agg(*aggs)
-    req = requests.withColumn("_d0", F.try_to_date("date", "yyyy-MM-dd"))
-    j = (req.join(per_room, req["_d0"] == per_room["_day"], "left")
-         .where(F.col("_loc").isNull() | F.regexp_like(F.lower(F.col("_loc")), F.lower(F.col("location")))))
-    sums = []
-    for m in st.BANDED_METRICS:
-        sums += [F.sum(f"{m}__s").alias(f"{m}__s"), F.sum(f"{m}__n").alias(f"{m}__n")]
-    per_req = j.groupBy("request_id").agg(*sums)
-    wide = req.join(per_req, "request_id", "left").select(
-        "request_id", "date", "location", "_d0",
+    req = requests.withColumn("_pat", F.coalesce("location", F.lit("office"))) \
+        .withColumn("_t0", F.try_to_timestamp("date").cast("timestamp_ntz"))
+    hour = F.date_trunc("hour", "_t0").cast("timestamp_ntz")
+    first = F.when(hour < F.col("_t0"), hour + F.expr("interval 1 hour")).otherwise(hour)
+    hours = req.where(F.col("_t0").isNotNull()).select("_t0").distinct().select(
+        "_t0", F.explode(F.sequence(first, first + F.expr("interval 23 hours"), F.expr("interval 1 hour"))).alias("Date"))
+    per_room = hours.join(iaq.groupBy("Date", "location").agg(*aggs), "Date") \
+        .groupBy("_t0", F.col("location").alias("_loc")).agg(
+            *[F.sum(c).alias(c) for m in st.BANDED_METRICS for c in (f"{m}__s", f"{m}__n")])
+    asked = req.select("_t0", "_pat").distinct()
+    found = asked.join(per_room, "_t0")
+    matches = _pattern_matches()
+    fits = found.select("_pat", "_loc").distinct().withColumn("_fit", matches("_pat", "_loc")).where("_fit = 1")
+    per_ask = found.join(fits, ["_pat", "_loc"]).groupBy("_t0", "_pat").agg(
+        *[F.sum(c).alias(c) for m in st.BANDED_METRICS for c in (f"{m}__s", f"{m}__n")])
+    bad = req.select("_pat").distinct().withColumn("_bad", matches("_pat", F.lit("")) < 0).where("_bad")
+    wide = req.join(per_ask, ["_t0", "_pat"], "left").join(bad, "_pat", "left").select(
+        "request_id", "date", "location", "_t0", "_bad",
         *[F.when(F.col(f"{m}__n") > 0, F.col(f"{m}__s") / F.col(f"{m}__n")).alias(m) for m in st.BANDED_METRICS])
-    long = unpivot_metrics(wide, ["request_id", "date", "location", "_d0"], st.BANDED_METRICS, "mean")
-    status = F.when(F.col("_d0").isNull(), F.lit("bad-date")).otherwise(
-        st.card_status(F.col("metric"), F.col("mean"), F.col("lo"), F.col("hi"), kg_disabled))
+    long = unpivot_metrics(wide, ["request_id", "date", "location", "_t0", "_bad"], st.BANDED_METRICS, "mean")
+    status = (F.when(F.col("_t0").isNull(), F.lit("bad-date")).when(F.col("_bad"), F.lit("bad-pattern")).otherwise(
+        st.card_status(F.col("metric"), F.col("mean"), F.col("lo"), F.col("hi"), kg_disabled)))
     return long.join(dim, "metric", "left").select(
         "request_id", "date", "location", F.col("metric").alias("title"),
         stable_round("mean", 2).alias("value"), status.alias("status"))

@@ -42,6 +42,7 @@ recs1 as (
          case when o_orderstatus = 'O' then case when o_custkey % 3 = 0 then 'ok' when o_custkey % 3 = 1 then 'warn-low' end
               end as returned_state,
          case when o_orderstatus = 'P' then 'plot temperature for ' || day_text || ' in ' || room end as plot_request,
+         case when o_orderstatus = 'P' and order_key % 3 = 1 then 'please show me ' || room end as request_text,
          case when o_orderstatus = 'P' and order_key % 3 <> 0
               then 'The readings look ' || case when o_custkey % 2 = 0 then 'stable' else 'noisy' end end as model_response
   from recs0),
@@ -165,7 +166,9 @@ def eval_sql() -> dict[str, str]:
           "else cast(returned_value as varchar) end")
     q["review_rows"] = f"""{W}
       select file, "index",
-             coalesce(nullif(question, ''), nullif(plot_request, ''), params_text, 'No prompt text recorded.') as prompt,
+             coalesce(nullif(question, ''), nullif(request_text, ''), nullif(plot_request, ''), params_text,
+                      'No prompt text recorded.') as prompt,
+             coalesce('Generated SQL:' || chr(10) || generated_sql, '') as secondary,
              coalesce(nullif(model_response, ''), nullif(generated_sql, ''),
                       case when nullif(returned_state, '') is not null or returned_value is not null
                            then 'Returned value: ' || coalesce({js}, '-') || chr(10) || 'Returned state: '

@@ -101,23 +101,23 @@ TITLE = """case metric when 'temperature_c' then 'Temperature' when 'humidity_rh
 def room_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["daily_cards"] = f"with {IAQ}, {DAILY} {card('t', 'temperature_c', 20, 26)} union all {card('h', 'humidity_rh', 30, 60)}"
-    locs = ", ".join(f"('{x}')" for x in ["kitchen", "Office", "hallway", "^h", "office|hall", "KIT", "garage"])
+    locs = ", ".join(f"('{x}')" for x in ["kitchen", "Office", "hallway", "^h", "office|hall", "KIT", "garage", "("]) + ", (null)"
     q["card_requests"] = f"""with {IAQ},
-      days as (select distinct cast(cast("Date" as date) as varchar) as date from iaq
-               union all select '2024-13-45'),
+      days0 as (select distinct cast(cast("Date" as date) as varchar) as date from iaq),
+      days as (select date from days0 union all select date || ' 01:30' from days0 union all select '2024-13-45'),
       locs(location) as (values {locs}),
-      req as (select date || '|' || location as request_id, date, location, try_cast(date as date) as d0
-              from days, locs),
+      req as (select date || '|' || coalesce(location, '-') as request_id, date, location,
+                     coalesce(location, 'office') as pat, try_cast(date as timestamp) as t0 from days, locs),
       m as (select r.request_id, avg(i.temperature_c) as t, avg(i.humidity_rh) as h
-            from req r join iaq i on cast(i."Date" as date) = r.d0
-             and regexp_matches(lower(i.location), lower(r.location))
+            from req r join iaq i on i."Date" >= r.t0 and i."Date" < r.t0 + interval 1 day
+             and case when r.pat = '(' then false else regexp_matches(lower(i.location), lower(replace(r.pat, '(', ''))) end
             group by r.request_id),
       w as (select r.*, m.t, m.h from req r left join m on m.request_id = r.request_id),
-      long as (select request_id, date, location, d0, 'temperature_c' as title, t as v, 20 as lo, 26 as hi from w
-               union all select request_id, date, location, d0, 'humidity_rh', h, 30, 60 from w)
+      long as (select request_id, date, location, pat, t0, 'temperature_c' as title, t as v, 20 as lo, 26 as hi from w
+               union all select request_id, date, location, pat, t0, 'humidity_rh', h, 30, 60 from w)
       select request_id, date, location, title, cast(round(cast(round(v, 8) as decimal(38, 8)), 2) as double) as value,
-             case when d0 is null then 'bad-date' when v is null then 'no-data' when v < lo then 'warn-low'
-                  when v > hi then 'warn-high' else 'ok' end as status from long"""
+             case when t0 is null then 'bad-date' when pat = '(' then 'bad-pattern' when v is null then 'no-data'
+                  when v < lo then 'warn-low' when v > hi then 'warn-high' else 'ok' end as status from long"""
     q["daily_ticker"] = f"""with {IAQ}, {DAILY}
       select day, location, 'temperature_c: ' || coalesce(cast(cast(round(cast(round(t, 8) as decimal(38, 8)), 2) as double) as varchar), 'nan')
              || ' • humidity_rh: ' || coalesce(cast(cast(round(cast(round(h, 8) as decimal(38, 8)), 2) as double) as varchar), 'nan') as ticker from d"""

@@ -111,15 +111,25 @@ def text_sql() -> dict[str, str]:
               "heat_stable (boolean)\\nhumidity_rh (double)\\nlocation (string)\\npressure_hpa (double)\\n"
               "samples_per_hour (int)\\ntemperature_c (double)")
     head = (tq.SYSTEM_SQL + "\\n" + tq.LOCATIONS_HINT.replace("\n", "\\n") + "Table name: iaq\\n"
-            + "Schema (name (dtype)):\\n" + schema + "\\n\\n")
+            + "Schema (name (dtype)):\\n" + schema + "\\n\\nSample rows (JSON):\\n")
+    num = lambda c: f"coalesce(cast(cast(round(cast(round({c}, 8) as decimal(38, 8)), 6) as double) as varchar), 'null')"
+    txt = lambda c: f"""coalesce('"' || cast({c} as varchar) || '"', 'null')"""
+    raw = lambda c: f"coalesce(cast({c} as varchar), 'null')"
+    cells = [("Date", txt('"Date"')), ("IAQ_class", txt("IAQ_class")), ("IAQ_proxy", num("IAQ_proxy")),
+             ("gas_resistance_ohms", num("gas_resistance_ohms")), ("heat_stable", raw("heat_stable")),
+             ("humidity_rh", num("humidity_rh")), ("location", txt("location")), ("pressure_hpa", num("pressure_hpa")),
+             ("samples_per_hour", raw("samples_per_hour")), ("temperature_c", num("temperature_c"))]
+    row = "'{' || " + " || ', ' || ".join(f"""'"{c}": ' || {x}""" for c, x in cells) + " || '}'"
+    sample = f"""smp as (select '[' || string_agg(r, ', ' order by "Date", location) || ']' as rows
+               from (select "Date", location, {row} as r from iaq order by "Date", location limit 5))"""
     hdrs = "[null, ' TRUE ', 'yes', 'off', '0']"
-    q["prompt_assembly"] = f"""with {seed_triples_cte()},
+    q["prompt_assembly"] = f"""with {IAQ}, {sample}, {seed_triples_cte()},
       conv as (select conv_id, turn, text, conv_id * 1000 + turn as text_id,
-                      coalesce(lower({ws(f"{hdrs}[conv_id % 5 + 1]")}) in ('1', 'true', 'yes', 'on'), false) as kg_disabled
+                      turn % 7 = 6 or coalesce(lower({ws(f"{hdrs}[conv_id % 5 + 1]")}) in ('1', 'true', 'yes', 'on'), false) as kg_disabled
                from conversations where role = 'user'),
       {context_ctes('conv', 'text_id', 'text')}
       select c.conv_id, c.turn, c.kg_disabled, coalesce(ctx.n_lines, 0) as n_facts,
-             replace({_q(head)}, '\\n', chr(10))
+             replace({_q(head)}, '\\n', chr(10)) || (select rows from smp) || chr(10) || chr(10)
              || case when not c.kg_disabled
                      then {_q(tq.COMFORT_CONTEXT)}
                           || case when coalesce(ctx.context, '') <> ''

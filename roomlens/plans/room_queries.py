@@ -24,15 +24,17 @@ def q_daily_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Location texts asked of the display route (a regex each).
-CARD_LOCATIONS = ["kitchen", "Office", "hallway", "^h", "office|hall", "KIT", "garage"]
+CARD_LOCATIONS = ["kitchen", "Office", "hallway", "^h", "office|hall", "KIT", "garage", "(", None]
 
 
 def card_request_table(iaq: DataFrame) -> DataFrame:
-    """Every day in the data x each asked location, plus one impossible date."""
+    """Every day in the data, from midnight and from half past one, x each
+    asked location (none among them), plus one impossible date."""
     days = iaq.select(room.day_of().cast("string").alias("date")).distinct()
-    days = days.unionByName(iaq.sparkSession.createDataFrame([("2024-13-45",)], "date string"))
+    days = days.unionByName(days.select(F.concat("date", F.lit(" 01:30")).alias("date"))) \
+        .unionByName(iaq.sparkSession.createDataFrame([("2024-13-45",)], "date string"))
     req = days.select("date", fixed_rows(["location"], [(x,) for x in CARD_LOCATIONS]))
-    return req.withColumn("request_id", F.concat_ws("|", "date", "location"))
+    return req.withColumn("request_id", F.concat_ws("|", "date", F.coalesce("location", F.lit("-"))))
 
 
 def q_card_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

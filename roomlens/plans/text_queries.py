@@ -94,6 +94,23 @@ def schema_text(iaq: DataFrame) -> str:
     return "\n".join(f"{c} ({types[c]})" for c in sorted(types))
 
 
+def sample_text(iaq: DataFrame, n: int = 5) -> str:
+    """The first ``n`` rows by (Date, location) as a JSON list, columns in
+    sorted order (n rows reach the driver, whatever the table)."""
+    shown = []
+    for c, kind in sorted(iaq.dtypes):
+        v = F.col(c)
+        if kind == "double":
+            shown.append(stable_round(v, 6).cast("string"))
+        elif kind in ("int", "boolean"):
+            shown.append(v.cast("string"))
+        else:
+            shown.append(F.concat(F.lit('"'), v.cast("string"), F.lit('"')))
+    cells = [F.concat(F.lit(f'"{c}": '), F.coalesce(x, F.lit("null"))) for (c, _), x in zip(sorted(iaq.dtypes), shown)]
+    row = F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}")).alias("row")
+    return "[" + ", ".join(r.row for r in iaq.orderBy("Date", "location").limit(n).select(row).collect()) + "]"
+
+
 def q_prompt_assembly(spark, sf_dir):
     """X-19 + F-13 + K-7 over the user turns of every conversation."""
     iaq = fx.iaq(spark, sf_dir)
@@ -101,7 +118,8 @@ def q_prompt_assembly(spark, sf_dir):
             .where(F.col("role") == "user")
             .withColumn("text_id", F.col("conv_id") * 1000 + F.col("turn")))
     headers = F.array(*[F.lit(h) if h is not None else F.lit(None).cast("string") for h in KG_HEADERS])
-    conv = conv.withColumn("kg_disabled", tx.header_truthy(
+    # F-13: the request's own flag (every 7th turn has it) or the header
+    conv = conv.withColumn("kg_disabled", (F.col("turn") % 7 == 6) | tx.header_truthy(
         F.element_at(headers, (F.col("conv_id") % len(KG_HEADERS) + 1).cast("int"))))
     ctx = kg.fact_context(kg.seed_triples(spark), conv.select("text_id", "text"), "text_id", "text", 6)
     j = conv.join(ctx, "text_id", "left")
@@ -110,7 +128,8 @@ def q_prompt_assembly(spark, sf_dir):
         F.when(F.col("context") != "", F.concat(F.lit("\nRelevant KG facts:\n"), F.col("context"))).otherwise(F.lit("")),
         F.lit("\n\n"))).otherwise(F.lit(""))
     head = (f"{SYSTEM_SQL}\n{LOCATIONS_HINT}Table name: iaq\n"
-            f"Schema (name (dtype)):\n{schema_text(iaq)}\n\n")
+            f"Schema (name (dtype)):\n{schema_text(iaq)}\n\n"
+            f"Sample rows (JSON):\n{sample_text(iaq)}\n\n")
     prompt = F.concat(F.lit(head), kg_part, F.lit("Question: "), F.coalesce("text", F.lit("")),
                       F.lit("\n\n" + CLOSING))
     return j.select("conv_id", "turn", "kg_disabled", F.coalesce("n_lines", F.lit(0)).alias("n_facts"),

@@ -107,6 +107,7 @@ def records(spark: SparkSession, sf_dir: str, with_index: bool = True) -> DataFr
          .alias("returned_state"),
         F.when(is_p, F.concat(F.lit("plot temperature for "), day_text, F.lit(" in "), room))
          .alias("plot_request"),
+        F.when(is_p & (key % 3 == 1), F.concat(F.lit("please show me "), room)).alias("request_text"),
         F.when(is_p & (key % 3 != 0), F.concat(F.lit("The readings look "),
                                               F.when(cust % 2 == 0, "stable").otherwise("noisy")))
          .alias("model_response"),
