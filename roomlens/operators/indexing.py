@@ -34,9 +34,10 @@ def index_within_groups(df: DataFrame, group_cols: list[str], order_col: str,
     spark = df.sparkSession
     from roomlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, order_col]
-    sorted_df = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without a number, AQE sizes the partitions
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    sorted_df = (ranged.sortWithinPartitions(*keys)
                  .withColumn("_pid", F.spark_partition_id())
                  .withColumn("_local", F.monotonically_increasing_id()
                              - F.shiftleft(F.spark_partition_id().cast("long"), _SHIFT)))

@@ -21,18 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Before CPU-heavy per-row work (tokenising, regex rules): if the input
-    arrives in fewer splits than the cluster has task slots (one large
-    unsplittable file), deal its rows out round-robin so every core works.
-    On a real data set the scan already yields more splits than slots and
-    this returns the plan unchanged -- no shuffle is added."""
-    # A plan with an exchange is already shuffle-partitioned; asking it for
-    # its partition count would make AQE run the upstream stages.  Only a
-    # scan pipeline (no exchange, so no adaptive plan) is measured.
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots)
+    """Before CPU-heavy per-row work (tokenising, regex rules): deal the rows
+    out to as many partitions as `roomlens.textPartitions` asks for.  Left
+    unset (as on a cluster, where a scan has splits enough), nothing is
+    shuffled; a local session sets it, its inputs being single splits."""
+    n = df.sparkSession.conf.get("roomlens.textPartitions", None)
+    return df.repartition(int(n)) if n else df
