@@ -194,6 +194,14 @@ def sanitize_name(v: Column, default: str = "default") -> Column:
                       F.lit(default))
 
 
+def range_text(lo: Column, hi: Column) -> Column:
+    """X-17: ` (comfort 20.0 – 26.0)`, a dash for a missing bound; empty
+    without bounds."""
+    side = [F.when(c.isNotNull(), F.format_string("%.1f", c)).otherwise("–") for c in (lo, hi)]
+    return F.when(lo.isNotNull() | hi.isNotNull(),
+                  F.concat(F.lit(" (comfort "), side[0], F.lit(" – "), side[1], F.lit(")"))).otherwise("")
+
+
 def status_label(status: Column) -> Column:
     """X-17: status -> display text."""
     return (F.when(status == "ok", "Within range").when(status == "warn-high", "Above range")

@@ -235,10 +235,11 @@ def result_status(result: DataFrame, dim: DataFrame, group_cols: list[str],
     long = unpivot_metrics(wide, group_cols, mcols, "mean").where(F.col("mean").isNotNull())
     j = long.join(dim, "metric", "left")
     loc = F.initcap(F.col(location_col)) if location_col else F.lit(None).cast("string")
-    return j.select(*group_cols, "metric",
-                    st.result_status(F.col("mean"), F.col("lo"), F.col("hi"),
-                                     F.coalesce("has_range", F.lit(False))).alias("status"),
-                    stable_round("mean", 3).alias("mean_value"), F.col("lo").alias("recommended_min"),
+    status = st.result_status(F.col("mean"), F.col("lo"), F.col("hi"), F.coalesce("has_range", F.lit(False)))
+    detail = F.concat(F.lit("Mean value "), F.format_string("%.2f", stable_round("mean", 2)),
+                      tx.range_text(F.col("lo"), F.col("hi")))
+    return j.select(*group_cols, "metric", status.alias("status"), tx.status_label(status).alias("status_label"),
+                    detail.alias("detail"), stable_round("mean", 3).alias("mean_value"), F.col("lo").alias("recommended_min"),
                     F.col("hi").alias("recommended_max"), loc.alias("location_title"))
 
 

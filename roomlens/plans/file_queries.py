@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from roomlens.functions import text as tx
 from roomlens.functions.numeric import stable_round
-from roomlens.operators import cases, evaluate as ev, kg, room, scoring
+from roomlens.operators import cases, evaluate as ev, kg, room, sampling, scoring
+from roomlens.plans.eval_queries import SAMPLE_N, SAMPLE_SEED
 from roomlens.session import scratch_path
 from roomlens.sources import files, fixtures as fx
 from roomlens.sources.tables import read_table
@@ -53,13 +54,18 @@ def q_jsonl_roundtrip(spark, sf_dir):
     recs = fx.records(spark, sf_dir, with_index=False).withColumn("model_dir", tx.sanitize_name(F.col("model")))
     path = scratch_path(spark, "jsonl")
     recs.write.mode("overwrite").partitionBy("task", "model_dir").json(path)
+    # two lines that are no records, in one of the folders
+    broken = read_table(spark, sf_dir, "region").limit(2).select(F.lit("{not a record").alias("value"))
+    broken.write.mode("append").text(os.path.join(path, "task=nl_sql", "model_dir=1-URGENT"))
     schema = T.StructType([f for f in recs.schema.fields if f.name not in ("task", "model_dir")])
-    # the (task, model) folder values come back as discovered partition columns
-    back = spark.read.schema(schema).option("basePath", path).json(path)
+    back = files.read_json_lines(spark, path, schema) \
+        .select("task", "model_dir", "correct", "_corrupt_record", "_metadata.file_modification_time")
+    good = F.col("_corrupt_record").isNull()
     return back.groupBy("task", "model_dir").agg(
-        F.count(F.lit(1)).alias("total"), ev.count_if(F.col("correct").isNotNull()).alias("graded"),
-        ev.count_if(F.col("correct").isNull()).alias("pending"),
-        ev.count_if(F.col("correct") == F.lit(True)).alias("correct"))
+        ev.count_if(good).alias("total"), ev.count_if(F.col("correct").isNotNull()).alias("graded"),
+        ev.count_if(good & F.col("correct").isNull()).alias("pending"),
+        ev.count_if(F.col("correct") == F.lit(True)).alias("correct"), ev.count_if(~good).alias("corrupt"),
+        (F.max("file_modification_time") <= F.current_timestamp()).alias("modified_known"))
 
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -96,6 +102,32 @@ def q_csv_roundtrip(spark, sf_dir):
         stable_round(F.col("b.s") / F.col("b.n"), 6).alias("latency_mean_s"))
 
 
+def q_summary_csv(spark, sf_dir):
+    """S-13: the summary of each model as a CSV of one row, floats with four
+    decimals, read back as text."""
+    p = ev.parse_predictions(fx.prediction_inputs(spark, sf_dir))
+    summary = ev.prediction_summary(p, ["model"])
+    cols = ["accuracy", "safe_accuracy", "unsafe_accuracy", "tp", "tn", "fp", "fn",
+            *[f"latency_{c}_s" for c in ("mean", "min", "max", "median", "p95")]]
+    kinds = dict(summary.dtypes)
+    path = scratch_path(spark, "summary")
+    summary.select("model", *[(F.format_string("%.4f", stable_round(c, 4)) if kinds[c] == "double" else
+                               F.col(c).cast("string")).alias(c) for c in cols]) \
+        .write.partitionBy("model").option("header", True).csv(path)
+    return spark.read.option("header", True).option("basePath", path).csv(path).select("model", *cols)
+
+
+def q_sample_manifest(spark, sf_dir):
+    """S-18: the manifest of the class sample as JSON lines, one per class,
+    read back."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "lang")
+    drawn = sampling.sample_per_class(docs, "lang", "doc_id", SAMPLE_N, SAMPLE_SEED)
+    path = scratch_path(spark, "manifest")
+    sampling.manifest(drawn, SAMPLE_SEED, SAMPLE_N).write.json(path)
+    back = spark.read.schema("seed int, n_per_class int, cls string, items array<string>").json(path)
+    return back.select("seed", "n_per_class", F.col("cls").alias("lang"), F.array_join("items", ",").alias("items"))
+
+
 def q_image_checks(spark, sf_dir):
     """S-15/S-16 over the pages as a base64 column, some of them broken."""
     pages = read_table(spark, sf_dir, "pages", "page_id", "html")
@@ -172,6 +204,8 @@ QUERIES = {
     "ntriples_scan": q_ntriples_scan,
     "jsonl_roundtrip": q_jsonl_roundtrip,
     "csv_roundtrip": q_csv_roundtrip,
+    "summary_csv": q_summary_csv,
+    "sample_manifest": q_sample_manifest,
     "image_checks": q_image_checks,
     "artifact_scan": q_artifact_scan,
     "ablation_records": q_ablation_records,

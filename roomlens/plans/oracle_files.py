@@ -5,7 +5,7 @@ the table-side computation of the same result."""
 
 from __future__ import annotations
 
-from roomlens.plans.oracle_eval import PRED, RECS, eval_sql
+from roomlens.plans.oracle_eval import ACC, CONF, LAT, PRED, RECS, eval_sql
 from roomlens.plans.oracle_kg import triples_cte
 from roomlens.plans.oracle_sql import room_sql
 
@@ -21,8 +21,10 @@ def files_sql() -> dict[str, str]:
     q["jsonl_roundtrip"] = f"""with {RECS}
       select task, {SANITIZE.format(x='model')} as model_dir, count(*) as total,
              count(*) filter (where correct is not null) as graded, count(*) filter (where correct is null) as pending,
-             count(*) filter (where correct) as correct
-      from recs1 group by 1, 2"""
+             count(*) filter (where correct) as correct,
+             case when task = 'nl_sql' and {SANITIZE.format(x='model')} = '1-URGENT' then 2 else 0 end as corrupt,
+             true as modified_known
+      from recs1 group by 1, 2, corrupt"""
     q["csv_roundtrip"] = f"""with {PRED},
       r as (select model, true_label,
                    case when cast(image_path as bigint) % 13 = 0 then ''
@@ -32,6 +34,14 @@ def files_sql() -> dict[str, str]:
                  union all select *, 'raw_safety_experiment.csv' from r where model = 'de' and true_label = 'UNSAFE')
       select model, file_name, count(*) as n, cast(round(cast(round(avg(try_cast(lat as double)), 8) as decimal(38, 8)), 6) as double) as latency_mean_s
       from chosen where try_cast(lat as double) is not null group by model, file_name"""
+    f4 = lambda c: f"printf('%.4f', cast(round(cast(round({c}, 8) as decimal(38, 8)), 4) as double)) as {c}"
+    q["summary_csv"] = f"""with {PRED}, {CONF}, {ACC}, {LAT}
+      select model, {f4('accuracy')}, {f4('safe_accuracy')}, {f4('unsafe_accuracy')}, cast(tp as varchar) as tp,
+             cast(tn as varchar) as tn, cast(fp as varchar) as fp, cast(fn as varchar) as fn,
+             {', '.join(f4(f'latency_{c}_s') for c in ('mean', 'min', 'max', 'median', 'p95'))}
+      from acc join conf using (run, model) join lat using (run, model)"""
+    q["sample_manifest"] = f"""select 31 as seed, 150 as n_per_class, lang, string_agg(image_path, ',' order by image_path) as items
+      from ({es['class_sample']}) group by lang"""
     q["image_checks"] = """select 'page_' || cast(page_id as varchar) as name,
              case when page_id % 7 <> 0 then cast(strlen(html) + case when page_id % 3 = 0 then 8 else 0 end as bigint) end as size,
              page_id % 7 <> 0 as decodes, page_id % 7 <> 0 and page_id % 3 = 0 as is_png

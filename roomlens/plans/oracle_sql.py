@@ -182,6 +182,12 @@ def room_sql() -> dict[str, str]:
       select location, metric,
              case when lo is not null and m < lo then 'warn-low' when hi is not null and m > hi then 'warn-high'
                   when has_range then 'ok' else 'info' end as status,
+             case when lo is not null and m < lo then 'Below range' when hi is not null and m > hi then 'Above range'
+                  when has_range then 'Within range' else 'Info' end as status_label,
+             'Mean value ' || printf('%.2f', cast(round(cast(round(m, 8) as decimal(38, 8)), 2) as double))
+               || case when lo is not null or hi is not null
+                       then ' (comfort ' || coalesce(printf('%.1f', lo), '–') || ' – ' || coalesce(printf('%.1f', hi), '–') || ')'
+                       else '' end as detail,
              cast(round(cast(round(m, 8) as decimal(38, 8)), 3) as double) as mean_value, lo as recommended_min, hi as recommended_max,
              upper(substr(location, 1, 1)) || lower(substr(location, 2)) as location_title
       from x join dim using (metric) where m is not null"""

@@ -19,6 +19,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOM_FILE_SUFFIX = "_measurements_IAQ_1h_avg.csv"
 IMAGE_EXT_RE = r"(?i)\.(png|jpg|jpeg|webp)$"
@@ -220,3 +221,12 @@ def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
                     F.replace(part[4], F.lit("_"), F.lit(" ")).alias("metric_word"), part[5].alias("date"),
                     part[6].alias("location"), F.regexp_replace("value", r"\n$", "").alias("text"),
                     F.when(part[0].isNull(), F.element_at(F.split(p, "/"), -1)).alias("stray"))
+
+
+# ------------------------------------------------------------------------ S-9
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines with an explicit schema; a line that is no such record
+    keeps its row, with its text in `_corrupt_record` and NULL elsewhere.
+    Folder names `key=value` come back as columns."""
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(whole).option("mode", "PERMISSIVE").option("basePath", path).json(path)
