@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from roomlens.functions.numeric import fixed_rows
 from roomlens.operators.sizing import broadcast_if_small
 from roomlens.operators.topk import top_k as _top_k
+from roomlens.session import scratch_path
 from roomlens.sources.tables import read_table, spread
 
 EX = "http://example.org/"
@@ -197,7 +198,6 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     key `pk`.  Each pattern then scans one predicate partition (partition
     pruning) instead of re-deriving the union of table projections, and the
     written table survives executor loss."""
-    from roomlens.session import scratch_path
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     path = _GRAPHS.get(key)
     if path is None or not _exists(spark, path):
@@ -388,18 +388,18 @@ def _label_facts(triples: DataFrame) -> DataFrame:
                                     F.coalesce("hi", F.lit("inf")))).alias("line2")))
 
 
-def _substrings(facts: DataFrame, min_len: int) -> DataFrame:
-    """Every substring (length >= min_len) of each lower-cased label that
+def _substrings(facts: DataFrame, min_len: int, max_len: int) -> DataFrame:
+    """Every substring (length min_len..max_len) of each lower-cased label that
     contains no whitespace.  Tokens are split on whitespace, so a substring
     spanning a space can never equal one; cutting labels into their
-    whitespace-free segments first keeps the table linear in label words
-    instead of quadratic in label length."""
+    whitespace-free segments first, and at the longest word there is, keeps
+    the table linear in label length."""
     seg = facts.select("s", "label", F.explode(F.split(F.lower("label"), PY_WHITESPACE)).alias("low"))
     seg = seg.where(F.length("low") >= min_len)
     n = F.length("low")
     starts = seg.select("s", "label", "low", F.explode(F.sequence(F.lit(1), n - min_len + 1)).alias("i"))
     subs = starts.select("s", "label", "low", "i", F.explode(
-        F.sequence(F.lit(min_len), F.length("low") - F.col("i") + 1)).alias("len"))
+        F.sequence(F.lit(min_len), F.least(F.length("low") - F.col("i") + 1, F.lit(max(min_len, max_len))))).alias("len"))
     return subs.select(F.substring("low", F.col("i"), F.col("len")).alias("word"), "s", "label")
 
 
@@ -419,11 +419,16 @@ def fact_context(triples: DataFrame, texts: DataFrame, id_col: str = "doc_id",
     spaced = F.translate(F.col(text_col), PY_WHITESPACE_CHARS, " " * len(PY_WHITESPACE_CHARS))
     words = F.array_distinct(F.transform(
         F.filter(F.split(spaced, " "), lambda w: F.length(w) >= 3), lambda w: F.lower(w)))
-    tokens = spread(texts.select(id_col, text_col)).select(id_col, F.explode(words).alias("word"))
+    # tokenised once: the vocabulary and the hits both read the written table
+    path = scratch_path(texts.sparkSession, "tokens")
+    spread(texts.select(id_col, text_col)).select(id_col, words.alias("words")).write.parquet(path)
+    tokens = texts.sparkSession.read.parquet(path).select(id_col, F.explode("words").alias("word"))
     # Only substrings that occur as a word somewhere can match: semi-join the
     # label substrings to the corpus vocabulary, then dedupe the few survivors.
     vocab = tokens.select("word").distinct()
-    subs = _substrings(facts, 3).join(vocab, "word", "left_semi").distinct()
+    vocab = vocab.checkpoint()
+    longest = vocab.agg(F.max(F.length("word"))).first()[0] or 0
+    subs = _substrings(facts, 3, longest).join(vocab, "word", "left_semi").distinct()
     # Per distinct word: its `limit` first label rows and `limit` first policy rows.
     cand = subs.join(facts, ["s", "label"])
     # One ranking pass for both lists: a policy label enters the label list
