@@ -165,8 +165,7 @@ def normal_line(line):
 
 
 def simhash(line):
-    words = line.split(" ")
-    hashes = [xx64(w) for w in words]
+    hashes = [xx64(w) for w in set(line.split(" "))]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 

@@ -50,7 +50,7 @@ def test_simhash_of_long_lines(spark):
     lines = [" ".join(f"w{rng.randint(0, 50)}" for _ in range(n)) for n in (1, 2, 3, 99, 100, 257, 900, 70_000)]
     df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("words", F.split("line", " "))
     got = {r.line: (r.fp % 2 ** 64, r.n) for r in line_dedup.simhash_lines(df, ["line"], "words").collect()}
-    assert got == {x: (brute.simhash(x), len(x.split())) for x in lines}
+    assert got == {x: (brute.simhash(x), len(set(x.split()))) for x in lines}
 
 
 @pytest.mark.parametrize("crowd", [1, 10_000])
