@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 # per-value overhead assumed on top of string payload (row header, offsets)
 _FIXED_BYTES = 16
@@ -33,8 +33,14 @@ def _row_bytes(df: DataFrame) -> Column:
     parts = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, StringType):
+        if isinstance(f.dataType, (StringType, BinaryType)):
             parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + _FIXED_BYTES)
+        elif isinstance(f.dataType, (ArrayType, MapType)):
+            # written as JSON a value takes about as many bytes as in a row
+            one = F.to_json(F.struct(c.alias("v")))
+            parts.append(F.coalesce(F.octet_length(one) + _FIXED_BYTES * F.size(c), F.lit(0)) + _FIXED_BYTES)
+        elif isinstance(f.dataType, StructType):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + _FIXED_BYTES * len(f.dataType.fields))
         else:
             parts.append(F.lit(_FIXED_BYTES))
     total = parts[0]

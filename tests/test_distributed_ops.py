@@ -131,3 +131,18 @@ def test_spread_deals_rows_out_only_when_asked(spark):
     assert sorted(r.id for r in spread(one).collect()) == list(range(1000))
     spark.conf.unset("roomlens.textPartitions")
     assert spread(one) is one
+
+
+def test_measured_size_counts_nested_values(spark):
+    from roomlens.operators.sizing import _row_bytes
+    df = spark.createDataFrame([([1] * 1000, {"a": 1}, ("x" * 500,)), (None, None, None)],
+                               "a array<int>, m map<string,int>, s struct<t:string>")
+    big, none = (r.b for r in df.select(_row_bytes(df).alias("b")).collect())
+    assert big > 4500 and 0 < none < 100
+
+
+def test_large_tables_are_not_broadcast(spark):
+    from roomlens.operators.sizing import broadcast_if_small
+    df = spark.range(1000).selectExpr("id", "array_repeat(id, 50) as a")
+    plan = lambda most: spark.range(5).join(broadcast_if_small(df, most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(10_000_000) and "broadcast" not in plan(10_000)
