@@ -275,7 +275,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select(F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")).distinct() \
         .join(star, ["a", "b"], "left_anti")
     rest = _verified(across, segs, percent)
-    merged = connected_components(links.union(rest), "a", "b").withColumnRenamed("node", "cid")
+    joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)
+    merged = connected_components(joined, "a", "b").withColumnRenamed("node", "cid")
     label = classes.join(merged, "cid", "left").select("fp", "n", F.coalesce("component", "cid").alias("comp"))
     low = label.join(classes, ["fp", "n"]).groupBy("comp").agg(
         F.min(F.when(F.col("cid") >= 0, F.col("cid"))).alias("low"))
