@@ -84,3 +84,14 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def package_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed: the
+    folder it was imported from joins their module path.  (On a cluster the
+    package is installed or shipped, and an unknown folder does no harm.)"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])

@@ -7,6 +7,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roomlens.session import package_on_workers
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -16,6 +18,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    package_on_workers(spark)
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*cols) if cols else df
 
