@@ -29,7 +29,7 @@ from roomlens.session import scratch_path
 # of a task stay small whatever the size of an Arrow batch.
 RUN_CHARS = 1_500_000
 # Words kept in a worker's hash cache before it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)

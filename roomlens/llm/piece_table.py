@@ -31,7 +31,7 @@ from roomlens.llm.common import text_runs
 # Fixed values of the model format: kinds of pieces and the space mark.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 120_000
 
 
 class PieceTable:
@@ -259,7 +259,7 @@ def piece_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model_file)
         for batch in batches:
-            for start, texts in text_runs(batch.column(1), 8_000_000):
+            for start, texts in text_runs(batch.column(1), 1_000_000):
                 n, a, b, c, d = [], [], [], [], []
                 for text in texts:
                     ids, count, decoded = table.digest_parts(text)

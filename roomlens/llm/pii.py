@@ -186,7 +186,7 @@ def _entities(rows: DataFrame) -> DataFrame:
     """(rk, kind, form): distinct entities of each text."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_runs(batch.column(1), 8_000_000):
+            for start, texts in text_runs(batch.column(1), 2_000_000):
                 out = []
                 for key, text in zip(batch.column(0).slice(start, len(texts)).to_pylist(), texts):
                     out += [(key, k, f) for k, f in {(k, f) for _, _, k, f in detect(text)}]
@@ -244,7 +244,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text_at, moved_at = batch.column(1), batch.column(2)
-            for start, texts in text_runs(text_at, 8_000_000):
+            for start, texts in text_runs(text_at, 2_000_000):
                 count, kinds, out = [], [], []
                 own = moved_at.slice(start, len(texts)).to_pylist()
                 for text, over, null in zip(texts, own, text_at.slice(start, len(texts)).is_null().to_pylist()):

@@ -344,7 +344,7 @@ def _scored(rows: DataFrame, crf: Field, threshold: float) -> DataFrame:
         own = held.value
         scores = Scores(own)
         for batch in batches:
-            for start, texts in text_runs(batch.column(1), 3_000_000):
+            for start, texts in text_runs(batch.column(1), 1_000_000):
                 score, hits, spans = score_texts(texts, own, scores)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(texts)), pa.array(score, pa.float64()),
