@@ -81,6 +81,19 @@ def test_line_dedup_odd_rows(odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_lines_are_compared_by_characters(spark):
+    lines = [" ".join(f"w{i}{'abcdefgh'[i % 8]}" for i in range(20)), "colour of house", "unrelated text here"]
+    lines.insert(1, " ".join(f"{w}x" if i % 3 == 0 else w for i, w in enumerate(lines[0].split())))
+    rows = list(enumerate(lines + ["color of house"]))
+    df = spark.createDataFrame(rows, "rk long, text string").withColumn("lh", F.col("rk"))
+    occurrences = df.select("lh", "rk", F.lit(0).alias("pos"))
+    pairs = spark.createDataFrame([(0, 1), (2, 4), (3, 4)], "a long, b long")
+    got = sorted(tuple(r) for r in line_dedup._alike(pairs, occurrences, df.drop("lh"), 0.75).collect())
+    near = [(a, b) for a, b in ((0, 1), (2, 4), (3, 4))
+            if 4 * brute.edits(rows[a][1], rows[b][1]) <= max(len(rows[a][1]), len(rows[b][1]))]
+    assert got == near == [(0, 1), (2, 4)]
+
+
 def items(rng, corpus):
     held = {d: t for d, t in corpus}
     verbatim = " ".join(held[305].split()[700:740])
