@@ -38,7 +38,7 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir))
+    return dedup_lines(documents(spark, sf_dir), wide=True)
 
 
 def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,32 @@ def test_lines_are_compared_by_characters(spark):
     assert got == near == [(0, 1), (2, 4)]
 
 
+def test_wide_search_finds_lines_beyond_the_radius(spark):
+    """Against edit similarity alone: nearly all near pairs share a candidate
+    key, and no other pair is linked."""
+    rng = random.Random(6)
+    lines = [prose(rng, rng.randint(6, 24)) for _ in range(60)]
+    for n in range(60):
+        w = lines[n].split()
+        for i in rng.sample(range(len(w)), max(1, len(w) // 6)):
+            w[i] = w[i] + "x" if rng.random() < 0.5 else f"new{rng.randint(0, 999)}"
+        lines.append(" ".join(w))
+    lines += ["The colour of house", "the color of house", "organisation", "organization"]
+    rows = [(i, brute.normal_line(x)) for i, x in enumerate(lines)]
+    near = {(a, b) for a, s in rows for b, t in rows if a < b
+            and 4 * abs(len(s) - len(t)) <= max(len(s), len(t)) and 4 * brute.edits(s, t) <= max(len(s), len(t))}
+    assert len(near) >= 60
+    within = sum((brute.simhash(rows[a][1]) ^ brute.simhash(rows[b][1])).bit_count() <= 3 for a, b in near)
+    assert within < len(near) / 2
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(lines)], "doc_id long, text string, n int")
+    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df, wide=True).collect()}
+    want = brute.components(range(len(lines)), near)
+    dropped = {i for i, n in out.items() if n}
+    expected = {i for i, c in want.items() if c != i}
+    assert dropped <= expected and len(dropped) >= 0.95 * len(expected)
+    assert {61 + 60, 63 + 60} <= dropped
+
+
 def items(rng, corpus):
     held = {d: t for d, t in corpus}
     verbatim = " ".join(held[305].split()[700:740])
