@@ -7,6 +7,11 @@ card numbers keep their check digit right, addresses of machines stay valid,
 names keep gender and script.  So the same entity has the same surrogate in
 every text (coreference), whatever its spelling.
 
+Persons are found after one of the titles or as one of the given names listed
+below, with the word that follows; every other mention of a name so found in
+the same text, in any case, is the same entity.  A name outside the lists that
+has no title anywhere in its text stays as it is.
+
 Distinctness is checked in Spark over the table of distinct entities: where
 two share a surrogate, or a surrogate is itself an original, all but the first
 take their next attempt, until none collides.  Only those overridden attempts
@@ -43,6 +48,8 @@ ENDINGS = {("LATIN", "f"): ["na", "lia", "ra"], ("LATIN", "m"): ["rt", "rn", "ld
            ("CYRILLIC", "f"): ["на", "ля", "ра"], ("CYRILLIC", "m"): ["н", "рт", "с"], ("CYRILLIC", "s"): ["нко", "вич"],
            ("GREEK", "f"): ["να", "ρια"], ("GREEK", "m"): ["νος", "ρης"], ("GREEK", "s"): ["ίδου", "άκη"]}
 
+NAME_KINDS = ("given_f", "given_m", "surname")
+
 _CAP = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
 PATTERNS = [(kind, re.compile(p)) for kind, p in [
     ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
@@ -61,6 +68,7 @@ _NAMED = re.compile(r"(?<!\w)(?:(?P<f>%s)|(?P<m>%s))(?: (?P<b>%s))?(?!\w)" % (
     "|".join(GIVEN["f"]), "|".join(GIVEN["m"]), _CAP))
 # A text without any of these has no entity; saves the patterns their work.
 _HINT = re.compile(r"[@\d]|AKIA|passw|pwd=|token|api_key|" + "|".join(sorted(sum([*TITLES.values(), *GIVEN.values()], []))))
+_TOKEN = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 _KEPT = re.compile(r"[^\W_]")
 
 
@@ -87,6 +95,16 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         put(*m.span(gender), f"given_{gender}")
         if m["b"]:
             put(*m.span("b"), "surname")
+    # Later and earlier mentions of the names found; of two kinds the first in the text.
+    names: dict[str, str] = {}
+    for _, _, kind, form in sorted(taken):
+        if kind in NAME_KINDS:
+            names.setdefault(form, kind)
+    if names:
+        for m in _TOKEN.finditer(text):
+            kind = names.get(m[0].lower())
+            if kind:
+                put(*m.span(), kind)
     return sorted(taken)
 
 

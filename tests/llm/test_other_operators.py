@@ -215,3 +215,13 @@ def test_queries_return_a_row_per_document(spark, sf_small):
         if not name.startswith("op6_"):
             out = q(spark, sf_small)
             assert "doc_id" in out.columns and out.count() == n, name
+
+
+def test_other_mentions_of_a_name_get_its_surrogate():
+    text = "Smith, they say. Mr John Smith came. SMITH left, john stayed; Smithson and smith's dog too. smith@x.org"
+    found = pii.detect(text)
+    assert [text[a:b] for a, b, k, _ in found if k == "surname"] == ["Smith", "Smith", "SMITH", "smith"]
+    assert [text[a:b] for a, b, k, _ in found if k == "given_m"] == ["John", "john"]
+    assert {f for _, _, k, f in found if k == "surname"} == {"smith"}
+    assert [text[a:b] for a, b, k, _ in found if k == "email"] == ["smith@x.org"]
+    assert pii.detect("Smith left.") == []
