@@ -15,7 +15,9 @@ has no title anywhere in its text stays as it is.
 Distinctness is checked in Spark over the table of distinct entities: where
 two share a surrogate, or a surrogate is itself an original, all but the first
 take their next attempt, until none collides.  Only those overridden attempts
-travel back to the texts that hold such an entity.
+travel back to the texts that hold such an entity.  From attempt TRIES on a
+surrogate is longer than its original (an address of a machine: octets of any
+length), so a full space of one format ends no later than that.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ ENDINGS = {("LATIN", "f"): ["na", "lia", "ra"], ("LATIN", "m"): ["rt", "rn", "ld
            ("CYRILLIC", "f"): ["на", "ля", "ра"], ("CYRILLIC", "m"): ["н", "рт", "с"], ("CYRILLIC", "s"): ["нко", "вич"],
            ("GREEK", "f"): ["να", "ρια"], ("GREEK", "m"): ["νος", "ρης"], ("GREEK", "s"): ["ίδου", "άκη"]}
 
+# Attempts in the format of the original, and the attempt at which none of the
+# wider ones is expected to collide either.
+TRIES, MOST = 4, 60
 NAME_KINDS = ("given_f", "given_m", "surname")
 
 _CAP = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
@@ -158,24 +163,28 @@ def _like(text: str, draw: _Draw) -> str:
 
 
 def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
-    """Surrogate of a canonical form, itself in canonical form."""
+    """Surrogate of a canonical form, itself in canonical form; from attempt
+    TRIES on longer by one sign more with each attempt."""
     draw = _Draw(key, kind, form, str(attempt))
+    extra = max(0, attempt - TRIES + 1)
     if kind == "email":
         local, _, domain = form.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_like(local, draw)}@{_like(host, draw)}.{top}"
+        return f"{_like(local + 'x' * extra, draw)}@{_like(host, draw)}.{top}"
+    if kind == "ip" and extra:
+        return ".".join(str(draw.below(256)) for _ in range(4))
     if kind == "ip":
         low = {1: (1, 9), 2: (10, 99), 3: (100, 255)}
         return ".".join(str(low[len(p)][0] + draw.below(low[len(p)][1] - low[len(p)][0] + 1)) for p in form.split("."))
     if kind == "card":
-        body = form[0] + _like(form[1:-1], draw)
+        body = form[0] + _like(form[1:-1] + "0" * extra, draw)
         return body + (str(_luhn(body)) if int(form[-1]) == _luhn(form[:-1]) else str(draw.below(10)))
     if kind == "phone":
-        return form[0] + _like(form[1:], draw)
+        return form[0] + _like(form[1:] + "0" * extra, draw)
     if kind == "cloud_key":
-        return form[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in form[4:])
+        return form[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in range(len(form) - 4 + extra))
     if kind == "iban":
-        return form[:2] + _like(form[2:], draw)
+        return form[:2] + _like(form[2:] + "0" * extra, draw)
     if kind in ("given_f", "given_m", "surname"):
         script = unicodedata.name(form[0], "LATIN").split()[0]
         script = script if script in SYLLABLES else "LATIN"
@@ -183,14 +192,14 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
         parts = SYLLABLES[script]
         body = "".join(parts[draw.below(len(parts))] for _ in range(2 + attempt // 4 + draw.below(2)))
         return body + ends[draw.below(len(ends))]
-    return _like(form, draw)
+    return _like(form + ("0" if kind == "ssn" else "x") * extra, draw)
 
 
 def render(kind: str, mention: str, new: str) -> str:
     """Write a canonical surrogate the way the mention is written."""
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(new)
-        return _KEPT.sub(lambda m: next(chars), mention)
+        return _KEPT.sub(lambda m: next(chars), mention) + "".join(chars)
     if kind in ("password", "token", "cloud_key"):
         return new
     if kind == "email" and len(new) == len(mention):
@@ -228,18 +237,23 @@ def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
 
 def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, attempt, new) with distinct ``new`` per kind, none of
-    which is a form of that kind.  ``entities`` has distinct (kind, form)."""
+    which is a form of that kind.  ``entities`` has distinct (kind, form).
+    ValueError if attempt MOST still collides: the space is full (more
+    addresses of machines than there are)."""
     now = _drawn(entities.withColumn("attempt", F.lit(0)), key).checkpoint()
     forms = now.select("kind", F.col("form").alias("new"), F.lit(True).alias("taken"))
-    while True:
+    for attempt in range(MOST + 1):
         first = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "form")).alias("own"), F.count(F.lit(1)).alias("c"))
         bad = first.join(forms, ["kind", "new"], "left").where("c > 1 or taken")
         again = now.join(bad, ["kind", "new"]).where(
             F.col("taken") | (F.col("form") != F.col("own.form"))).select("kind", "form").checkpoint()
         if again.isEmpty():
             return now
+        if attempt == MOST:
+            break
         moved = now.join(again, ["kind", "form"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         now = now.join(again, ["kind", "form"], "left_anti").union(_drawn(moved, key)).checkpoint()
+    raise ValueError(f"{again.count()} entities have no free surrogate after {MOST} attempts")
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

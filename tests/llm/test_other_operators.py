@@ -225,3 +225,26 @@ def test_other_mentions_of_a_name_get_its_surrogate():
     assert {f for _, _, k, f in found if k == "surname"} == {"smith"}
     assert [text[a:b] for a, b, k, _ in found if k == "email"] == ["smith@x.org"]
     assert pii.detect("Smith left.") == []
+
+
+def test_a_full_format_is_widened(spark, monkeypatch):
+    full = [("email", f"{a}@{b}.com") for a in "abcdef" for b in "abcdef"] + [("password", "!!!!!!")]
+    monkeypatch.setattr(pii, "TRIES", 1)
+    monkeypatch.setattr(pii, "MOST", 8)
+    got = pii.assign_surrogates(spark.createDataFrame(full, "kind string, form string"), b"k").collect()
+    assert sorted((r.kind, r.form) for r in got) == sorted(full)
+    new = {(r.kind, r.new) for r in got}
+    assert len(new) == len(full) and not new & set(full)
+
+
+@pytest.mark.parametrize("kind, form", [
+    ("email", "a@b.com"), ("ip", "1.2.3.4"), ("card", "4111111111111111"), ("ssn", "123456789"), ("phone", "4915112345"),
+    ("iban", "DE12345678901234"), ("cloud_key", "AKIA" + "A" * 16), ("password", "!!!!!!"), ("token", "a1" * 8), ("surname", "smith")])
+def test_every_kind_widens_after_a_few_tries(kind, form):
+    wide = {pii.surrogate(kind, form, n, b"k") for n in range(pii.TRIES, pii.TRIES + 20)}
+    assert len(wide) == 20 and form not in wide
+    if kind != "ip":
+        assert max(map(len, wide)) > len(form)
+    if kind == "card":
+        assert all(pii._luhn(x[:-1]) == int(x[-1]) for x in wide)
+    assert all(pii.render(kind, form, x).lower() == x.lower() for x in wide)
