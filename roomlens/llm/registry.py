@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roomlens.llm.decontaminate import contamination
+from roomlens.llm.hard_negatives import hard_negatives
 from roomlens.llm.jaccard_join import jaccard_components
 from roomlens.llm.line_dedup import dedup_lines
+from roomlens.llm.multiset_hash import edited_fingerprints
 from roomlens.llm.ngram_lm import fit_lm, held_out, score_lm
 from roomlens.llm.pii import replace_pii
 from roomlens.llm.piece_table import piece_encode
+from roomlens.llm.prefix_trie import prefix_trie
 from roomlens.llm.quality import fit_quality, score_quality
 from roomlens.llm.sharding import place
 from roomlens.llm.toxicity import fit_toxicity, score_toxicity
@@ -77,9 +81,27 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(documents(spark, sf_dir), model_path())
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+OPERATORS = (op1_toxicity_crf, op2_fuzzy_line_dedup, op3_shard_placement, op4_kneser_ney_scoring, op5_quality_ftrl,
+             op6_embedding_near_dedup, op7_pii_surrogates, op8_ngram_jaccard_join, op9_benchmark_decontamination,
+             op10_piece_encoding, op11_document_fingerprints, op12_hard_negatives, op13_prefix_trie)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_crf, op2_fuzzy_line_dedup, op3_shard_placement, op4_kneser_ney_scoring, op5_quality_ftrl, op6_embedding_near_dedup, op7_pii_surrogates, op8_ngram_jaccard_join,
-                                   op9_benchmark_decontamination, op10_piece_encoding)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle() -> dict[str, str]:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
 import itertools
+import math
+import zlib
 
 WORDS = "the of and in to that was for river stone light house garden paper winter morning table letter".split()
 
@@ -54,8 +58,6 @@ def jaccard(rows, percent=75):
 
 def contaminated(docs, items, k=5, at_least=0.75):
     """doc -> {item: best similarity over its item-sized windows}."""
-    import math
-
     def grams(w, g):
         return {tuple(w[i:i + g]) for i in range(len(w) - g + 1)}
     listed = [(i, words(t)) for i, t in items if words(t)]
@@ -202,3 +204,67 @@ def deduped(rows, similarity=0.75, radius=3):
         kept = [x for p, x in enumerate((t or "").split("\n")) if (d, p) not in gone]
         out.append((d, t if t is None else "\n".join(kept), sum(1 for x in gone if x[0] == d)))
     return out
+
+
+def edited_texts(rows):
+    """[(id, text, edited, next text)] of distinct rows in order of id."""
+    rows = sorted({(i is not None, i or 0, t or "") for i, t in rows})
+    out = []
+    for k, (some, i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][2]
+        h = len(t) // 2
+        out.append((i if some else None, t, t[: len(t) - h] + after[:h], after))
+    return out
+
+
+def pair_likeness(a, b):
+    """Dice of the counts of (word, next word in the line)."""
+    def count(t):
+        out = collections.Counter()
+        for line in t.split("\n"):
+            w = line.split()
+            out.update(zip(w, [*w[1:], None]))
+        return out
+    x, y = count(a), count(b)
+    squares = sum(v * v for v in x.values()) + sum(v * v for v in y.values())
+    return 2 * sum(v * y[k] for k, v in x.items()) / squares if squares else float(a == b)
+
+
+def negatives(rows, positives=5, k=10, low=30, high=90):
+    """rows of (id, vector, label), all distinct."""
+    rows = [(i, l, [math.floor(256 * x) for x in v]) for i, v, l in rows]
+    out = []
+    for i, l, v in rows:
+        if i % 100:
+            continue
+        score = [sum(x * y for x, y in zip(v, r[2])) if len(v) == len(r[2]) else None for r in rows]
+        order = sorted((j for j in range(len(rows)) if score[j] is not None), key=lambda j: (-score[j], rows[j][0]))
+        for p in [j for j in order if rows[j][1] == l and rows[j][0] != i][:positives]:
+            for at, j in enumerate([j for j in order if rows[j][1] != l and low * score[p] <= 100 * score[j] <= high * score[p]][:k]):
+                out.append((i, rows[p][0], at + 1, rows[j][0], score[p], score[j]))
+    return sorted(out)
+
+
+def trie(rows):
+    """Nodes of the rebuilt conversations of (conv, turn, role, text)."""
+    own, members, kids = collections.defaultdict(list), collections.defaultdict(list), collections.defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            own[c].append((t is not None, t or 0, r or "", x or ""))
+    own = {c: [v[2:] for v in sorted(t)] for c, t in own.items()}
+    whole = {}
+    for c, t in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        whole[c] = tuple(own.get(c - c % 20, [])[:h] + t[h:])
+        for d in range(len(whole[c]) + 1):
+            members[whole[c][:d]].append(c)
+    leaves, saved = {}, {}
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in kids[p]) or 1
+        saved[p] = sum(saved[k] for k in kids[p]) + ((len(members[p]) - 1) * len(words(p[-1][1])) if p else 0)
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids[p]), leaves[p], saved[p],
+             hashlib.sha256(",".join(str(c) for c in sorted(m) if len(whole[c]) == len(p)).encode()).hexdigest())
+            for p, m in members.items()]
