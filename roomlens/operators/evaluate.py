@@ -175,26 +175,40 @@ def review_rows(recs: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- J-7, W-4
-def merge_grades(recs: DataFrame, grades: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J-7: apply the last grade per (file, index) to the records.
-
-    Returns (merged records, rejected grades).  A grade whose index is outside
-    [0, total) of its file is rejected, by the files' record counts (one row
-    per file); the left join from the records ignores such grades anyway."""
-    # W-4 as an aggregate: the greatest (graded_at, then every other column)
-    # wins; groups are bounded by grades per record and combine map-side.
-    last = grades.groupBy("file", "index").agg(
-        F.max(F.struct("graded_at", "correct", "note")).alias("g"))
-    note = F.nullif(tx.strip_ws(F.col("g.note")), F.lit(""))
-    merged = (recs.join(last, ["file", "index"], "left")
-              .select("file", "index", "order_key",
-                      F.when(F.col("g").isNotNull(), F.col("g.correct")).otherwise(F.col("correct")).alias("correct"),
-                      F.when(F.col("g").isNotNull(), note).alias("note"),
-                      F.date_format("g.graded_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("graded_at")))
+def last_grades(grades: DataFrame) -> DataFrame:
+    """W-4 as an aggregate: (file, index, g), g being the greatest (graded_at,
+    then every other column); groups are bounded by grades per record and
+    combine map-side."""
+    return grades.groupBy("file", "index").agg(F.max(F.struct("graded_at", "correct", "note")).alias("g"))
+
+
+def apply_grades(recs: DataFrame, last: DataFrame) -> DataFrame:
+    """All columns of the records with `correct`, `note` and `graded_at` of
+    their last grade.  The note is trimmed, and NULL if empty; a record
+    without a new grade keeps what an earlier grading gave it."""
+    def own(c: str) -> Column:
+        return F.col(c) if c in recs.columns else F.lit(None).cast("string")
+
+    new = F.col("g").isNotNull()
+    put = {"correct": F.when(new, F.col("g.correct")).otherwise(F.col("correct")),
+           "note": F.when(new, F.nullif(tx.strip_ws(F.col("g.note")), F.lit(""))).otherwise(own("note")),
+           "graded_at": F.when(new, F.date_format("g.graded_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).otherwise(own("graded_at"))}
+    keep = [c for c in recs.columns if c not in put]
+    return recs.join(last, ["file", "index"], "left").select(*keep, *[c.alias(n) for n, c in put.items()])
+
+
+def rejected_grades(recs: DataFrame, grades: DataFrame) -> DataFrame:
+    """Grades whose file is unknown or whose index is outside [0, total) of
+    it, by the files' record counts (one row per file)."""
     totals = broadcast_if_small(recs.groupBy("file").agg(F.count(F.lit(1)).alias("_total")))
-    rejected = grades.join(totals, "file", "left").where(
-        F.col("_total").isNull() | (F.col("index") < 0) | (F.col("index") >= F.col("_total"))).drop("_total")
-    return merged, rejected
+    return grades.join(totals, "file", "left").where(
+        F.col("_total").isNull() | F.col("index").isNull() | (F.col("index") < 0) | (F.col("index") >= F.col("_total"))).drop("_total")
+
+
+def merge_grades(recs: DataFrame, grades: DataFrame) -> DataFrame:
+    """J-7: the last grade per (file, index) applied to the records; grades
+    outside the files change nothing (`rejected_grades` has them)."""
+    return apply_grades(recs, last_grades(grades)).select("file", "index", "order_key", "correct", "note", "graded_at")
 
 
 # ------------------------------------------------------------- predictions

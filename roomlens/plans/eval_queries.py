@@ -57,15 +57,13 @@ def q_review_rows(spark, sf_dir):
 
 def q_grade_merge(spark, sf_dir):
     recs = fx.records(spark, sf_dir)
-    merged, rejected = ev.merge_grades(recs, fx.grades(spark, sf_dir, recs))
-    return merged
+    return ev.merge_grades(recs, fx.grades(spark, sf_dir, recs))
 
 
 def q_grade_rejects(spark, sf_dir):
     recs = fx.records(spark, sf_dir)
-    merged, rejected = ev.merge_grades(recs, fx.grades(spark, sf_dir, recs))
-    return rejected.select("file", "index", "correct",
-                           F.date_format("graded_at", "yyyy-MM-dd HH:mm:ss").alias("graded_at"))
+    return ev.rejected_grades(recs, fx.grades(spark, sf_dir, recs)).select(
+        "file", "index", "correct", F.date_format("graded_at", "yyyy-MM-dd HH:mm:ss").alias("graded_at"))
 
 
 def _predictions(spark, sf_dir) -> DataFrame:

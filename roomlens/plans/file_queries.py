@@ -19,8 +19,9 @@ from roomlens.functions.numeric import stable_round
 from roomlens.operators import cases, evaluate as ev, kg, room, sampling, scoring
 from roomlens.plans.eval_queries import SAMPLE_N, SAMPLE_SEED
 from roomlens.session import scratch_path
-from roomlens.sources import files, fixtures as fx
+from roomlens.sources import files, fixtures as fx, result_files as rf
 from roomlens.sources.tables import read_table
+from roomlens.streaming import grades as sg
 from roomlens.streaming.summary import summary_stream
 
 # Result file names, first existing wins (S-11).
@@ -199,6 +200,36 @@ def q_stream_summary(spark, sf_dir):
     return out
 
 
+def q_grade_rewrite(spark, sf_dir):
+    """J-7 in place: two gradings in a row of the same result files, the
+    second one of the grades of odd days, and what the files hold then."""
+    recs = fx.records(spark, sf_dir).select("file", "index", "order_key", "task", "model", "correct")
+    path = scratch_path(spark, "results")
+    rf.write_result_files(recs, path)
+    schema = rf.result_schema(recs)
+    grades = fx.grades(spark, sf_dir, rf.read_result_files(spark, path, schema)).checkpoint()
+    for day in (0, 1):
+        rf.grade_result_files(spark, path, schema, grades.where(F.dayofmonth("graded_at") % 2 == day))
+    return rf.read_result_files(spark, path, schema).select("file", "index", "order_key", "model", "correct", "note", "graded_at")
+
+
+def q_stream_grades(spark, sf_dir):
+    """T-1 with grades that arrive after the records: three runs of one
+    stream, the first before any grade, and the summary after the last."""
+    recs = fx.records(spark, sf_dir)
+    grades = fx.grades(spark, sf_dir, recs)
+    src, out, state = (scratch_path(spark, n) for n in ("stream-records", "stream-summary", "stream-state"))
+    cols = ["file", "index", "model", "task", "condition", "correct", *tx.LATENCY_KEYS]
+    recs.select(*cols).write.option("maxRecordsPerFile", 50_000).json(f"{src}/records")
+    schema = spark.read.schema(recs.select(*cols).schema).json(f"{src}/records").schema
+    none = grades.where(F.lit(False))
+    odd = F.dayofmonth("graded_at") % 2 == 1
+    for part in (none, grades.where(odd), grades.where(~odd)):
+        part.write.mode("append").json(f"{src}/grades")
+        sg.graded_summary(spark, f"{src}/records", f"{src}/grades", schema, state, out).awaitTermination()
+    return sg.latest_summary(spark, out)
+
+
 QUERIES = {
     "room_csv_scan": q_room_csv_scan,
     "ntriples_scan": q_ntriples_scan,
@@ -211,4 +242,6 @@ QUERIES = {
     "ablation_records": q_ablation_records,
     "batch_predict": q_batch_predict,
     "stream_summary": q_stream_summary,
+    "grade_rewrite": q_grade_rewrite,
+    "stream_grades": q_stream_grades,
 }

@@ -83,7 +83,7 @@ def test_merge_grades_last_wins_and_rejects(spark):
         ("f1", 2, False, "  ", dt.datetime(2024, 1, 1, 11)),      # later grade wins; blank note removed
         ("f1", 9, True, "x", dt.datetime(2024, 1, 1, 12)),        # out of range -> rejected
     ], "file string, index long, correct boolean, note string, graded_at timestamp_ntz")
-    merged, rejected = ev.merge_grades(recs, grades)
+    merged, rejected = ev.merge_grades(recs, grades), ev.rejected_grades(recs, grades)
     m = {(r.file, r["index"]): r for r in merged.collect()}
     assert m[("f1", 2)].correct is False and m[("f1", 2)].note is None
     assert m[("f1", 2)].graded_at == "2024-01-01T11:00:00+00:00"
