@@ -52,15 +52,18 @@ def console_summary(summary: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------- A-11..A-13, A-21
-def file_counts(recs: DataFrame, order_col: str | None = None) -> DataFrame:
+def file_counts(recs: DataFrame, order_col: str | None = None, modified_col: str | None = None) -> DataFrame:
     """A-11 + A-13 + A-21 per result file.  `first_pending` (A-21) is the
     position of the first ungraded record in `order_col` order: the number of
-    the file's records before it.  Two partial aggregates, no sort."""
+    the file's records before it.  Two partial aggregates, no sort.
+    `updated_at` is the latest `modified_col` of the file's rows."""
     aggs = [F.count(F.lit(1)).alias("total"),
             count_if(F.col("correct").isNotNull()).alias("graded"),
             count_if(F.col("correct") == F.lit(True)).alias("correct")]
     if order_col:
         aggs.append(F.min(F.when(F.col("correct").isNull(), F.col(order_col))).alias("_least"))
+    if modified_col:
+        aggs.append(F.max(modified_col).alias("updated_at"))
     agg = recs.groupBy("file").agg(*aggs)
     cols = ["file", tx.task_type_for_file(F.col("file")).alias("task_type"), "total", "graded",
             (F.col("total") - F.col("graded")).alias("pending"), "correct",
@@ -73,7 +76,7 @@ def file_counts(recs: DataFrame, order_col: str | None = None) -> DataFrame:
             .groupBy("file").agg(F.count(F.lit(1)).alias("_before"))
         agg = agg.join(before, "file", "left")
         cols.append(F.coalesce("_before", F.lit(0).cast("long")).alias("first_pending"))
-    return agg.select(*cols)
+    return agg.select(*cols, *(["updated_at"] if modified_col else []))
 
 
 def grand_totals(files: DataFrame) -> DataFrame:
@@ -270,6 +273,39 @@ def latency_stats(pred: DataFrame, keys: list[str], value: str = "latency_s") ->
                                   for c in ("mean", "min", "max", "median", "p95")])
 
 
+# A KLL sketch of this size is off by at most this share of the ranks, with
+# 99 % confidence for any one quantile.
+SKETCH_K, SKETCH_ERROR = 400, 0.0083
+
+
+def latency_sketches(pred: DataFrame, keys: list[str], value: str = "latency_s") -> DataFrame:
+    """A-16 at scale: a mergeable quantile sketch per key, some hundreds of
+    values whatever the group's size.  Rows of it can be stored (per day, say)
+    and merged later; NULL and NaN latencies do not count, a group without any
+    gives a NULL sketch."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    return pred.groupBy(*keys).agg(F.count(v).alias("n"), F.kll_sketch_agg_double(v, SKETCH_K).alias("sketch")) \
+        .withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
+def sketched_quantiles(sketches: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """(keys, n, one column per quantile) of stored sketches merged by the
+    coarser ``keys``; each is a value whose rank is within SKETCH_ERROR of the
+    asked one.  Up to about SKETCH_K values it is exact (nearest rank)."""
+    merged = sketches.where(F.col("sketch").isNotNull()).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("s"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(c) for c, q in quantiles.items()])
+
+
+def rank_spans(pred: DataFrame, estimates: DataFrame, keys: list[str], names: list[str], value: str = "latency_s") -> DataFrame:
+    """Where estimates stand in the data: (keys, n, and for each name `below`
+    and `upto`, the shares of the group's values under and up to it)."""
+    joined = pred.join(broadcast_if_small(estimates.select(*keys, *names)), keys)
+    v = F.col(value).cast("double")
+    return joined.where(~F.isnan(v)).groupBy(*keys).agg(F.count(v).alias("n"), *[x for c in names for x in (
+        (count_if(v < F.col(c)) / F.count(v)).alias(f"{c}_below"), (count_if(v <= F.col(c)) / F.count(v)).alias(f"{c}_upto"))])
+
+
 def latency_box(pred: DataFrame, keys: list[str], value: str = "latency_s") -> DataFrame:
     """A-17: quartiles (linear), whiskers at the furthest values inside
     1.5 IQR of the box, never inside the box; fliers not reported.  A group

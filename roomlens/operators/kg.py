@@ -298,6 +298,18 @@ def datasets(triples: DataFrame) -> DataFrame:
                select=["dataset", "dlabel", "loc", "llabel", "file"])
 
 
+def dataset_lineage(triples: DataFrame, file_rows: DataFrame) -> DataFrame:
+    """K-10 with the scan: (dataset, llabel, file, rows_read, status) of the
+    graph's datasets and the files that were read, (file, rows_read).  Status
+    is `read`, `no-file` (a dataset whose file was not there) or `no-dataset`
+    (a file that no dataset names)."""
+    named = datasets(triples).select("dataset", "llabel", "file")
+    return named.join(file_rows, "file", "full").select(
+        "dataset", "llabel", "file", "rows_read",
+        F.when(F.col("rows_read").isNull(), "no-file").when(F.col("dataset").isNull(), "no-dataset").otherwise("read").alias("status"))
+
+
+
 def metric_ranges(triples: DataFrame) -> DataFrame:
     """K-6 as a dimension: (lower label, min, max) per Metric entity; the first
     entity by subject wins when two share a label; unparseable bounds drop."""

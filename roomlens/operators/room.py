@@ -101,9 +101,10 @@ def cards_for_requests(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
     a regex (searched, not anchored, whatever the case).  A date may have a
     time of day; a request without a location asks for `office`.
 
-    Work is done once per distinct (start, pattern): a start's window is 24
-    hours, which equi-join the hourly (sum, count) per room; rooms are matched
-    once per distinct (pattern, room).  A request with no matching rows gets
+    Work is done once per distinct (start, pattern): the whole hours of a
+    start's window equi-join the hourly (sum, count) per room, and the two
+    hours that it cuts (none, if it starts on the hour) join their readings;
+    rooms are matched once per distinct (pattern, room).  A request with no matching rows gets
     `no-data` cards, an unparseable date `bad-date`, a text that is no pattern
     `bad-pattern`."""
     aggs = []
@@ -111,19 +112,26 @@ def cards_for_requests(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
         aggs += [F.sum(m).alias(f"{m}__s"), F.count(m).alias(f"{m}__n")]
     req = requests.withColumn("_pat", F.coalesce("location", F.lit("office"))) \
         .withColumn("_t0", F.try_to_timestamp("date").cast("timestamp_ntz"))
+    sums = [c for m in st.BANDED_METRICS for c in (f"{m}__s", f"{m}__n")]
+    step = F.expr("interval 1 hour")
     hour = F.date_trunc("hour", "_t0").cast("timestamp_ntz")
-    first = F.when(hour < F.col("_t0"), hour + F.expr("interval 1 hour")).otherwise(hour)
-    hours = req.where(F.col("_t0").isNotNull()).select("_t0").distinct().select(
-        "_t0", F.explode(F.sequence(first, first + F.expr("interval 23 hours"), F.expr("interval 1 hour"))).alias("Date"))
-    per_room = hours.join(iaq.groupBy("Date", "location").agg(*aggs), "Date") \
-        .groupBy("_t0", F.col("location").alias("_loc")).agg(
-            *[F.sum(c).alias(c) for m in st.BANDED_METRICS for c in (f"{m}__s", f"{m}__n")])
+    cut = hour < F.col("_t0")
+    starts = req.where(F.col("_t0").isNotNull()).select("_t0").distinct()
+    hours = starts.select("_t0", F.explode(F.sequence(
+        F.when(cut, hour + step).otherwise(hour), hour + F.expr("interval 23 hours"), step)).alias("_hour"))
+    by_hour = iaq.withColumn("_hour", F.date_trunc("hour", "Date").cast("timestamp_ntz"))
+    whole = hours.join(by_hour.groupBy("_hour", "location").agg(*aggs), "_hour").select("_t0", "location", *sums)
+    ends = starts.where(cut).select("_t0", F.explode(F.array(hour, hour + F.expr("interval 24 hours"))).alias("_hour"))
+    inside = (F.col("Date") >= F.col("_t0")) & (F.col("Date") < F.col("_t0") + F.expr("interval 24 hours"))
+    parts = ends.join(by_hour, "_hour").where(inside).groupBy("_t0", "location").agg(*aggs)
+    per_room = whole.unionByName(parts.select("_t0", "location", *sums)) \
+        .groupBy("_t0", F.col("location").alias("_loc")).agg(*[F.sum(c).alias(c) for c in sums])
     asked = req.select("_t0", "_pat").distinct()
     found = asked.join(per_room, "_t0")
     matches = _pattern_matches()
     fits = found.select("_pat", "_loc").distinct().withColumn("_fit", matches("_pat", "_loc")).where("_fit = 1")
     per_ask = found.join(fits, ["_pat", "_loc"]).groupBy("_t0", "_pat").agg(
-        *[F.sum(c).alias(c) for m in st.BANDED_METRICS for c in (f"{m}__s", f"{m}__n")])
+        *[F.sum(c).alias(c) for c in sums])
     bad = req.select("_pat").distinct().withColumn("_bad", matches("_pat", F.lit("")) < 0).where("_bad")
     wide = req.join(per_ask, ["_t0", "_pat"], "left").join(bad, "_pat", "left").select(
         "request_id", "date", "location", "_t0", "_bad",
@@ -350,7 +358,8 @@ def series_rooms(requests: DataFrame, iaq: DataFrame) -> tuple[DataFrame, DataFr
 def series_with_band(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
                      kg_disabled: bool = False) -> DataFrame:
     """J-2: (series, Date, value, band) rows of every series that a parsed
-    plot request asks for, in (series, Date) order within partitions.  A
+    plot request asks for, in (series, Date, location) order: ranges of that
+    order, sampled, are dealt to tasks, so a long series spans several.  A
     request without a date asks for all dates.  The band needs both bounds,
     only for banded metrics, absent when KG off.  `series_requests` has the
     requests and their series.
@@ -375,7 +384,7 @@ def series_with_band(requests: DataFrame, iaq: DataFrame, dim: DataFrame,
                    plot_title(F.col("metric"), F.col("date_from"), F.col("date_to"), F.col("room")).alias("title"),
                    F.when(on_one_day, F.concat(F.lit("time on "), "date_from")).otherwise(F.lit("time"))
                    .alias("x_label"))
-    return out.repartition("series").sortWithinPartitions("series", "Date", "location")
+    return out.orderBy("series", "Date", "location")
 
 
 def series_requests(requests: DataFrame, iaq: DataFrame) -> DataFrame:

@@ -42,6 +42,75 @@ def q_room_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                            for c in merged.columns])
 
 
+def _broken_rooms(spark, sf_dir) -> list[str]:
+    """Room CSVs in which some texts are no dates and no numbers."""
+    iaq = fx.iaq(spark, sf_dir)
+    h, out = F.hour("Date"), scratch_path(spark, "broken-rooms")
+    text = iaq.select("location", F.when(h == 5, F.lit("yesterday")).when(h == 6, F.lit(" ")).otherwise(F.col("Date").cast("string")).alias("Date"),
+                      F.when(h == 3, F.lit("n/a")).when(h == 4, F.lit("NaN")).otherwise(F.lit("21.5")).alias("temperature_c"),
+                      F.when(h < 2, F.lit(None).cast("string")).otherwise(F.lit("4e1")).alias("humidity_rh"),
+                      F.when(h % 2 == 0, F.lit("3.0 of 4")).otherwise(F.lit("4")).alias("samples_per_hour"))
+    parts = {r: text.where(F.col("location") == r) for r in fx.ROOMS}
+    parts["kitchen"] = parts["kitchen"].drop("samples_per_hour")
+    return files.write_room_csvs(parts, out)
+
+
+def q_room_csv_quality(spark, sf_dir):
+    """S-5: values that are missing or do not parse, by file and column."""
+    return files.room_csv_quality(spark, _broken_rooms(spark, sf_dir), room.METRICS)
+
+
+def q_room_csv_override(spark, sf_dir):
+    """S-2: the single file replaces the rooms' files; without a location
+    column and a room in its name, its location is unknown."""
+    iaq = fx.iaq(spark, sf_dir)
+    folder = scratch_path(spark, "override")
+    files.write_room_csvs({r: iaq.where(F.col("location") == r) for r in fx.ROOMS}, folder)
+    iaq.where(F.col("location") == "office").drop("location").write.option("header", True).csv(os.path.join(folder, files.SINGLE_FILE))
+    merged = files.read_room_csvs(spark, files.list_room_csvs(spark, folder), room.METRICS)
+    return merged.select(F.col("Date").cast("string").alias("Date"), "location", "IAQ_class", "samples_per_hour",
+                         stable_round("temperature_c", 6).alias("temperature_c"))
+
+
+def q_kg_file_lineage(spark, sf_dir):
+    """K-10: the graph's datasets beside the files of a room scan."""
+    iaq = fx.iaq(spark, sf_dir)
+    parts = {r: iaq.where(F.col("location") == r) for r in fx.ROOMS}
+    parts["attic"] = parts["office"].where(F.hour("Date") == 0)
+    paths = files.write_room_csvs(parts, scratch_path(spark, "lineage"))
+    return kg.dataset_lineage(kg.graph(spark, sf_dir), files.room_file_rows(spark, paths))
+
+
+def q_latency_sketch(spark, sf_dir):
+    """A-16 by stored sketches: one for each (run, model, slice), written,
+    read back and merged by (run, model); whether the estimates' ranks keep
+    the stated error (one value of slack, ranks being whole)."""
+    p = ev.parse_predictions(fx.prediction_inputs(spark, sf_dir)).withColumn("slice", F.col("image_path").cast("long") % 7)
+    path = scratch_path(spark, "sketches")
+    ev.latency_sketches(p, ["run", "model", "slice"]).write.partitionBy("slice").parquet(path)
+    names = {"median": 0.5, "p95": 0.95}
+    estimates = ev.sketched_quantiles(spark.read.parquet(path), ["run", "model"], names)
+    spans = ev.rank_spans(p, estimates, ["run", "model"], list(names))
+    slack = F.lit(ev.SKETCH_ERROR) + 1 / F.col("n")
+    return spans.select("run", "model", "n", *[((F.col(f"{c}_below") <= q + slack) & (F.col(f"{c}_upto") >= q - slack)).alias(f"{c}_within")
+                                               for c, q in names.items()])
+
+
+def q_result_listing(spark, sf_dir):
+    """A-11: result files listed before and after a grading of some of them,
+    and which of them it changed."""
+    recs = fx.records(spark, sf_dir).select("file", "index", "order_key", "correct")
+    path = scratch_path(spark, "listed")
+    rf.write_result_files(recs, path)
+    schema = rf.result_schema(recs)
+    before = rf.result_listing(spark, path, schema).select("file", F.col("updated_at").alias("before")).checkpoint()
+    grades = fx.grades(spark, sf_dir, rf.read_result_files(spark, path, schema))
+    rf.grade_result_files(spark, path, schema, grades.where(F.col("file").startswith("nl_sql")).checkpoint())
+    after = rf.result_listing(spark, path, schema)
+    return after.join(before, "file").select("file", "task_type", "total", "graded", "pending", "correct", "progress_pct",
+                                             (F.col("updated_at") > F.col("before")).alias("changed"))
+
+
 def q_ntriples_scan(spark, sf_dir):
     """S-8: the graph written as N-Triples text and parsed back."""
     path = scratch_path(spark, "graph-nt")
@@ -51,18 +120,19 @@ def q_ntriples_scan(spark, sf_dir):
 
 def q_jsonl_roundtrip(spark, sf_dir):
     """S-9/S-10 + A-11: records written as JSON lines, one folder per
-    (task, model), read back with an explicit schema and counted per file."""
-    recs = fx.records(spark, sf_dir, with_index=False).withColumn("model_dir", tx.sanitize_name(F.col("model")))
+    (task, model, run), read back with an explicit schema and counted per file."""
+    run = F.concat(F.lit("r"), (F.col("order_key") % 4).cast("string"))
+    recs = fx.records(spark, sf_dir, with_index=False).withColumn("model_dir", tx.sanitize_name(F.col("model"))).withColumn("run", run)
     path = scratch_path(spark, "jsonl")
-    recs.write.mode("overwrite").partitionBy("task", "model_dir").json(path)
+    recs.write.mode("overwrite").partitionBy("task", "model_dir", "run").json(path)
     # two lines that are no records, in one of the folders
     broken = read_table(spark, sf_dir, "region").limit(2).select(F.lit("{not a record").alias("value"))
-    broken.write.mode("append").text(os.path.join(path, "task=nl_sql", "model_dir=1-URGENT"))
-    schema = T.StructType([f for f in recs.schema.fields if f.name not in ("task", "model_dir")])
+    broken.write.mode("append").text(os.path.join(path, "task=nl_sql", "model_dir=1-URGENT", "run=r0"))
+    schema = T.StructType([f for f in recs.schema.fields if f.name not in ("task", "model_dir", "run")])
     back = files.read_json_lines(spark, path, schema) \
-        .select("task", "model_dir", "correct", "_corrupt_record", "_metadata.file_modification_time")
+        .select("task", "model_dir", "run", "correct", "_corrupt_record", "_metadata.file_modification_time")
     good = F.col("_corrupt_record").isNull()
-    return back.groupBy("task", "model_dir").agg(
+    return back.groupBy("task", "model_dir", "run").agg(
         ev.count_if(good).alias("total"), ev.count_if(F.col("correct").isNotNull()).alias("graded"),
         ev.count_if(good & F.col("correct").isNull()).alias("pending"),
         ev.count_if(F.col("correct") == F.lit(True)).alias("correct"), ev.count_if(~good).alias("corrupt"),
@@ -150,14 +220,14 @@ def _artifact_rows(spark, sf_dir) -> DataFrame:
 
 
 def q_artifact_scan(spark, sf_dir):
-    """S-17: response texts per (model folder, NN_condition_request), parsed
-    back from their paths; one stray text among them."""
+    """S-17: response texts per (model folder, NN_condition_request), packed
+    many to a file and parsed back from their paths; one stray text among them."""
     root = scratch_path(spark, "responses")
     rows = _artifact_rows(spark, sf_dir)
     stray = read_table(spark, sf_dir, "region").limit(1).select(
         F.lit("notes").alias("model_dir"), F.lit("readme").alias("stem"), F.lit("not a response").alias("content"))
-    files.write_artifacts(rows.union(stray), root)
-    return files.scan_artifacts(spark, root).withColumn("stray", F.col("stray").isNotNull())
+    files.pack_artifacts(rows.union(stray), root)
+    return files.scan_packed_artifacts(spark, root).withColumn("stray", F.col("stray").isNotNull())
 
 
 def q_ablation_records(spark, sf_dir):
@@ -232,6 +302,11 @@ def q_stream_grades(spark, sf_dir):
 
 QUERIES = {
     "room_csv_scan": q_room_csv_scan,
+    "room_csv_quality": q_room_csv_quality,
+    "room_csv_override": q_room_csv_override,
+    "kg_file_lineage": q_kg_file_lineage,
+    "latency_sketch": q_latency_sketch,
+    "result_listing": q_result_listing,
     "ntriples_scan": q_ntriples_scan,
     "jsonl_roundtrip": q_jsonl_roundtrip,
     "csv_roundtrip": q_csv_roundtrip,

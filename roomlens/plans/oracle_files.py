@@ -5,9 +5,9 @@ the table-side computation of the same result."""
 
 from __future__ import annotations
 
-from roomlens.plans.oracle_eval import ACC, CONF, LAT, PRED, RECS, eval_sql
-from roomlens.plans.oracle_kg import triples_cte
-from roomlens.plans.oracle_sql import room_sql
+from roomlens.plans.oracle_eval import ACC, CONF, GRADES, LAT, PRED, R, RECS, eval_sql
+from roomlens.plans.oracle_kg import kg_sql, triples_cte
+from roomlens.plans.oracle_sql import IAQ, room_sql
 
 SANITIZE = ("coalesce(nullif(regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), "
             "'[^A-Za-z0-9._-]+', '_', 'g'), ''), 'default')")
@@ -17,14 +17,41 @@ def files_sql() -> dict[str, str]:
     rs, es = room_sql(), eval_sql()
     q: dict[str, str] = {}
     q["room_csv_scan"] = rs["union_rooms"]
+    q["room_csv_quality"] = f"""with {IAQ},
+      r as (select location, location || '_measurements_IAQ_1h_avg.csv' as file, hour("Date") as h from iaq)
+      select file, c as "column", count(*) as rows,
+             count(*) filter (where (c = 'Date' and h = 6) or (c = 'temperature_c' and h = 4) or (c = 'humidity_rh' and h < 2)) as missing,
+             count(*) filter (where (c = 'Date' and h = 5) or (c = 'temperature_c' and h = 3) or (c = 'samples_per_hour' and h % 2 = 0)) as bad
+      from r, (values ('Date'), ('temperature_c'), ('humidity_rh'), ('samples_per_hour')) cols(c)
+      where not (location = 'kitchen' and c = 'samples_per_hour') group by 1, 2"""
+    q["room_csv_override"] = f"""with {IAQ}
+      select cast("Date" as varchar) as "Date", 'unknown' as location, IAQ_class, samples_per_hour, {R('temperature_c', 6)} as temperature_c
+      from iaq where location = 'office'"""
+    q["kg_file_lineage"] = f"""with {IAQ}, d as ({kg_sql()['kg_datasets']}),
+      f as (select location || '_measurements_IAQ_1h_avg.csv' as file, count(*) as rows_read from iaq group by 1
+            union all select 'attic_measurements_IAQ_1h_avg.csv', count(*) from iaq where location = 'office' and hour("Date") = 0 having count(*) > 0)
+      select d.dataset, d.llabel, coalesce(d.file, f.file) as file, f.rows_read,
+             case when f.file is null then 'no-file' when d.dataset is null then 'no-dataset' else 'read' end as status
+      from d full join f on f.file = d.file"""
+    q["latency_sketch"] = f"""with {PRED} select run, model, count(latency_s) as n, true as median_within, true as p95_within
+      from p group by run, model having count(latency_s) > 0"""
+    q["result_listing"] = f"""with {RECS}, {GRADES},
+      last as (select * from (select *, row_number() over (partition by file, "index" order by graded_at desc, correct desc, note desc) as rn
+               from grades where file like 'nl_sql%') where rn = 1),
+      g as (select r.file, l.file is not null as hit, case when l.file is not null then l.correct else r.correct end as correct
+            from recs r left join last l on l.file = r.file and l."index" = r."index")
+      select file, split_part(file, '_r', 1) as task_type, count(*) as total, count(*) filter (where correct is not null) as graded,
+             count(*) filter (where correct is null) as pending, count(*) filter (where correct) as correct,
+             cast(round(count(*) filter (where correct is not null) * 100.0 / count(*), 0) as bigint) as progress_pct, bool_or(hit) as changed
+      from g group by file"""
     q["ntriples_scan"] = f"with {triples_cte()} select s, p, o, o_type from triples"
     q["jsonl_roundtrip"] = f"""with {RECS}
-      select task, {SANITIZE.format(x='model')} as model_dir, count(*) as total,
+      select task, {SANITIZE.format(x='model')} as model_dir, 'r' || cast(order_key % 4 as varchar) as run, count(*) as total,
              count(*) filter (where correct is not null) as graded, count(*) filter (where correct is null) as pending,
              count(*) filter (where correct) as correct,
-             case when task = 'nl_sql' and {SANITIZE.format(x='model')} = '1-URGENT' then 2 else 0 end as corrupt,
+             case when task = 'nl_sql' and {SANITIZE.format(x='model')} = '1-URGENT' and order_key % 4 = 0 then 2 else 0 end as corrupt,
              true as modified_known
-      from recs1 group by 1, 2, corrupt"""
+      from recs1 group by 1, 2, 3, corrupt"""
     q["csv_roundtrip"] = f"""with {PRED},
       r as (select model, true_label,
                    case when cast(image_path as bigint) % 13 = 0 then ''

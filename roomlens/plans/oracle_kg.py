@@ -18,7 +18,7 @@ def triples_cte() -> str:
     met = f"{_q(EX + 'metric_')} || replace(p_name, ' ', '_')"
     pol = f"{_q(EX + 'policy_')} || regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g')"
     ds = f"{_q(EX + 'dataset_')} || cast(c_custkey as varchar)"
-    return f"""triples as (
+    return f"""triples as materialized (
   select * from (values
     {seed}) t(s, p, o, o_type)
   union all select {nat}, {T}, {ex('Location')}, 'iri' from nation
@@ -102,7 +102,7 @@ def kg_sql() -> dict[str, str]:
 
 def seed_triples_cte() -> str:
     seed = ",\n    ".join(f"({_q(s)}, {_q(p)}, {_q(o)}, {_q(k)})" for s, p, o, k in seed_rows())
-    return f"triples as (select * from (values\n    {seed}) t(s, p, o, o_type))"
+    return f"triples as materialized (select * from (values\n    {seed}) t(s, p, o, o_type))"
 
 
 def context_ctes(texts: str, id_col: str, text_col: str, limit: int = 6) -> str:

@@ -74,6 +74,9 @@ def text_sql() -> dict[str, str]:
       select cast(cast("Date" as date) as varchar) as day, location,
              cast(round(cast(round(avg(temperature_c), 8) as decimal(38, 8)), 6) as double) as avg_temp, cast(round(cast(round(avg(humidity_rh), 8) as decimal(38, 8)), 6) as double) as avg_hum
       from iaq where lower(location) like '%kitchen%' group by 1, 2"""
+    for name, sql in tq.GUARDED_SQL.items():
+        sql = sql.replace("count(distinct IAQ_class, heat_stable)", "count(distinct (IAQ_class, heat_stable)) filter (where IAQ_class is not null)")
+        q[f"guarded_{name}"] = f"with {IAQ} {sql}"
     words = ", ".join(f"({_q(m)}, {_q(w)})" for m, w in cases.CASE_METRICS)
     mm = ", ".join("(" + ", ".join(_q(x) for x in row) + ")" for row in cases.MINMAX_CASES)
     q["score_generated_sql"] = f"""with {IAQ}, {GEN}, {CLEAN},

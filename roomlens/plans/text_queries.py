@@ -19,6 +19,47 @@ DAILY_AVG_SQL = (
     "round(round(avg(temperature_c), 8), 6) as avg_temp, round(round(avg(humidity_rh), 8), 6) as avg_hum "
     "from iaq where lower(location) like '%kitchen%' group by 1, 2")
 
+# Statements as users type them for the guarded SQL surface: what the engine
+# has no operator for is reached this way.  They run as they stand in both
+# engines.
+GUARDED_SQL = {
+    "semi_join": """
+        select a.location, cast(cast(a.Date as date) as string) as day, count(*) as n from iaq a
+        where exists (select 1 from iaq b where b.Date = a.Date and b.location <> a.location and b.temperature_c > a.temperature_c)
+        group by 1, 2""",
+    "anti_join": """
+        select cast(a.Date as string) as at, a.location from iaq a
+        where not exists (select 1 from iaq b where b.Date = a.Date and b.location <> a.location and b.samples_per_hour >= a.samples_per_hour)""",
+    "range_join": """
+        select a.location, cast(cast(a.Date as date) as string) as day, count(*) as warmer_within_3h from iaq a
+        join iaq b on b.location = a.location and cast(b.Date as date) = cast(a.Date as date)
+          and b.Date > a.Date and b.Date <= a.Date + interval 3 hours and b.temperature_c > a.temperature_c
+        group by 1, 2""",
+    "intersect": """
+        select cast(cast(Date as date) as string) as day, hour(Date) as hr from iaq where location = 'kitchen' and temperature_c > 23
+        intersect select cast(cast(Date as date) as string), hour(Date) from iaq where location = 'office' and temperature_c > 23""",
+    "except": """
+        select cast(cast(Date as date) as string) as day, IAQ_class from iaq where location = 'hallway'
+        except select cast(cast(Date as date) as string), IAQ_class from iaq where location = 'office'""",
+    "distinct_aggregates": """
+        select location, count(distinct IAQ_class) as classes, count(distinct cast(Date as date)) as days,
+               cast(sum(distinct samples_per_hour) as bigint) as sizes, count(distinct IAQ_class, heat_stable) as pairs
+        from iaq group by location""",
+    "grouping_sets": """
+        select location, IAQ_class, count(*) as n from iaq
+        group by grouping sets ((location, IAQ_class), (location), ())""",
+    "cube": """
+        select location, heat_stable, cast(grouping(location) as int) as all_rooms, cast(grouping(heat_stable) as int) as all_states,
+               count(*) as n, max(samples_per_hour) as most from iaq group by cube (location, heat_stable)""",
+    "rollup": """
+        select location, cast(cast(Date as date) as string) as day, count(*) as n, cast(sum(samples_per_hour) as bigint) as samples
+        from iaq group by rollup (location, cast(cast(Date as date) as string))""",
+    "window": """
+        select cast(Date as string) as at, location, samples_per_hour - lag(samples_per_hour) over w as step,
+               cast(rank() over (partition by cast(Date as date) order by samples_per_hour desc, Date, location) as int) as rk
+        from iaq window w as (partition by location, cast(Date as date) order by Date)""",
+}
+
 # Prompt text blocks of the question-to-SQL request (X-19).
 SYSTEM_SQL = ("You are a data assistant that writes a single valid DuckDB SQL query to answer a question. "
               "Only output the SQL. Do not include explanations or code fences.")
@@ -48,6 +89,12 @@ def q_guarded_query(spark, sf_dir):
     return guarded_sql(spark, DAILY_AVG_SQL, {"iaq": fx.iaq(spark, sf_dir)})
 
 
+def _guarded(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return guarded_sql(spark, sql, {"iaq": fx.iaq(spark, sf_dir)})
+    return run
+
+
 def q_score_generated_sql(spark, sf_dir):
     """J-3: stored answers of the question-to-SQL task scored against the
     set-based ground truth (A-1), with X-12 extraction and X-11 tolerance.
@@ -140,6 +187,7 @@ QUERIES = {
     "clean_sql": q_clean_sql,
     "guard_sql": q_guard_sql,
     "guarded_query": q_guarded_query,
+    **{f"guarded_{name}": _guarded(sql) for name, sql in GUARDED_SQL.items()},
     "score_generated_sql": q_score_generated_sql,
     "prompt_assembly": q_prompt_assembly,
 }

@@ -6,18 +6,15 @@ A "file" of the reference (one CSV per room, one JSONL per run) is a Spark
 output directory here (one folder of part files), so name-derived fields are
 taken from the folder segment of the path.
 
-``write_item_files`` is the one place Python touches data: a mapInPandas
-task writes each row of its partition as a separate file (images, response
-texts) into the shared folder and returns the paths it wrote.  Files are
-written to a temporary name and renamed, so a retried task overwrites
-instead of leaving half-written files.
+Nothing here runs in Python: all rows are read and written by Spark's own
+sources.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,48 +61,115 @@ def _first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return out
 
 
-def read_room_csvs(spark: SparkSession, paths: list[str], metric_cols: list[str]) -> DataFrame:
+def _file_name() -> Column:
+    """Lower-cased name of the file a row came from (or of its folder, for
+    Spark-written part files); the path is percent-decoded."""
+    return F.lower(_own_name())
+
+
+def _own_name() -> Column:
+    parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+    return F.element_at(F.filter(parts, lambda x: ~x.startswith("part-")), -1)
+
+
+# Column types of room files beside the metrics, which are doubles.
+_ROOM_TYPES = {"heat_stable": "boolean", "samples_per_hour": "int"}
+
+
+def _typed(c: str, metric_cols: list[str]) -> Column | None:
+    """The value of a typed column, NULL where its text does not parse; None
+    for columns that stay text."""
+    if c == "Date":
+        return F.try_to_timestamp(F.col(c)).cast("timestamp_ntz")
+    if c in metric_cols:
+        # NaN text would parse to NaN; the engine keeps NULL only (trap 1)
+        v = F.col(c).try_cast("double")
+        return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    return F.col(c).try_cast(_ROOM_TYPES[c]) if c in _ROOM_TYPES else None
+
+
+def _bad(c: str, metric_cols: list[str]) -> Column:
+    """Whether a typed column holds a text that is no value: not NULL, not
+    blank, and not a metric's NaN."""
+    blank = F.trim(F.col(c)) == ""
+    known = _typed(c, metric_cols).isNotNull()
+    if c in metric_cols:
+        known = known | F.isnan(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
+    return F.col(c).isNotNull() & ~blank & ~known
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """One all-text read for each distinct header line, in its order."""
+    by_header: dict[str, list[str]] = {}
+    for path, header in _first_lines(spark, sorted(paths)).items():
+        by_header.setdefault(header, []).append(path)
+    if not by_header:
+        raise FileNotFoundError("No IAQ CSV files found")
+    return [spark.read.option("header", True).csv(by_header[h]) for h in sorted(by_header)]
+
+
+def read_room_csvs(spark: SparkSession, paths: list[str], metric_cols: list[str],
+                   quality: Observation | None = None) -> DataFrame:
     """S-1 + S-3 + S-4 + S-5: files are grouped by their header line and each
     group is one CSV read (so the plan grows with the number of distinct
     headers, not files); a missing location comes from the file name; types
     are coerced (bad timestamps/numbers become NULL); groups are unioned by
-    name and columns sorted."""
-    by_header: dict[str, list[str]] = {}
-    for path, header in _first_lines(spark, sorted(paths)).items():
-        by_header.setdefault(header, []).append(path)
-    parts = []
-    for header in sorted(by_header):
-        df = spark.read.option("header", True).csv(by_header[header])   # all strings
-        # from the start of the file's own name (or its folder's, for
-        # Spark-written part files), Unicode \w; the path is percent-decoded
-        name = F.element_at(F.filter(F.split(F.lower(F.url_decode(F.replace(
-            F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))), "/"), lambda x: ~x.startswith("part-")), -1)
-        name_loc = F.regexp_extract(name, r"(?U)^(\w+)_measurements_iaq_1h_avg\.csv$", 1)
+    name and columns sorted.
+
+    ``quality`` is filled by the first action on the result, in the same pass:
+    `rows`, and for each typed column `bad_<column>`, the texts that did not
+    parse.  `room_csv_quality` has the counts by file."""
+    parts, typed_cols = [], set()
+    for df in _by_header(spark, paths):
+        name_loc = F.regexp_extract(_file_name(), r"(?U)^(\w+)_measurements_iaq_1h_avg\.csv$", 1)
         if "location" not in df.columns:
             df = df.withColumn("location", F.when(name_loc != "", name_loc).otherwise(F.lit("unknown")))
-        casts = []
+        casts, flags = [], []
         for c in df.columns:
-            if c == "Date":
-                casts.append(F.try_to_timestamp(F.col(c)).cast("timestamp_ntz").alias(c))
-            elif c == "location":
-                casts.append(F.lower(F.col(c)).alias(c))
-            elif c in metric_cols:
-                # NaN text would parse to NaN; the engine keeps NULL only (trap 1)
-                v = F.col(c).try_cast("double")
-                casts.append(F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v).alias(c))
-            elif c == "heat_stable":
-                casts.append(F.col(c).try_cast("boolean").alias(c))
-            elif c == "samples_per_hour":
-                casts.append(F.col(c).try_cast("int").alias(c))
-            else:
-                casts.append(F.col(c))
-        parts.append(df.select(*casts))
-    if not parts:
-        raise FileNotFoundError("No IAQ CSV files found")
+            typed = _typed(c, metric_cols)
+            casts.append(F.lower(F.col(c)).alias(c) if c == "location" else F.col(c) if typed is None else typed.alias(c))
+            if typed is not None and quality is not None:
+                flags.append(_bad(c, metric_cols).alias(f"_bad_{c}"))
+                typed_cols.add(c)
+        parts.append(df.select(*casts, *flags))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.select(*sorted(out.columns))
+    columns = sorted(c for c in out.columns if not c.startswith("_bad_"))
+    if quality is not None:
+        out = out.observe(quality, F.count(F.lit(1)).alias("rows"),
+                          *[F.count_if(F.col(f"_bad_{c}")).alias(f"bad_{c}") for c in sorted(typed_cols)])
+    return out.select(*columns)
+
+
+def room_csv_quality(spark: SparkSession, paths: list[str], metric_cols: list[str]) -> DataFrame:
+    """S-5's check: (file, column, rows, missing, bad) for every typed column
+    of every file: rows read, values that are absent (NULL, blank or NaN) and
+    texts that are no value of the column's type.  A file without rows gives
+    none."""
+    parts = []
+    for df in _by_header(spark, paths):
+        cols = [c for c in df.columns if _typed(c, metric_cols) is not None]
+        counts = [F.struct(F.lit(c).alias("column"), F.col(f"_m_{i}").alias("missing"), F.col(f"_b_{i}").alias("bad"))
+                  for i, c in enumerate(cols)]
+        flagged = df.select(_own_name().alias("file"), *[x.alias(n) for i, c in enumerate(cols) for n, x in (
+            (f"_b_{i}", _bad(c, metric_cols)), (f"_m_{i}", _typed(c, metric_cols).isNull() & ~_bad(c, metric_cols)))])
+        sums = flagged.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), *[
+            F.count_if(F.col(n)).alias(n) for i in range(len(cols)) for n in (f"_b_{i}", f"_m_{i}")])
+        parts.append(sums.select("file", "rows", F.inline(F.array(*counts))).select("file", "column", "rows", "missing", "bad"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def room_file_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, rows_read) of the scanned room files, by `_metadata`."""
+    out = None
+    for df in _by_header(spark, paths):
+        names = df.select(_own_name().alias("file"))
+        out = names if out is None else out.union(names)
+    return out.groupBy("file").agg(F.count(F.lit(1)).alias("rows_read"))
 
 
 def list_room_csvs(spark: SparkSession, folder: str) -> list[str]:
@@ -189,11 +253,14 @@ def check_base64(df: DataFrame, b64_col: str) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
-    """S-14: recursive, image extensions case-insensitively, with the S-15
-    base64 text of each file."""
+    """S-14: recursive, image extensions case-insensitively, in order of the
+    path, with the S-15 base64 text of each file.  A folder without images is
+    a FileNotFoundError (only paths are read to see that)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .where(F.col("path").rlike(IMAGE_EXT_RE)))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"No images found under {root}")
+    return files.orderBy("path").select(F.element_at(F.split("path", "/"), -1).alias("name"),
                         F.lower(F.regexp_extract("path", IMAGE_EXT_RE, 1)).alias("ext"),
                         F.base64("content").alias("b64"))
 
@@ -211,15 +278,32 @@ def write_artifacts(rows: DataFrame, root: str) -> None:
         .write.mode("overwrite").partitionBy("model_dir", "stem").text(root)
 
 
+def pack_artifacts(rows: DataFrame, root: str) -> None:
+    """The same texts in a packed container: many (path, content) rows a
+    file, so millions of texts are not millions of folders.  The path is what
+    a plain tree would have: model folder, then `stem.txt`."""
+    rows.select(F.concat("model_dir", F.lit("/"), "stem", F.lit(".txt")).alias("path"), "content") \
+        .write.mode("overwrite").parquet(root)
+
+
+def scan_packed_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """`scan_artifacts` over a packed container."""
+    t = spark.read.schema("path string, content string").parquet(root)
+    return _artifact_columns(t, F.concat(F.lit("/"), F.col("path")), F.col("content"))
+
+
 def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Texts with what their path says; a file whose path says nothing stays,
     with its path and NULL elsewhere."""
     t = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    p = F.col("_metadata.file_path")
+    return _artifact_columns(t, F.col("_metadata.file_path"), F.regexp_replace("value", r"\n$", ""))
+
+
+def _artifact_columns(t: DataFrame, p: Column, text: Column) -> DataFrame:
     part = [F.nullif(F.regexp_extract(p, ARTIFACT_RE, i), F.lit("")) for i in range(7)]
     return t.select(part[1].alias("model"), part[2].try_cast("long").alias("index"), part[3].alias("condition"),
                     F.replace(part[4], F.lit("_"), F.lit(" ")).alias("metric_word"), part[5].alias("date"),
-                    part[6].alias("location"), F.regexp_replace("value", r"\n$", "").alias("text"),
+                    part[6].alias("location"), text.alias("text"),
                     F.when(part[0].isNull(), F.element_at(F.split(p, "/"), -1)).alias("stray"))
 
 

@@ -63,3 +63,11 @@ def grade_result_files(spark: SparkSession, path: str, schema: T.StructType, gra
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").json(path)
     remove_scratch(spark, staged)
     return rejected
+
+
+def result_listing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A-11: the counts of each result file and `updated_at`, the time of its
+    latest change."""
+    own = [f.name for f in schema.fields]
+    rows = read_result_files(spark, path, schema).select(*own, F.col("_metadata.file_modification_time").alias("_changed"))
+    return ev.file_counts(rows, modified_col="_changed")
