@@ -33,6 +33,11 @@ DEFAULT_CONF = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# A query's shuffle files go when it ends.  They serve its retries; later
+# queries read written tables and checkpoints, so over a long job the shuffle
+# files of earlier steps would only fill the executors' disks.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "roomlens") -> SparkSession:
@@ -56,8 +61,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` names it.  Unset on a local master: a temporary
     folder, removed when the process ends.  Unset on a cluster: ValueError,
-    since a driver-local folder is not visible to executors."""
+    since a driver-local folder is not visible to executors.  Every operator
+    with written steps asks for it, so the session's shuffle cleaning is
+    switched on here too."""
     sc = spark.sparkContext
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         if not sc.master.startswith("local[") and sc.master != "local":
