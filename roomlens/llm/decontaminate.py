@@ -25,9 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomlens.llm.common import WordHasher, kgrams, mix64, text_runs, words_of
+from roomlens.session import scratch_path
 
 BITS = 64
 _SEEN = 1 << 20
+_MASK = (1 << 64) - 1
+WORDS = r"[^\x20\x09-\x0D]+"
+# Words of the items that are indexed at a time.
+BLOCK_WORDS = 2_000_000
 SCHEMA = "contaminated boolean, n_items long, item_ids array<long>, max_similarity double"
 
 
@@ -135,12 +140,13 @@ class ItemIndex:
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", k: int = 5, at_least: float = 0.75,
-                  blocks: int = 4, radius: int = 15, block_items: int = 20_000) -> DataFrame:
+                  blocks: int = 4, radius: int = 15, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, contaminated, n_items, item_ids, max_similarity) for every row.
 
-    The items are a stated query set: they are taken in blocks of
-    ``block_items``, each indexed on the driver (its size is bounded by that
-    number) and compared with all texts.
+    The items are a stated query set: they are taken in blocks of about
+    ``block_words`` words, each indexed on the driver (items, fingerprints and
+    the weights of their own shingles are bounded by that number) and compared
+    with all texts.  How many items hold a shingle is counted in Spark.
 
     Null text counts as empty, which matches nothing (similarity 0); items
     that are null or without words match nothing.  Items of fewer than k
@@ -148,58 +154,67 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     passed through; equal items under several ids all count.  Other columns
     are ignored."""
     texts = docs.select(F.col(f"`{id_col}`").alias("row_"), F.col(f"`{text_col}`").alias("text_"))
-    return _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_items) \
+    return _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_words) \
         .withColumnRenamed("row_", id_col)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                          item_text_col: str = "text", k: int = 5, at_least: float = 0.75, blocks: int = 4,
-                         radius: int = 15, block_items: int = 20_000) -> DataFrame:
+                         radius: int = 15, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that match no item (as above)."""
     texts = docs.select(F.struct("*").alias("row_"), F.col(f"`{text_col}`").alias("text_"))
-    return _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_items) \
+    return _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_words) \
         .where("not contaminated").select("row_.*")
 
 
 def _matched(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, k: int, at_least: float,
-             blocks: int, radius: int, block_items: int) -> DataFrame:
+             blocks: int, radius: int, block_words: int) -> DataFrame:
     spark = texts.sparkSession
     rows = items.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")) \
         .where("i is not null")
-    groups = max(1, -(-rows.count() // block_items))
-    weights, unseen = _weights(rows, k)
+    words, total = rows.select(F.regexp_count("t", F.lit(WORDS)).alias("n")).agg(
+        F.sum("n"), F.coalesce(F.count_if(F.col("n") > 0), F.lit(0))).first()
+    groups = max(1, -(-(words or 0) // block_words))
+    shingles = rows.mapInArrow(_item_shingles(k), "i long, x long")
+    shared = shingles.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    unseen = float(np.log1p(total))
+    if groups > 1:
+        # every block scans the same written rows, which have their number in them
+        path = scratch_path(spark, "scanned-texts")
+        texts.withColumn("at_", F.monotonically_increasing_id()).write.parquet(path)
+        texts = spark.read.parquet(path)
     found = None
     for g in range(groups):
-        block = rows.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g) if groups > 1 else rows
-        listed = sorted((r.i, w) for r in block.collect() if (w := words_of(r.t or "")))
+        here = F.pmod(F.xxhash64("i"), F.lit(groups)) == g
+        listed = sorted((r.i, w) for r in rows.where(here).collect() if (w := words_of(r.t or "")))
+        weights = {r.x & _MASK: float(np.log1p(total / r.c)) for r in
+                   shared.join(shingles.where(here).select("x").distinct(), "x").collect()}
         index = spark.sparkContext.broadcast(ItemIndex(listed, k, blocks, radius, weights, unseen))
         scanned = _scan(texts, index, at_least)
-        if groups > 1:
-            scanned = scanned.withColumn("at_", F.monotonically_increasing_id())
         found = scanned if found is None else found.unionByName(scanned)
-    if groups > 1:  # the same scan gives each row the same number in every block
-        found = found.groupBy("at_").agg(
-            F.first("row_").alias("row_"), F.max("contaminated").alias("contaminated"),
-            F.sum("n_items").alias("n_items"), F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
-            F.max("max_similarity").alias("max_similarity")).drop("at_")
+    if groups > 1:
+        marks = found.drop("row_").groupBy("at_").agg(
+            F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"),
+            F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("max_similarity").alias("max_similarity"))
+        found = texts.select("at_", "row_").join(marks, "at_").drop("at_")
     return found
 
 
-def _weights(rows: DataFrame, k: int) -> tuple[dict[int, float], float]:
-    """Weights of the shingles that several items hold, and that of others."""
-    count: dict[int, int] = {}
-    hasher = WordHasher()
-    total = 0
-    for r in rows.select("t").toLocalIterator():
-        w = words_of(r.t or "")
-        total += bool(w)
-        if w:
-            for x in np.unique(kgrams(hasher.flat([w])[0], min(k, len(w)))).tolist():
-                count[x] = count.get(x, 0) + 1
-    return {x: float(np.log1p(total / c)) for x, c in count.items() if c > 1}, float(np.log1p(total))
+def _item_shingles(k: int):
+    """Distinct shingles of each item, all of its words if it has fewer."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words_of(t or "")
+                if w:
+                    x = np.unique(kgrams(hasher.flat([w])[0], min(k, len(w)))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(x)], names=["i", "x"])
+    return work
 
 
 def _scan(texts: DataFrame, index, at_least: float) -> DataFrame:
+    numbered = "at_" in texts.columns
     kind = texts.schema["row_"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +229,7 @@ def _scan(texts: DataFrame, index, at_least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([bool(m) for m in out]), pa.array([len(m) for m in out], pa.int64()),
                  pa.array([sorted(own.ids[i] for i in m) for m in out], pa.list_(pa.int64())),
-                 pa.array([max(m.values(), default=0.0) for m in out], pa.float64())],
-                names=["row_", "contaminated", "n_items", "item_ids", "max_similarity"])
+                 pa.array([max(m.values(), default=0.0) for m in out], pa.float64())] + [batch.column(i) for i in range(2, batch.num_columns)],
+                names=["row_", "contaminated", "n_items", "item_ids", "max_similarity"] + ["at_"] * numbered)
 
-    return texts.mapInArrow(work, f"row_ {kind}, {SCHEMA}")
+    return texts.mapInArrow(work, f"row_ {kind}, {SCHEMA}" + ", at_ long" * numbered)

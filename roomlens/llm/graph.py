@@ -38,9 +38,5 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # small: every smaller neighbour, and the node, point to the smallest
         e = small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")) \
             .distinct().checkpoint()
-        # Spark's cleaner removes the shuffle files of a round once the JVM
-        # has collected its plans; many small rounds would pile them up.
-        del both, low, large, small
-        e.sparkSession.sparkContext._jvm.System.gc()
     named = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return named.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).distinct()

@@ -31,17 +31,19 @@ from roomlens.llm.common import text_runs
 # Fixed values of the model format: kinds of pieces and the space mark.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-CACHE = 120_000
+# Units kept in each of a worker's two generations: about 120 bytes each.
+CACHE = 300_000
 
 
 class PieceTable:
     """Encoder and decoder of one merge-type model file."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, cache: int = CACHE):
         from sentencepiece import sentencepiece_model_pb2 as pb
         model = pb.ModelProto()
         with open(model_file, "rb") as f:
             model.ParseFromString(f.read())
+        self.cache = cache
         rules = model.normalizer_spec
         if model.trainer_spec.model_type != 2 or rules.precompiled_charsmap or rules.remove_extra_whitespaces \
                 or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
@@ -92,7 +94,7 @@ class PieceTable:
 
     def compatible(self, left: str, right: str) -> bool:
         known = left not in self.score or self.merged(left + right) == [left, right]
-        if len(self.pairs) >= CACHE:
+        if len(self.pairs) >= self.cache:
             self.pairs.clear()
         self.pairs[left, right] = known
         return known
@@ -151,7 +153,7 @@ class PieceTable:
             if shown != unit.replace(SPACE, " "):
                 self.odd[key] = shown
         if len(key) <= 64:
-            if len(self.young) >= CACHE:
+            if len(self.young) >= self.cache:
                 self.old, self.young = self.young, {}
             self.young[key] = hit
         return hit
@@ -230,24 +232,25 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_TABLES: dict[str, PieceTable] = {}
+_TABLES: dict[tuple[str, int], PieceTable] = {}
 
 
-def table_of(model_file: str) -> PieceTable:
-    """One table per worker process and model file."""
-    if model_file not in _TABLES:
-        _TABLES[model_file] = PieceTable(model_file)
-    return _TABLES[model_file]
+def table_of(model_file: str, cache: int = CACHE) -> PieceTable:
+    """One table per worker process, model file and cache size."""
+    if (model_file, cache) not in _TABLES:
+        _TABLES[model_file, cache] = PieceTable(model_file, cache)
+    return _TABLES[model_file, cache]
 
 
 def piece_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
-                 with_ids: bool = False, with_text: bool = False) -> DataFrame:
+                 with_ids: bool = False, with_text: bool = False, cache: int = CACHE) -> DataFrame:
     """Encode every whole text with an end id and decode it again.
 
     Returns id, n_tokens, ids_sha256 (decimal ids joined by one space) and
     decoded_sha256 (UTF-8), and with ``with_ids`` / ``with_text`` also
     ``ids array<int>`` and ``decoded``.  ``model_file`` is read by each worker and must be
-    installed on every machine.
+    installed on every machine.  ``cache`` is the number of units that a
+    worker keeps in each of two generations; it changes no result.
 
     Null text counts as empty, whose one id is the end id and whose decoded
     text is empty.  Null and repeated ids are passed through, one row each.
@@ -257,7 +260,7 @@ def piece_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(model_file)
+        table = table_of(model_file, cache)
         for batch in batches:
             for start, texts in text_runs(batch.column(1), 1_000_000):
                 n, a, b, c, d = [], [], [], [], []

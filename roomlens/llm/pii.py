@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,11 +83,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     overlapping; of overlapping ones the earlier in PATTERNS wins."""
     if not _HINT.search(text):
         return []
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # in order, none overlapping
 
     def put(a: int, b: int, kind: str) -> None:
-        if all(b <= x or a >= y for x, y, _, _ in taken):
-            taken.append((a, b, kind, canonical(kind, text[a:b])))
+        at = bisect(taken, (a,))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            taken.insert(at, (a, b, kind, canonical(kind, text[a:b])))
     for kind, rx in PATTERNS:
         for m in rx.finditer(text):
             put(m.start(), m.end(), kind)
@@ -102,7 +104,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             put(*m.span("b"), "surname")
     # Later and earlier mentions of the names found; of two kinds the first in the text.
     names: dict[str, str] = {}
-    for _, _, kind, form in sorted(taken):
+    for _, _, kind, form in taken:
         if kind in NAME_KINDS:
             names.setdefault(form, kind)
     if names:
@@ -110,7 +112,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             kind = names.get(m[0].lower())
             if kind:
                 put(*m.span(), kind)
-    return sorted(taken)
+    return taken
 
 
 def canonical(kind: str, mention: str) -> str:

@@ -22,7 +22,7 @@ from roomlens.llm.toxicity import fit_toxicity, score_toxicity
 from roomlens.llm.vector_join import near_links
 from roomlens.sources.tables import read_table
 
-PII_KEY = "replace by a secret of the deployment"
+PII_KEY = "roomlens.pii.key"
 MODEL_NAME = "piece_bpe_32k.model"
 
 
@@ -35,6 +35,15 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL_NAME)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates, from the session's setting.  Unset, it
+    is an error but on a local master, whose tables are tests."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {PII_KEY} to a secret of the deployment")
+    return key or "for tests only"
+
+
 def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), read_table(spark, sf_dir, "labels", "doc_id", "toxic")
     field = fit_toxicity(docs, labels.where(~held_out("doc_id", 4, 2)))
@@ -42,7 +51,7 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir), wide=True)
+    return dedup_lines(documents(spark, sf_dir))
 
 
 def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +75,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(documents(spark, sf_dir), PII_KEY)
+    return replace_pii(documents(spark, sf_dir), pii_key(spark))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

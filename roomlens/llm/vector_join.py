@@ -23,6 +23,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,9 +248,11 @@ def _one_length(rows: DataFrame, d: int, cosine: float) -> DataFrame:
     folder = mounted_folder(spark, "vectors")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A file number of its own for every attempt of a task; the table of
-        # numbers names those of the attempts that counted.
-        file = int(np.random.default_rng().integers(1 << 31))
+        # The number of the task's attempt, which no other attempt of the
+        # application has; the table of numbers names those that counted.
+        file = TaskContext.get().taskAttemptId()
+        if file >= 1 << 31:
+            raise ValueError("file numbers have 31 bits")
         units, sizes = [], []
         done = 0
         for batch in batches:

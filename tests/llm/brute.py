@@ -181,7 +181,45 @@ def edits(a, b):
     return row[-1]
 
 
-def deduped(rows, similarity=0.75, radius=3):
+def within_radius(lines, similarity=0.75, radius=3):
+    """Pairs of lines within the Hamming distance and the edit similarity."""
+    fp = {n: simhash(n) for n in lines}
+    return [(a, b) for a, b in itertools.combinations(lines, 2) if (fp[a] ^ fp[b]).bit_count() <= radius
+            and edits(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9)]
+
+
+def all_alike(lines, similarity=0.75):
+    """Pairs of lines of that edit similarity, from all pairs.  Lines of n
+    characters within k edits share n - 2 - 3k three-letter runs at least;
+    those that do are compared by a database, in which every character is made
+    a byte first, as it counts bytes."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+    code = {c: chr(33 + i) for i, c in enumerate(sorted({c for n in lines for c in n}))}
+    assert len(code) < 94
+    size = np.array([len(n) for n in lines])
+    runs = [collections.Counter(n[i:i + 3] for i in range(len(n) - 2)) for n in lines]
+    place = {r: i for i, r in enumerate(sorted({r for c in runs for r in c}))}
+    counts = np.zeros((len(lines), len(place)), np.uint16)
+    for i, c in enumerate(runs):
+        counts[i, [place[r] for r in c]] = list(c.values())
+    pairs = []
+    for i in range(len(lines) - 1):
+        most = np.maximum(size[i], size[i + 1:])
+        allowed = np.floor((1 - similarity) * most + 1e-9)
+        js = np.flatnonzero(np.abs(size[i + 1:] - size[i]) <= allowed)
+        need = most[js] - 2 - 3 * allowed[js]
+        own = np.flatnonzero(counts[i])
+        common = np.minimum(counts[np.ix_(i + 1 + js, own)], counts[i, own]).sum(1)
+        pairs += [(i, int(i + 1 + j), int(allowed[j])) for j in js[common >= need]]
+    text = ["".join(map(code.get, n)) for n in lines]
+    df = pd.DataFrame([(i, j, k, text[i], text[j]) for i, j, k in pairs], columns=["i", "j", "k", "x", "y"])
+    found = duckdb.connect().execute("select i, j from df where levenshtein(x, y) <= k").fetchall()
+    return [(lines[i], lines[j]) for i, j in found]
+
+
+def deduped(rows, alike=within_radius):
     """[(id, text after, dropped lines)] of (id, text) rows with distinct ids."""
     where = {}
     for d, t in rows:
@@ -190,11 +228,7 @@ def deduped(rows, similarity=0.75, radius=3):
             if n:
                 where.setdefault(n, []).append((d, p))
     lines = sorted(where)
-    fp = {n: simhash(n) for n in lines}
-    links = [(a, b) for a, b in itertools.combinations(lines, 2)
-             if (fp[a] ^ fp[b]).bit_count() <= radius
-             and edits(a.split(" "), b.split(" ")) <= int((1 - similarity) * max(a.count(" "), b.count(" ")) + (1 - similarity) + 1e-9)]
-    comp = components(lines, links)
+    comp = components(lines, alike(lines))
     groups = {}
     for n in lines:
         groups.setdefault(comp[n], []).extend(where[n])

@@ -11,7 +11,7 @@ from brute import prose
 from roomlens.llm import decontaminate, line_dedup, ngram_lm, piece_table
 from roomlens.llm.graph import connected_components
 from roomlens.llm.jaccard_join import jaccard_components, one_of_each
-from roomlens.llm.registry import model_path
+from roomlens.llm.registry import model_path, queries
 
 
 def test_components_of_a_path_a_star_and_odd_edges(spark):
@@ -41,7 +41,7 @@ def test_one_of_each_keeps_all_columns(odd):
 
 
 def test_line_dedup_equals_brute_force(docs, corpus):
-    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect())
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs, wide=False).collect())
     assert got == sorted(brute.deduped(corpus))
 
 
@@ -57,27 +57,48 @@ def test_simhash_of_long_lines(spark):
 def test_line_groups_do_not_depend_on_the_way(docs, corpus, monkeypatch, crowd):
     monkeypatch.setattr(line_dedup, "SAMPLE", 1)
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
-    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect())
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs, wide=False).collect())
     assert got == sorted(brute.deduped(corpus))
 
 
+def test_short_lines_meet_by_deletions(spark):
+    lines = "the thhe tha cat cot coat dog thnt enou enouw ouin.are ouen.aire organise organize a b ab abc xyzw yzwx".replace(".", "_").split()
+    lines = [x.replace("_", " ") for x in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()}
+    comp = brute.components(lines, brute.all_alike(lines))
+    assert {lines[i] for i, n in got.items() if not n} == {
+        min((x for x in lines if comp[x] == c), key=lines.index) for c in set(comp.values())}
+
+
+def test_line_dedup_finds_all_pairs_of_a_table(spark, sf_small):
+    """The registered form against edit similarity alone, over all pairs of
+    the lines of the smallest table."""
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in queries()["op2_fuzzy_line_dedup"](spark, sf_small).collect()}
+    assert got == {d: (t, n) for d, t, n in brute.deduped(texts, brute.all_alike)}
+
+
 def test_line_dedup_runs_no_python(spark, sf_small):
     import io
     from contextlib import redirect_stdout
     out = io.StringIO()
     with redirect_stdout(out):
-        line_dedup.dedup_lines(spark.read.parquet(f"{sf_small}/documents.parquet")).explain("formatted")
+        queries()["op2_fuzzy_line_dedup"](spark, sf_small).explain("formatted")
     assert not any(x in out.getvalue() for x in ("Python", "Arrow", "Pandas"))
 
 
 def test_line_dedup_odd_rows(odd):
-    out = line_dedup.dedup_lines(odd)
+    out = line_dedup.dedup_lines(odd, wide=False)
     assert out.columns == odd.columns + ["n_dropped", "all_dropped"]
     got = sorted(((r.doc_id, r.text, r.n_dropped, r.all_dropped) for r in out.collect()), key=repr)
     line = "Some words stand here in a row"
     assert got == sorted([(1, line, 0, False), (1, line, 0, False), (None, None, 0, False), (2, "", 0, False),
                           (None, "Other words stand here in a row", 0, False), (3, None, 0, False), (4, " ", 0, False),
                           (5, "mail me at bob@mail.example.com, you idiot", 1, False)], key=repr)
+    # beyond the radius: "other words ..." of the row without an id comes first
+    wide = sorted(((r.doc_id, r.text, r.n_dropped, r.all_dropped) for r in line_dedup.dedup_lines(odd).collect()), key=repr)
+    assert wide == sorted([(i, "" if i == 1 else t, 1 if i == 1 else n, i == 1) for i, t, n, _ in got], key=repr)
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
@@ -112,7 +133,7 @@ def test_wide_search_finds_lines_beyond_the_radius(spark):
     within = sum((brute.simhash(rows[a][1]) ^ brute.simhash(rows[b][1])).bit_count() <= 3 for a, b in near)
     assert within < len(near) / 2
     df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(lines)], "doc_id long, text string, n int")
-    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df, wide=True).collect()}
+    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()}
     want = brute.components(range(len(lines)), near)
     dropped = {i for i, n in out.items() if n}
     expected = {i for i, c in want.items() if c != i}
@@ -129,16 +150,16 @@ def items(rng, corpus):
             (6, "one two"), (7, verbatim), (8, " ".join(held[305].split()[2000:2055] + ["other"] * 40))]
 
 
-@pytest.mark.parametrize("block_items", [20_000, 3])
-def test_decontamination_equals_brute_force(spark, docs, corpus, block_items):
+@pytest.mark.parametrize("block_words", [2_000_000, 60])
+def test_decontamination_equals_brute_force(spark, docs, corpus, block_words):
     listed = items(random.Random(9), corpus)
     got = decontaminate.contamination(docs, spark.createDataFrame(listed, "item_id long, text string"),
-                                      block_items=block_items).collect()
+                                      block_words=block_words).collect()
     want = brute.contaminated(corpus, listed)
     assert len(got) == len(corpus)
     for r in got:
         assert r.item_ids == sorted(want[r.doc_id]) and r.contaminated == bool(want[r.doc_id])
-        if block_items > 10:
+        if block_words > 1000:
             assert math.isclose(r.max_similarity, max(want[r.doc_id].values(), default=0.0))
     assert [r.item_ids for r in got if r.doc_id == 305] == [[0, 1, 7]]
 
