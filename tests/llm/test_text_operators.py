@@ -115,6 +115,41 @@ def test_lines_are_compared_by_characters(spark):
     assert got == near == [(0, 1), (2, 4)]
 
 
+def test_long_lines_are_settled_by_words_only_where_edits_allow(spark):
+    """The count of changed words never accepts a pair that characters refuse,
+    and accepts some; the verdict on every pair is that of its edits."""
+    rng = random.Random(9)
+    rows, pairs = [], []
+    for share in (0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1):
+        a = [f"w{rng.randint(0, 400)}{'abcdefgh'[rng.randint(0, 7)] * rng.randint(1, 5)}" for _ in range(90)]
+        b = [x for w in a for x in ([w] if rng.random() >= share else rng.choice(([], [w, "more"], [w[::-1] + "é"])))]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "rk long, text string").withColumn("lh", F.col("rk"))
+    occurrences = df.select("lh", "rk", F.lit(0).alias("pos"))
+    both = spark.createDataFrame(pairs, "a long, b long")
+    text = dict(rows)
+    near = [(a, b) for a, b in pairs if 4 * brute.edits(text[a], text[b]) <= max(len(text[a]), len(text[b]))]
+    assert sorted(tuple(r) for r in line_dedup._alike(both, occurrences, df.drop("lh"), 0.75).collect()) == near
+    lines = spark.createDataFrame([(a, b, text[a], text[b], max(len(text[a]), len(text[b])) // 4) for a, b in pairs],
+                                  "a long, b long, x string, y string, allowed int")
+    sure = [tuple(r) for r in lines.where(line_dedup._few_words_changed(*map(F.col, ("x", "y", "allowed")))).select("a", "b").collect()]
+    assert 3 <= len(sure) and set(sure) <= set(near) and len(near) < len(pairs)
+
+
+def test_removed_lines_of_a_long_text_and_clashing_columns(spark):
+    rng = random.Random(4)
+    lines = [prose(rng, 12) + f" {i}" for i in range(40)]
+    again = [x for line in lines for x in (line, "-", "", f"Only here {rng.random()} {rng.random()} {line[::-1]}")]
+    names = "doc_id long, text string, gone_ long, rk_ string, parts_ long, _gone long, __ends long, lh long"
+    df = spark.createDataFrame([(1, "\n".join(lines), 5, "r", 6, 7, 8, 9), (2, "\n".join(again), 5, "r", 6, 7, 8, 9),
+                                (3, "\n".join(lines), 5, "r", 6, 7, 8, 9)], names)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    want = brute.deduped([(r.doc_id, r.text) for r in df.collect()], brute.all_alike)
+    assert {d: (r.text, r.n_dropped) for d, r in got.items()} == {d: (t, n) for d, t, n in want}
+    assert all(tuple(r)[2:8] == (5, "r", 6, 7, 8, 9) for r in got.values()) and got[3].all_dropped
+
+
 def test_wide_search_finds_lines_beyond_the_radius(spark):
     """Against edit similarity alone: nearly all near pairs share a candidate
     key, and no other pair is linked."""
