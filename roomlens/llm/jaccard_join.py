@@ -22,9 +22,11 @@ What bounds the work:
   prefix shingle are left, and those are tested all.  Every link between
   different components is therefore found, and the components are exact.
 
-A very frequent shingle is split: postings of a shingle that a task holds in
-more than ``hot`` texts go to extra shards dealt by (shingle, class), and its
-fragment only hears that it is frequent.
+A very frequent shingle is split: its postings go to extra shards dealt by
+(shingle, class), and its fragment only hears that it is frequent.  A task
+splits a shingle that one of its runs holds in more than ``hot`` texts, in an
+eighth of the run's texts, or so often that at this rate over all rows it
+would fill a quarter of a fragment (from ``LEAST_HOT`` texts on).
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ from roomlens.session import scratch_path
 
 # Postings a task gathers before it ships them.
 FLUSH = 1_200_000
+# A shingle in no more texts of a run than this is never split.
+LEAST_HOT = 32
 # Frequency noted for split shingles, which no task counts whole.
 SPLIT_DF = 1 << 30
 # Pairs are verified in so many fragments of the order (as a power of two).
@@ -67,7 +71,7 @@ def _ship(ids, valid, fps, ns, sets, bits, hot) -> Iterator[tuple[int, bytes]]:
     h, doc = flat[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     size = np.diff(np.append(first, len(h)))
-    busy = size > hot
+    busy = size > min(hot, max(LEAST_HOT, min(len(ns) // 8, FLUSH >> (bits + 2))))
     split = np.repeat(busy, size)
     named = h[first[busy]]
     shard = np.where(split, (mix64(h ^ mix64(fps[doc])) >> np.uint64(64 - bits)) + np.uint64(1 << bits),
@@ -260,18 +264,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = heads.join(first.withColumnRenamed("node", "cid"), "cid", "left") \
         .withColumn("comp", F.coalesce("component", "cid")).drop("component")
     # Shingles whose holders are in several components; all pairs between a
-    # smaller component and the others, each at the pair's first common shingle.
+    # smaller component and the others.  A pair that passes at a later common
+    # shingle has passed at its first one, where more is left to share.
     per = named.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")) \
         .where("k > 1").select("h", F.col("top.comp").alias("main"))
-    open_ = named.join(main, "h").join(prefixes.select("cid", "p"), "cid")
+    open_ = named.join(main, "h")
     minor = open_.where("comp != main").select(
-        "h", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2"),
-        F.col("p").alias("p2"))
+        "h", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2"))
     across = minor.join(open_, "h").where(
         (F.col("comp") != F.col("comp2")) & may_link("n", "at", "n2", "at2")
-        & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("c2")))
-        & (F.element_at(F.array_intersect("p", "p2"), 1) == F.col("h"))) \
+        & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("c2")))) \
         .select(F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")).distinct() \
         .join(star, ["a", "b"], "left_anti")
     rest = _verified(across, segs, percent)
