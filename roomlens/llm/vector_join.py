@@ -34,7 +34,7 @@ from roomlens.session import scratch_path
 BLOCK, GRID = 8, 4
 TILE = 1024
 HOT = 4096  # vectors of one cell that a task takes; more are split
-SHARD_ENTRIES = 200_000
+SHARD_BYTES = 150_000_000  # vectors that the entries of one task look up, at 12 bytes a number
 # Turned coordinates are kept as whole multiples of 1/SCALE, so that block
 # distances are exact sums in any order and every task decides alike; the
 # shares are widened by what rounding can add.
@@ -277,7 +277,7 @@ def _one_length(rows: DataFrame, d: int, cosine: float) -> DataFrame:
     numbers = spark.read.parquet(table)
     files = numbers.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(f.n for f in files)
-    bits = max(4, int(np.ceil(np.log2(max(1, 5 * len(blocks_of(d)) * total / SHARD_ENTRIES)))))
+    bits = max(4, int(np.ceil(np.log2(max(1, 5 * len(blocks_of(d)) * total * 12 * d / SHARD_BYTES)))))
     listed = spark.createDataFrame([(f.file,) for f in files], "file long").repartition(len(files))
 
     def turned(batches):

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 WORDS = "the of and in to that was for river stone light house garden paper winter morning table letter".split()
@@ -302,3 +303,69 @@ def trie(rows):
     return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids[p]), leaves[p], saved[p],
              hashlib.sha256(",".join(str(c) for c in sorted(m) if len(whole[c]) == len(p)).encode()).hexdigest())
             for p, m in members.items()]
+
+
+def quality_features(text):
+    """Feature -> value of a text: tokens and pairs, by name."""
+    out = collections.Counter()
+    seq = []
+    for raw in (text or "").split():
+        for t in re.findall(r"\w+|[^\w\s]+", raw):
+            if len(t) > 1 and t.isupper():
+                seq.append("capitals")
+            seq.append("=" + t.lower())
+    told = ["again" if i and seq[i] == seq[i - 1] else t for i, t in enumerate(seq)]
+    out.update((t,) for t in told)
+    out.update(zip(told, told[1:]))
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in out.values()))
+    return {f: math.log1p(c) / norm for f, c in out.items()}
+
+
+def ftrl(rows, alpha=0.5, beta=1.0, l1=0.01, l2=0.02, epochs=5):
+    """Weights by feature name after follow-the-regularised-leader updates,
+    one coordinate at a time; the intercept is the feature None."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f):
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            x = {**x, None: 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in list(z)}
+
+
+def field_likelihood(chains, tags, weight, moves, first):
+    """Log-likelihood of a two-tag field, by the sum over all tag sequences."""
+    total = 0.0
+    for chain, own in zip(chains, tags):
+        e = [sum(weight[f] for f in fs) for fs in chain]
+
+        def value(t):
+            return first[t[0]] + sum(x for x, on in zip(e, t) if on) + sum(moves[a][b] for a, b in zip(t, t[1:]))
+        total += value(own) - math.log(sum(math.exp(value(t)) for t in itertools.product((0, 1), repeat=len(e))))
+    return total
+
+
+def surrogates(entities, draw):
+    """(kind, form) -> attempt: rounds in which all but the first holder of a
+    surrogate, and all whose surrogate is someone's form, draw again."""
+    now = dict.fromkeys(entities, 0)
+    while True:
+        held = collections.defaultdict(list)
+        for (kind, form), attempt in now.items():
+            held[kind, draw(kind, form, attempt)].append((attempt, form))
+        again = [(kind, form) for (kind, new), own in held.items() for _, form in own
+                 if (kind, new) in now or form != min(own)[1]]
+        if not again:
+            return now
+        for e in again:
+            now[e] += 1

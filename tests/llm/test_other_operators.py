@@ -1,11 +1,13 @@
 """Toxicity, sharding, quality, vectors, personal data, pipeline, queries."""
 
+import hashlib
 import random
 import re
 import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from brute import prose
@@ -279,3 +281,114 @@ def test_every_kind_widens_after_a_few_tries(kind, form):
     if kind == "card":
         assert all(pii._luhn(x[:-1]) == int(x[-1]) for x in wide)
     assert all(pii.render(kind, form, x).lower() == x.lower() for x in wide)
+
+
+def test_quality_equals_plain_updates(spark, odd):
+    """Features, training order, weights and scores of the operator against
+    plain loops; rows are trained on in the order of their id's hash."""
+    docs, labels, truth = labelled(spark, 40)
+    # Few rows and 24 bits: features that share a place would move scores by 5e-5.
+    got = quality.score_quality(docs.unionByName(odd.select("doc_id", "text")), quality.fit_quality(docs, labels, bits=24),
+                                bits=24).collect()
+    text = dict(docs.collect())
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    w = brute.ftrl([(brute.quality_features(text[i]), truth[i][1]) for i in order])
+
+    def score(t):
+        return 1 / (1 + np.exp(-w[None] - sum(w.get(f, 0.0) * v for f, v in brute.quality_features(t).items())))
+    want = [(i, score(t)) for i, t in text.items()] + [(r.doc_id, score(r.text)) for r in odd.collect()]
+    got, want = (sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1])) for x in (got, want))
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert np.allclose([r[1] for r in got], [r[1] for r in want], atol=1e-5)
+    assert len(set(np.round([r[1] for r in got], 3))) > 20
+
+
+def test_equal_rows_with_unlike_labels_train_in_a_fixed_order(spark):
+    """Ties: one id with both labels, and equal texts of several ids."""
+    docs = spark.createDataFrame([(1, "good text"), (2, "good text"), (2, "good text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, None), (None, 1)], "doc_id long, quality int")
+    one, two = (quality.fit_quality(docs.repartition(n), labels) for n in (1, 3))
+    assert (one[0] == two[0]).all() and one[1] == two[1] and one[1] != 0
+    own, other = (toxicity.fit_toxicity(docs.repartition(n), labels.withColumnRenamed("quality", "toxic")) for n in (1, 3))
+    assert (own.weight == other.weight).all() and np.allclose(own.text, other.text)
+
+
+def test_field_training_follows_the_likelihood():
+    """The first training step moves each weight by its gradient's sign, as
+    finite differences of the likelihood by enumeration give it, and more
+    steps raise the likelihood."""
+    texts = [("the idiot was here\nidiot", 1), ("a river stone", 0), ("light idiot house now", 1), ("the house", 0)]
+    marked = set(toxicity.token_features("idiot"))
+    lists, tags = [], []
+    for t, y in texts:
+        for chain in toxicity.chains(t):
+            fs = [toxicity.token_features(raw) for raw in chain]
+            tag = [int(raw == "idiot") for raw in chain]
+            if any(tag) or not y:
+                lists.append(fs)
+                tags.append(tag)
+    assert sum(map(sum, tags)) == 3 and len(lists) == 5
+
+    def value(crf):
+        penalty = 0.05 * sum(float((x ** 2).sum()) for x in (crf.weight, crf.moves, crf.first))
+        return brute.field_likelihood(lists, tags, crf.weight, crf.moves, crf.first) - penalty
+
+    def zero():
+        return toxicity.Field(np.zeros(1 << toxicity.BITS), np.zeros((2, 2)), np.zeros(2))
+    step = toxicity.fit_field(texts, marked, rounds=1, rate=1.0)
+    for name in ("weight", "moves", "first"):
+        at = np.argwhere(getattr(step, name)) if name == "weight" else np.argwhere(np.ones_like(getattr(step, name)))
+        for i in map(tuple, at):
+            up, down = zero(), zero()
+            getattr(up, name)[i] += 1e-5
+            getattr(down, name)[i] -= 1e-5
+            g = (value(up) - value(down)) / 2e-5
+            assert np.isclose(getattr(step, name)[i], g / np.sqrt(g * g + 1e-6), atol=1e-4)
+    used = {f for fs in lists for x in fs for f in x}
+    assert set(np.flatnonzero(step.weight).tolist()) <= used
+    values = [value(toxicity.fit_field(texts, marked, rounds=n)) for n in (0, 1, 10, 100)]
+    assert values == sorted(values) and values[-1] > values[0] + 1
+
+
+def test_marking_features_by_plain_counts(spark):
+    docs, labels, truth = labelled(spark, 300)
+    rows = docs.join(labels, "doc_id").select(F.col("text").alias("text_"), F.col("toxic").alias("y"))
+    got = toxicity.marking_features(rows.repartition(5))
+    seen = [[{f for raw in t.split() for f in toxicity.token_features(raw)} for i, t in docs.collect() if truth[i][0] == y]
+            for y in (0, 1)]
+    want = set()
+    for f in set().union(*seen[1]):
+        c, t = (sum(f in s for s in x) for x in seen)
+        n = [len(x) for x in seen]
+        rate = (c + t) / sum(n)
+        g = t * np.log(t / (n[1] * rate)) + (c * np.log(c / (n[0] * rate)) if c else 0)
+        if t > 2 and g > 12 and t * n[0] > 10 * c * n[1]:
+            want.add(f)
+    assert got == want and want >= set(toxicity.token_features("idiot")[:1])
+
+
+def test_surrogates_equal_plain_rounds(spark):
+    """Attempts by brute force, and every text as its plain replacement."""
+    rng = random.Random(8)
+    people = [f"Mr {a} {b}" for a in ("John", "Paul") for b in ("Smith", "Brown", "Stone", "Miller", "King", "Baker")]
+    pool = people + [f"{rng.randint(1, 9)}.{rng.randint(1, 9)}.{rng.randint(1, 3)}.{rng.randint(1, 3)}" for _ in range(150)] + \
+        [f"{a}{b}@{c}.com" for a in "abc" for b in "abc" for c in "abcdef"]
+    rows = [(i, " and ".join(rng.sample(pool, 6))) for i in range(200)] + [(900, None), (901, ""), (902, rows_of_one(pool))]
+    secret = hashlib.sha256(b"key").digest()
+    entities = {(k, f) for _, t in rows for _, _, k, f in pii.detect(t or "")}
+    attempts = brute.surrogates(entities, lambda k, f, n: pii.surrogate(k, f, n, secret))
+    assert max(attempts.values()) > 0
+
+    def plain(text):
+        at, out = 0, ""
+        for a, b, k, f in pii.detect(text):
+            out += text[at:a] + pii.render(k, text[a:b], pii.surrogate(k, f, attempts[k, f], secret))
+            at = b
+        return out + text[at:]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(df.repartition(4), "key").collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in rows}
+
+
+def rows_of_one(pool):
+    return "\n".join(pool * 3)
