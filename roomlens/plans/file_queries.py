@@ -210,6 +210,19 @@ def q_image_checks(spark, sf_dir):
     return files.check_base64(items, "b64").drop("b64")
 
 
+def q_image_scan(spark, sf_dir):
+    """S-14..S-16: the pages as files of a folder tree, every fifth of them no
+    image by its extension; scanned, encoded and checked."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "html").where(F.col("page_id").isNotNull())
+    ext = F.element_at(F.array(*map(F.lit, ("png", "JPG", "jpeg", "WebP", "txt"))), (F.col("page_id") % 5 + 1).cast("int"))
+    head = F.when(F.col("page_id") % 3 == 0, F.lit(files.PNG_MAGIC)).otherwise(F.lit(b""))
+    root = scratch_path(spark, "images")
+    files.write_binary_files(pages.select(
+        F.format_string("d%02d/page_%d.%s", F.col("page_id") % 16, F.col("page_id"), ext).alias("path"),
+        F.concat(head, F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("content")), "path", "content", root)
+    return files.check_base64(files.scan_images(spark, root).select("folder", "name", "ext", "b64"), "b64").drop("b64")
+
+
 def _artifact_rows(spark, sf_dir) -> DataFrame:
     recs = fx.records(spark, sf_dir, with_index=False).where(F.col("model_response").isNotNull())
     stem = F.concat(F.format_string("%02d", F.col("order_key")), F.lit("_"),
@@ -313,6 +326,7 @@ QUERIES = {
     "summary_csv": q_summary_csv,
     "sample_manifest": q_sample_manifest,
     "image_checks": q_image_checks,
+    "image_scan": q_image_scan,
     "artifact_scan": q_artifact_scan,
     "ablation_records": q_ablation_records,
     "batch_predict": q_batch_predict,

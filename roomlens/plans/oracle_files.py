@@ -73,6 +73,14 @@ def files_sql() -> dict[str, str]:
              case when page_id % 7 <> 0 then cast(strlen(html) + case when page_id % 3 = 0 then 8 else 0 end as bigint) end as size,
              page_id % 7 <> 0 as decodes, page_id % 7 <> 0 and page_id % 3 = 0 as is_png
       from pages"""
+    q["image_scan"] = """with p as (
+        select page_id, coalesce(html, '') as html,
+               case page_id % 5 when 0 then 'png' when 1 then 'JPG' when 2 then 'jpeg' when 3 then 'WebP' else 'txt' end as ext
+        from pages where page_id is not null)
+      select 'd' || lpad(cast(page_id % 16 as varchar), 2, '0') as folder, 'page_' || cast(page_id as varchar) || '.' || ext as name,
+             lower(ext) as ext, cast(strlen(html) + case when page_id % 3 = 0 then 8 else 0 end as bigint) as size,
+             true as decodes, page_id % 3 = 0 as is_png
+      from p where ext <> 'txt' and (html <> '' or page_id % 3 = 0)"""
     q["artifact_scan"] = f"""with {RECS}
       select {SANITIZE.format(x='model')} as model, cast(order_key as bigint) as "index", condition,
              'temperature' as metric_word, regexp_extract(plot_request, 'for (\\S+) in', 1) as date,

@@ -6,13 +6,15 @@ A "file" of the reference (one CSV per room, one JSONL per run) is a Spark
 output directory here (one folder of part files), so name-derived fields are
 taken from the folder segment of the path.
 
-Nothing here runs in Python: all rows are read and written by Spark's own
-sources.
+All rows are read and written by Spark's own sources, but for
+`write_binary_files`: no source of Spark writes single binary files.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -255,14 +257,46 @@ def check_base64(df: DataFrame, b64_col: str) -> DataFrame:
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
     """S-14: recursive, image extensions case-insensitively, in order of the
     path, with the S-15 base64 text of each file.  A folder without images is
-    a FileNotFoundError (only paths are read to see that)."""
+    a FileNotFoundError (only paths are read to see that).  Files of zero
+    bytes do not appear: Spark's file sources do not list them."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .where(F.col("path").rlike(IMAGE_EXT_RE)))
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"No images found under {root}")
     return files.orderBy("path").select(F.element_at(F.split("path", "/"), -1).alias("name"),
                         F.lower(F.regexp_extract("path", IMAGE_EXT_RE, 1)).alias("ext"),
-                        F.base64("content").alias("b64"))
+                        F.base64("content").alias("b64"), F.element_at(F.split("path", "/"), -2).alias("folder"))
+
+
+def write_binary_files(rows: DataFrame, path_col: str, content_col: str, root: str) -> int:
+    """One file per row under ``root``, written by the tasks that hold the
+    rows; the number of files.  Paths are relative and stay below ``root``;
+    a null or other path or a null content is an error.  Of rows that share a
+    path one is kept.  A repeated task replaces its files by equal ones.
+
+    ``root`` must be mounted on every machine (a plain path or ``file:``)."""
+    uri = urlparse(root)
+    if uri.scheme not in ("", "file"):
+        raise ValueError(f"tasks write into a mounted folder, {uri.scheme}:// is none")
+    base = unquote(uri.path)
+
+    def work(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if path is None or content is None or os.path.isabs(path) or ".." in path.split("/"):
+                    raise ValueError(f"no file can be written for the path {path!r}")
+                target = os.path.join(base, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, target)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    items = rows.select(F.col(path_col).alias("path"), F.col(content_col).cast("binary").alias("content"))
+    return items.groupBy("path").agg(F.min("content").alias("content")) \
+        .mapInArrow(work, "path string").count()
 
 
 # ----------------------------------------------------------------------- S-17

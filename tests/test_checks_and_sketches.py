@@ -104,6 +104,23 @@ def test_images_sorted_or_an_error(spark, tmp_path):
     assert [r.name for r in files.scan_images(spark, str(d)).collect()] == ["a.webp", "b.PNG", "a.jpeg"]
 
 
+def test_binary_files_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.png", b"\x00\xff1"), ("a/y.JPG", b""), ("a/x.png", b"\x00\xff1"), ("n.txt", b"t")],
+                                 "path string, content binary")
+    root = str(tmp_path / "tree")
+    assert files.write_binary_files(rows, "path", "content", root) == 3
+    assert files.write_binary_files(rows.limit(0), "path", "content", root) == 0
+    got = [(r.folder, r.name, r.ext, r.b64) for r in files.scan_images(spark, root).collect()]
+    assert got == [("a", "x.png", "png", "AP8x")]  # a file without bytes is written, but not listed
+    names = [p.name for p in (tmp_path / "tree").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert sorted(names) == ["n.txt", "x.png", "y.JPG"]
+    for bad in (("../x.png", b"1"), ("/x.png", b"1"), (None, b"1"), ("x.png", None)):
+        with pytest.raises(Exception, match="no file can be written"):
+            files.write_binary_files(spark.createDataFrame([bad], "path string, content binary"), "path", "content", root)
+    with pytest.raises(ValueError, match="mounted"):
+        files.write_binary_files(rows, "path", "content", "s3a://bucket/x")
+
+
 def test_card_windows_off_the_full_hour(spark):
     """Readings at any minute count; a window's end is open."""
     t = dt.datetime
