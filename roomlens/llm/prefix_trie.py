@@ -1,4 +1,4 @@
-"""Conversation prefix trie by parallel tree contraction.
+"""Conversation prefix trie by prefix keys and sums over members.
 
 1. Turns get their place in the conversation and, after the rebuild, running
    sums of place-salted hashes: the sums up to turn d are the key of the first
@@ -6,14 +6,12 @@
    any length is spread over tasks.
 2. Nodes are the distinct keys.  A node is known by its smallest member and
    its depth.
-3. Subtree totals: every round first rakes the leaves (each adds what it has
-   gathered to its parent and is done), then compresses unary chains: nodes
-   with one child, chosen by a bit of their depth so that no two chosen ones
-   are neighbours, hand what they have to the edge above their child, which
-   moves up.  The tree shrinks to the root.  Then the rounds are undone,
-   the last one first: a node taken out of a chain has its child's total plus
-   what it handed over.  All joins are on unique nodes, so no parent's
-   children ever meet in one task.
+3. Subtree totals take no rounds.  The nodes known by one conversation are
+   the last ones of its path, so every node of a subtree is known by a member
+   of the subtree's top.  A node's total is the sum over its own
+   conversation's nodes from there on (running sums from the end) and, for
+   each other member, over all nodes known by that member, which all lie
+   below: one equi-join on the conversation and one aggregate on the key.
 4. The members that end at a node are joined to text in runs by
    range-partitioned tasks and digested run by run in order.
 """
@@ -126,11 +124,34 @@ def end_digests(ends: DataFrame) -> DataFrame:
     return runs.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "first").mapInArrow(_digests, "k1 long, k2 long, ends string")
 
 
+def path_totals(nodes: DataFrame, members: DataFrame, weights: list[str]) -> DataFrame:
+    """``nodes`` with each of ``weights`` summed over the node's subtree, its
+    top included.  ``nodes`` has one row per key (k1, k2) with its smallest
+    member ``conv`` and its ``depth``; ``members``, (k1, k2, conv), one row per
+    node and member."""
+    whole = [f"_all_{w}" for w in weights]
+    per = nodes.groupBy("conv").agg(*[F.sum(w).alias(a) for w, a in zip(weights, whole)])
+    others = members.join(broadcast_if_small(per), "conv").groupBy("k1", "k2").agg(
+        *[(F.sum(a) - F.min_by(a, "conv")).alias(a) for a in whole])
+    below = running_sums(nodes.withColumn("_up", -F.col("depth")), "conv", "_up", weights)
+    return below.join(others, ["k1", "k2"]).select(*[
+        (F.col(c) + F.col(f"_all_{c}")).alias(c) if c in weights else F.col(c) for c in nodes.columns])
+
+
 def subtree_totals(tree: DataFrame, weights: list[str]) -> DataFrame:
     """(c, d, weights): sums over the subtree, its top included, of a tree of
     (c, d, pc, pd, weights) with nodes (c, d), d growing downwards by any
     amount, and parents (pc, pd), null for the root.  Rows whose parent is no
-    node are not reached and give no row."""
+    node are not reached and give no row.
+
+    For trees without member paths, by contraction: every round first rakes
+    the leaves (each adds what it has gathered to its parent and is done),
+    then compresses unary chains: nodes with one child, chosen by a bit of
+    their depth so that no two chosen ones are neighbours, hand what they
+    have to the edge above their child, which moves up.  The tree shrinks to
+    the root.  Then the rounds are undone, the last one first: a node taken
+    out of a chain has its child's total plus what it handed over.  All joins
+    are on unique nodes, so no parent's children ever meet in one task."""
     spark = tree.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, "trie-totals")
@@ -226,13 +247,11 @@ def prefix_trie(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     last = keyed.join(broadcast_if_small(convs.withColumnRenamed("length", "depth")), ["conv", "depth"], "left_semi").select("k1", "k2", "conv") \
         .union(convs.where("length = 0").select(F.lit(0).cast("long"), F.lit(0).cast("long"), "conv"))
     full = nodes.join(parents, ["p1", "p2"], "left").join(children, ["k1", "k2"], "left").join(end_digests(last), ["k1", "k2"], "left") \
-        .select("conv", "depth", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
+        .select("k1", "k2", "conv", "depth", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
                 F.coalesce("ends", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends"),
                 F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("n_leaves"),
                 ((F.col("n_convs") - 1) * F.col("words")).alias("saved")).checkpoint()
-    tree = full.select(F.col("conv").alias("c"), F.col("depth").alias("d"), F.col("parent").alias("pc"),
-                       F.when(F.col("depth") > 0, F.col("depth") - 1).alias("pd"), "n_leaves", "saved")
-    totals = subtree_totals(tree, ["n_leaves", "saved"]).withColumnsRenamed({"c": "conv", "d": "depth"})
-    return full.drop("n_leaves", "saved").join(totals, ["conv", "depth"]).select(
+    members = keyed.select("k1", "k2", "conv").union(convs.select(F.lit(0).cast("long"), F.lit(0).cast("long"), "conv"))
+    return path_totals(full, members, ["n_leaves", "saved"]).select(
         F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
         F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"))

@@ -177,6 +177,37 @@ def test_prefix_trie_odd_rows(spark):
     assert _trie(spark, [], schema) == [] and _trie(spark, rows[:1], schema) == []
 
 
+def test_prefix_trie_takes_no_rounds(spark):
+    """As many jobs for long chains with branches as for a few turns."""
+    def jobs(rows, group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert _trie(spark, rows) == sorted(brute.trie(rows), key=repr)
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    flat = [(20 * c, t, "user", f"turn {t}") for c in range(3) for t in range(2)]
+    deep = [(20 * c, t, "user", f"turn {t} {t // (30 * c + 30)}") for c in range(5) for t in range(140)]
+    assert jobs(deep, "deep trie") <= jobs(flat, "flat trie") + 10
+
+
+def test_path_totals(spark):
+    """Weights of any sign; members that know no node of their own."""
+    paths = {1: "abcd", 2: "abx", 3: "abcd", 4: "q", 5: "abxyz", 6: "ab"}
+    known = {}
+    for c, p in sorted(paths.items()):
+        for d in range(len(p) + 1):
+            known.setdefault(p[:d], c)
+    weight = {p: (7 * i) % 11 - 4 for i, p in enumerate(known)}
+    total = {p: sum(w for q, w in weight.items() if q.startswith(p)) for p in known}
+    number = {p: i for i, p in enumerate(known)}
+    nodes = spark.createDataFrame([(number[p], 0, c, len(p), weight[p]) for p, c in known.items()], "k1 long, k2 long, conv long, depth long, w long")
+    members = spark.createDataFrame([(number[p[:d]], 0, c) for c, p in paths.items() for d in range(len(p) + 1)], "k1 long, k2 long, conv long")
+    got = pt.path_totals(nodes, members, ["w"])
+    assert got.columns == nodes.columns
+    assert {r.k1: r.w for r in got.collect()} == {number[p]: t for p, t in total.items()}
+
+
 def test_ends_of_a_node_in_runs(spark, monkeypatch):
     ids = [(1, 2, i) for i in range(25000, 0, -1)] + [(1, 3, 7), (0, 0, 1)]
     got = {(r.k1, r.k2): r.ends for r in pt.end_digests(spark.createDataFrame(ids, "k1 long, k2 long, conv long")).collect()}
