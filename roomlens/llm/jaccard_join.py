@@ -42,10 +42,15 @@ from roomlens.llm.common import (WordHasher, deltas, mix64, pack, shingle_hashes
                                  words_of)
 from roomlens.llm.graph import connected_components
 from roomlens.operators.sizing import broadcast_if_small
-from roomlens.session import scratch_path
+from roomlens.session import scratch_path, session_conf
 
-# Postings a task gathers before it ships them.
-FLUSH = 1_200_000
+# Postings a task gathers before it ships them.  (A worker's arrays grow with
+# it; two workers have to fit beside an executor's heap.)
+FLUSH = 400_000
+# Characters of text that are cut into words at a time.
+RUN_CHARS = 500_000
+# Rows of an Arrow batch: the executor and its worker each hold whole batches.
+BATCH_ROWS = 1000
 # A shingle in no more texts of a run than this is never split.
 LEAST_HOT = 32
 # Frequency noted for split shingles, which no task counts whole.
@@ -63,20 +68,22 @@ def _ship(ids, valid, fps, ns, sets, bits, hot) -> Iterator[tuple[int, bytes]]:
     2^bits..2^(bits+1)-1 take the split hot postings, -1 and below carry the
     texts' own rows."""
     yield -1 - int(mix64(ids[:1].astype(np.uint64))[0] % np.uint64(1 << bits)), pack(ids, valid, fps, ns)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    if not len(flat):
+    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    sets.clear()
+    if not len(h):
         return
     doc = np.repeat(np.arange(len(ns), dtype=np.uint32), ns)
-    order = np.argsort(flat)
-    h, doc = flat[order], doc[order]
+    order = np.argsort(h)
+    h, doc = h[order], doc[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     size = np.diff(np.append(first, len(h)))
     busy = size > min(hot, max(LEAST_HOT, min(len(ns) // 8, FLUSH >> (bits + 2))))
     split = np.repeat(busy, size)
     named = h[first[busy]]
-    shard = np.where(split, (mix64(h ^ mix64(fps[doc])) >> np.uint64(64 - bits)) + np.uint64(1 << bits),
-                     h >> np.uint64(64 - bits)).astype(np.int64)
+    shard = (h >> np.uint64(64 - bits)).astype(np.int32)
     if split.any():
+        shard[split] = (mix64(h[split] ^ mix64(fps[doc[split]])) >> np.uint64(64 - bits)) + np.uint64(1 << bits)
         order = np.argsort(shard, kind="stable")
         h, doc, shard = h[order], doc[order], shard[order]
     for a, b in _spans(shard):
@@ -111,7 +118,7 @@ def _postings(batches, k: int, bits: int, hot: int):
 
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        for start, texts in text_runs(batch.column(1)):
+        for start, texts in text_runs(batch.column(1), RUN_CHARS):
             h, lens = hasher.flat([words_of(t) for t in texts])
             s, doc = shingle_hashes(h, lens, k)
             ends = np.searchsorted(doc, np.arange(len(lens) + 1))
@@ -143,24 +150,30 @@ def _segments(key, table: pa.Table, bits: int) -> pa.Table:
              pa.array(ids, mask=valid == 0), empty,
              pa.ListArray.from_arrays(pa.array(np.zeros(size + 1, np.int32)), pa.array([], pa.int32()))],
             schema=SEGMENTS)
-    h, fp, n, marks = [], [], [], []
+    # A posting is its shingle and its text's place among the blobs' texts;
+    # what belongs to the text is looked up for those that stay.
+    h, text, fp, n, marks, texts = [], [], [], [], [], 0
     for d, local, fps, ns, mark in blobs:
         h.append(np.cumsum(d, dtype=np.uint64))
-        fp.append(fps[local])
-        n.append(ns[local])
+        text.append(local + np.uint32(texts))
+        fp.append(fps)
+        n.append(ns)
         marks.append(mark)
-    h, fp, n, marks = (np.concatenate(x) for x in (h, fp, n, marks))
+        texts += len(fps)
+    h = np.concatenate(h)
+    text, fp, n, marks = np.concatenate(text), np.concatenate(fp), np.concatenate(n), np.concatenate(marks)
     order = np.argsort(h)
-    hs = h[order]
-    same = hs[1:] == hs[:-1]
-    several = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(hs) else np.zeros(0, bool)
+    h, text = h[order], text[order]
+    del order
     always = shard >= 1 << bits
-    if always:  # split postings of frequent shingles
-        several[:] = True
-    elif len(marks):
-        several |= np.isin(hs, marks)
-    order = order[several]
-    h, fp, n = h[order], fp[order], n[order]
+    if not always:  # split postings of frequent shingles all stay
+        same = h[1:] == h[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(h) else np.zeros(0, bool)
+        if len(marks):
+            several |= np.isin(h, marks)
+        h, text = h[several], text[several]
+    fp, n = fp[text], n[text]
+    del text
     order = np.lexsort((n, fp, h))
     h, fp, n = h[order], fp[order], n[order]
     new = np.ones(len(h), bool)
@@ -213,9 +226,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = max(6, int(np.ceil(np.log2(max(1, size / fragment_bytes)))))
     shipped = docs.mapInArrow(lambda it: _postings(it, k, bits, hot), "shard int, blob binary")
     table = scratch_path(spark, "segments")
-    shipped.groupBy("shard").applyInArrow(
-        lambda key, t: _segments(key, t, bits),
-        "frag int, fp long, n int, doc_id long, hs array<long>, dfs array<int>").write.parquet(table)
+    with session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        shipped.groupBy("shard").applyInArrow(
+            lambda key, t: _segments(key, t, bits),
+            "frag int, fp long, n int, doc_id long, hs array<long>, dfs array<int>").write.parquet(table)
     found = spark.read.parquet(table)
     rows = found.where("frag < 0").select("fp", "n", "doc_id")
     # A class without any id gets a negative key of its own.

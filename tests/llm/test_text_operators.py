@@ -2,13 +2,16 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from brute import prose
-from roomlens.llm import decontaminate, line_dedup, ngram_lm, piece_table
+from roomlens.llm import decontaminate, jaccard_join, line_dedup, ngram_lm, piece_table
 from roomlens.llm.graph import connected_components
 from roomlens.llm.jaccard_join import jaccard_components, one_of_each
 from roomlens.llm.registry import model_path, queries
@@ -287,3 +290,27 @@ def test_piece_encode_odd_rows(odd, tables):
         assert r.n_tokens == len(r.ids) and r.ids[-1] == 2
     assert sorted(r.decoded for r in got if r.n_tokens == 1) == ["", "", ""]
     assert piece_table.piece_encode(odd.limit(0), model_path()).count() == 0
+
+
+def test_jaccard_arrays_of_a_worker_stay_small():
+    """Bytes held at once for a posting that is shipped and for one that is
+    gathered, beside the sets and blobs themselves."""
+    rng = np.random.default_rng(1)
+
+    def texts(n=300):
+        sets = [np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64)) for _ in range(n)]
+        return np.arange(n), np.ones(n, np.uint8), rng.integers(0, 1 << 64, n, dtype=np.uint64), np.full(n, 1000, np.int32), sets
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            f()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    given = texts()
+    assert peak(lambda: sum(1 for _ in jaccard_join._ship(*given, 6, 2000))) < 55 * 300_000
+    blobs = [b for _ in range(4) for shard, b in jaccard_join._ship(*texts(), 1, 2000) if shard == 1]
+    table = pa.table({"shard": pa.array([1] * 4, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    assert peak(lambda: jaccard_join._segments((pa.scalar(1),), table, 1)) < 48 * 600_000
