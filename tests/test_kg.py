@@ -96,6 +96,19 @@ def test_fact_context_matches_brute_force(spark, seed):
     assert max(n for n, _ in got.values()) <= 8
 
 
+def test_fact_context_of_long_labels(spark):
+    """Only the places of a label where a word may stand are cut."""
+    triples = [(kg.EX + f"d{i}", kg.RDFS_LABEL, f"Dataset#{'0' * 300}{i:03d} Zone zone", "string") for i in range(40)]
+    triples += [(kg.EX + "p", kg.RDF_TYPE, kg.EX + "Policy", "iri"), (kg.EX + "p", kg.RDFS_LABEL, "Check data", "string")]
+    t = spark.createDataFrame(triples, kg.TRIPLE_SCHEMA)
+    texts = ["the data here", "dataset# zone", "nothing 0000017 at all", "ta", "check the ZON", "0000039 0000038"]
+    got = {r.doc_id: r.context for r in kg.fact_context(t, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [_brute_context(t.collect(), x) for x in texts]
+    seg = spark.createDataFrame([("dataset#" + "0" * 300,)], "low string")
+    words = spark.createDataFrame([("data",), ("dataset",), ("x" * 200,), ("set",), ("#00",)], "word string")
+    assert sorted(r.word for r in kg._words_within(seg, words).collect()) == ["#00", "data", "dataset", "set"]
+
+
 def test_patterns_linked_later_and_repeated_variables(spark):
     rows = [("a", "rdf:p", "a"), ("a", "rdf:p", "b"), ("b", "rdf:q", "c")]
     t = spark.createDataFrame([(kg.expand(s), kg.expand(p), kg.expand(o), "iri") for s, p, o in rows], kg.TRIPLE_SCHEMA)
