@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomlens.llm.common import WordHasher, kgrams, mix64, text_runs, words_of
-from roomlens.session import scratch_path
+from roomlens.operators.sizing import broadcast_if_small
+from roomlens.session import scratch_path, session_conf
 
 BITS = 64
 _SEEN = 1 << 20
@@ -33,6 +34,10 @@ _MASK = (1 << 64) - 1
 WORDS = r"[^\x20\x09-\x0D]+"
 # Words of the items that are indexed at a time.
 BLOCK_WORDS = 2_000_000
+# Texts that a worker is handed at a time.
+BATCH_ROWS = 1000
+# Digests of contaminated texts are broadcast up to this measured size, else shuffled.
+BROADCAST_BYTES = 32 << 20
 SCHEMA = "contaminated boolean, n_items long, item_ids array<long>, max_similarity double"
 
 
@@ -146,7 +151,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     The items are a stated query set: they are taken in blocks of about
     ``block_words`` words, each indexed on the driver (items, fingerprints and
     the weights of their own shingles are bounded by that number) and compared
-    with all texts.  How many items hold a shingle is counted in Spark.
+    with all texts, one block after another.  How many items hold a shingle is
+    counted in Spark.  The result is written under ``spark.checkpoint.dir``.
 
     Null text counts as empty, which matches nothing (similarity 0); items
     that are null or without words match nothing.  Items of fewer than k
@@ -161,10 +167,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                          item_text_col: str = "text", k: int = 5, at_least: float = 0.75, blocks: int = 4,
                          radius: int = 15, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, that match no item (as above)."""
-    texts = docs.select(F.struct("*").alias("row_"), F.col(f"`{text_col}`").alias("text_"))
-    return _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_words) \
-        .where("not contaminated").select("row_.*")
+    """The rows of ``docs``, all columns, that match no item (as above).
+
+    Only texts and their digests go through the workers; the rows that go are
+    those whose text has the digest of a contaminated one."""
+    digest = F.unhex(F.sha2(F.col(f"`{text_col}`"), 256))
+    texts = docs.select(digest.alias("row_"), F.col(f"`{text_col}`").alias("text_"))
+    own = "_digest"
+    while own in docs.columns:
+        own += "_"
+    gone = _matched(texts, items, item_col, item_text_col, k, at_least, blocks, radius, block_words) \
+        .where("contaminated").select(F.col("row_").alias(own)).distinct()
+    return docs.withColumn(own, digest).join(broadcast_if_small(gone, BROADCAST_BYTES), own, "left_anti").drop(own)
 
 
 def _matched(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, k: int, at_least: float,
@@ -183,21 +197,25 @@ def _matched(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: s
         path = scratch_path(spark, "scanned-texts")
         texts.withColumn("at_", F.monotonically_increasing_id()).write.parquet(path)
         texts = spark.read.parquet(path)
-    found = None
+    found = scratch_path(spark, "scanned-marks")
     for g in range(groups):
         here = F.pmod(F.xxhash64("i"), F.lit(groups)) == g
         listed = sorted((r.i, w) for r in rows.where(here).collect() if (w := words_of(r.t or "")))
         weights = {r.x & _MASK: float(np.log1p(total / r.c)) for r in
                    shared.join(shingles.where(here).select("x").distinct(), "x").collect()}
         index = spark.sparkContext.broadcast(ItemIndex(listed, k, blocks, radius, weights, unseen))
-        scanned = _scan(texts, index, at_least)
-        found = scanned if found is None else found.unionByName(scanned)
+        # Written at once: in a plan that is run later, batches would have the
+        # session's size, 10,000 texts, on both sides of every worker.
+        with session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+            _scan(texts, index, at_least).write.mode("append").parquet(found)
+        index.unpersist()
+    marks = spark.read.parquet(found)
     if groups > 1:
-        marks = found.drop("row_").groupBy("at_").agg(
+        marks = marks.drop("row_").groupBy("at_").agg(
             F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"),
             F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("max_similarity").alias("max_similarity"))
-        found = texts.select("at_", "row_").join(marks, "at_").drop("at_")
-    return found
+        marks = texts.select("at_", "row_").join(marks, "at_").drop("at_")
+    return marks
 
 
 def _item_shingles(k: int):

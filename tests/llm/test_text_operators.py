@@ -213,6 +213,26 @@ def test_all_fingerprints_within_the_radius_are_found():
         assert (0, i) in index.lookup(fp, 20)
 
 
+def test_decontamination_hands_out_few_texts_at_a_time(spark, monkeypatch):
+    """Whatever the session's batch size, on the way of marks and of rows."""
+    runs, rows, large = (spark.sparkContext.accumulator(0) for _ in range(3))
+
+    def counted(column, real=decontaminate.text_runs):
+        runs.add(1)
+        rows.add(len(column))
+        large.add(int(len(column) > 1000))
+        return real(column)
+
+    monkeypatch.setattr(decontaminate, "text_runs", counted)
+    bench = spark.createDataFrame([(7, "words stand here in a")], "item_id long, text string")
+    df = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("some "), F.when(F.col("id") % 100 == 0, "words stand here in a row").otherwise(F.col("id").cast("string"))).alias("text"))
+    marks = decontaminate.contamination(df, bench)
+    assert marks.where("contaminated").count() == 40 and marks.count() == 4000
+    assert decontaminate.without_contaminated(df, bench).count() == 3960
+    assert large.value == 0 and runs.value >= 8 and rows.value == 8000
+
+
 def test_decontamination_odd_rows(spark, odd):
     bench = spark.createDataFrame([(7, "words stand here in a")], "item_id long, text string")
     got = sorted(((r.doc_id, r.contaminated) for r in decontaminate.contamination(odd, bench).collect()), key=repr)
