@@ -91,6 +91,20 @@ def test_line_dedup_runs_no_python(spark, sf_small):
     assert not any(x in out.getvalue() for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_line_dedup_cuts_texts_once_for_all_keys(spark, corpus):
+    """Texts are read for the keys, for the candidates' lines (twice) and for
+    the result, not once for each kind of key."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(corpus, 2).map(seen), "doc_id long, text string")
+    assert line_dedup.dedup_lines(df).where("n_dropped > 0").count() > 0
+    assert read.value <= 4 * len(corpus)
+
+
 def test_line_dedup_odd_rows(odd):
     out = line_dedup.dedup_lines(odd, wide=False)
     assert out.columns == odd.columns + ["n_dropped", "all_dropped"]
