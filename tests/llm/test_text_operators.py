@@ -105,6 +105,46 @@ def test_line_dedup_cuts_texts_once_for_all_keys(spark, corpus):
     assert read.value <= 4 * len(corpus)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_line_dedup_in_slices(spark, docs, corpus, monkeypatch, tmp_path, wide):
+    """Texts, keys and pairs a part at a time give the same rows."""
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents")
+    df = spark.read.parquet(f"{tmp_path}/documents")
+    whole = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs, wide=wide).collect())
+    for name in ("SLICE_BYTES", "KEY_ROWS", "LINE_ROWS"):
+        monkeypatch.setattr(line_dedup, name, 1)
+    monkeypatch.setattr(line_dedup, "PAIR_ROWS", 20)
+    assert line_dedup._slices(df) == line_dedup.SLICES and line_dedup._slices(docs.limit(0)) >= 1
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(df, wide=wide).collect()) == whole
+    assert wide or whole == sorted(brute.deduped(corpus))
+
+
+def test_pairs_of_unlike_lengths_meet_no_texts(spark, monkeypatch):
+    """Lines that share a key but differ too much in length are not among the
+    pairs whose lines are read, and nothing written is left behind."""
+    import os
+    rng = random.Random(12)
+    words = [f"{w}word" for w in "abcdefgh"]
+    lines = [" ".join(rng.sample(words, 6) + words[:2] * n) for n in range(1, 40, 3) for _ in range(2)]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    seen = []
+
+    def alike(pairs, occurrences, docs, similarity, own=line_dedup._alike):
+        size = dict(docs.join(occurrences, "rk").select("lh", F.length("text")).collect())
+        seen.extend((size[r.a], size[r.b]) for r in pairs.collect())
+        return own(pairs, occurrences, docs, similarity)
+
+    monkeypatch.setattr(line_dedup, "_alike", alike)
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    comp = brute.components(range(len(lines)), brute.all_alike(lines))
+    assert {i for i, n in got.items() if n} <= {i for i, c in comp.items() if c != i}
+    assert seen and all(4 * abs(a - b) <= max(a, b) for a, b in seen)
+    left = {x for x in set(os.listdir(base)) - before if x.startswith(("lines-", "line-", "short-lines-", "signed-lines-", "candidate-"))}
+    assert not left
+
+
 def test_line_dedup_odd_rows(odd):
     out = line_dedup.dedup_lines(odd, wide=False)
     assert out.columns == odd.columns + ["n_dropped", "all_dropped"]
