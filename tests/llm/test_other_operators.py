@@ -182,6 +182,24 @@ def test_colliding_surrogates_are_told_apart(spark):
     assert max(r.attempt for r in got) > 0
 
 
+def test_key_of_surrogates_on_a_cluster():
+    """A cluster whose session sets no key runs with a secret of its own."""
+    from types import SimpleNamespace
+
+    from roomlens.llm.registry import PII_KEY, pii_key
+
+    def session(master, app, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, other: conf.get(k, other)),
+                               sparkContext=SimpleNamespace(master=master, applicationId=app))
+    with pytest.warns(UserWarning, match=PII_KEY):
+        one = pii_key(session("spark://host:7077", "app-1"))
+    with pytest.warns(UserWarning):
+        other = pii_key(session("yarn", "app-2"))
+    assert one == pii_key(session("spark://host:7077", "app-1")) != other and len(one) == len(other) == 64
+    assert pii_key(session("spark://host:7077", "app-1", **{PII_KEY: "own"})) == "own"
+    assert pii_key(session("local[2]", "app-3")) == "for tests only"
+
+
 def test_replacement_odd_rows(odd):
     out = {(r.doc_id, r.n_entities, r.text) for r in pii.replace_pii(odd, "key").collect()}
     assert len(out) == 7 and (None, 0, None) in out and (2, 0, "") in out
